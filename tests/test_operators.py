@@ -1,0 +1,227 @@
+"""Operators against literal tables and slow models."""
+
+import datetime as dt
+import random
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from siftloom.operators import adapters, collect, discovery, feeds, ledger, scoring, state, triage, views
+from siftloom.plans.items import RULES
+
+def today():
+    return F.lit("2026-09-07").cast("date")
+
+
+def model_triage(rows, cap=60, quota=8):
+    """One run, as a loop."""
+    out, live = {}, []
+    for r in rows:
+        (out.__setitem__(r["id"], "verdict") if r["verdict"] != "shortlist" else live.append(r))
+    best = {}
+    for r in live:
+        k = r["title_key"] or ("", r["id"])
+        key = (r["thin"], -r["score"], -r["published_at"].timestamp(), r["ord"])
+        if k not in best or key < best[k][0]:
+            best[k] = (key, r)
+    kept = {b[1]["id"] for b in best.values()}
+    out.update({r["id"]: "copy" for r in live if r["id"] not in kept})
+    live = sorted((r for r in live if r["id"] in kept), key=lambda r: (-r["score"], r["ord"]))
+    most = max(3, round(sum(not r["thin"] for r in live) / 3))
+    thin = [r for r in live if r["thin"]]
+    out.update({r["id"]: "thin" for r in thin[most:]})
+    live = [r for r in live if r["id"] not in out]
+
+    def take(some, limit):
+        used, first, later = Counter(), [], []
+        for r in some:
+            used[r["source"]] += 1
+            (first if used[r["source"]] <= quota else later if used[r["source"]] <= 2 * quota else []).append(r)
+        return (first + later)[:limit]
+
+    forum = [r for r in live if r["thread"]]
+    reserve = min(len(forum), max(6, round(cap * 0.4)))
+    articles = take([r for r in live if not r["thread"]], cap - reserve)
+    n = len(articles)
+    seats = articles + take(forum, min(max(6, min(reserve, round(n * 0.4 / 0.6))), cap - n))
+    used = Counter(r["source"] for r in seats)
+    chosen = {r["id"] for r in seats}
+    for r in live:
+        out[r["id"]] = "seat" if r["id"] in chosen else "quota" if used[r["source"]] >= 2 * quota else "forum-share" if r["thread"] else "cap"
+    return out
+
+
+def test_triage_equals_the_model_and_loses_nothing(spark):
+    rng = random.Random(5)
+    rows = []
+    for run in range(40):
+        forums = {f"s{i}" for i in range(3)}
+        for i in range(rng.choice([5, 30, 120, 200])):
+            source = f"s{min(rng.randrange(3 + run % 9), rng.randrange(12))}"
+            rows.append({"run": run, "id": f"{run}-{i}", "source": source, "thread": source in forums, "summary_page": False, "thin": rng.random() < 0.3, "title_key": rng.choice(["", f"t{rng.randrange(150)}"]), "score": rng.randrange(0, 15),
+                         "verdict": "shortlist" if rng.random() < 0.85 else "reject", "published_at": dt.datetime(2026, 1, 1 + rng.randrange(20)), "ord": i})
+    got = triage.triage(spark.createDataFrame(rows), 60, 8).collect()
+    want = {}
+    by = defaultdict(list)
+    for r in rows:
+        by[r["run"]].append(r)
+    for some in by.values():
+        want |= model_triage(some)
+    assert len(got) == len(rows)
+    assert {r["id"]: "seat" if r["outcome"] == "shortlist" else r["gate"] or r["why"] for r in got} == want
+    assert set(want.values()) >= {"seat", "verdict", "copy", "thin", "quota", "forum-share", "cap"}
+
+
+def test_two_round_quota(spark):
+    rows = [("a", 100 - i, i) for i in range(30)] + [("b", 1, 100 + i) for i in range(3)]
+    got = triage.two_round_quota(spark.createDataFrame(rows, "source string, score int, ord int"), 4, 10).collect()
+    assert Counter(r["source"] for r in got) == {"a": 7, "b": 3}
+
+
+def test_collect_window(spark):
+    t = lambda d: dt.datetime(2026, 9, d)
+    rows = [("new", "l1", t(6), 0), ("old", "l2", dt.datetime(2026, 8, 20), 1), ("edge", "l3", dt.datetime(2026, 8, 24), 2), ("undated", "l4", None, 3), ("nolink", None, t(6), 4), ("new", "l5", t(5), 5), ("seen", "l6", t(6), 6)]
+    got = collect.collect_items(spark.createDataFrame(rows, "id string, link string, published_at timestamp, ord int"), spark.createDataFrame([("seen",)], "id string"), today(), 14)
+    assert sorted((r["id"], r["link"]) for r in got.collect()) == [("edge", "l3"), ("new", "l1"), ("undated", "l4")]
+
+
+def test_enrichment_is_accepted_only_if_much_longer(spark):
+    items = spark.createDataFrame([("a", "x" * 100), ("b", "x" * 200), ("c", "x" * 300)], "id string, excerpt string")
+    fetched = spark.createDataFrame([("a", "y" * 260), ("b", "y" * 399), ("c", "y" * 100)], "id string, text string")
+    got = {r["id"]: (r["excerpt"][0], r["thin"]) for r in collect.enrich(items, fetched).collect()}
+    assert got == {"a": ("y", False), "b": ("x", True), "c": ("x", False)}
+
+
+def test_seen_days(spark):
+    d = lambda n: dt.date(2026, 9, 7) - dt.timedelta(n)
+    seen = spark.createDataFrame([("k44", d(44)), ("k45", d(45)), ("k46", d(46))], "id string, first_date date")
+    got = {r["id"] for r in ledger.save_seen(seen, spark.createDataFrame([("new",), ("k45",)], "id string"), today()).collect()}
+    assert got == {"k44", "k45", "new"}
+
+
+def test_status_and_its_update_agree(spark):
+    rows = [("s", i, ok, dt.datetime(2026, 1, 1 + i)) for i, ok in enumerate([False, False, True, False])]
+    got = ledger.status(spark.createDataFrame(rows, "source string, ord int, ok boolean, at timestamp")).first()
+    assert got["consecutive_failures"] == 1 and got["last_success"] == dt.datetime(2026, 1, 3)
+    book = spark.createDataFrame([("s", None, None, None, 2)], "source string, last_success timestamp, last_error timestamp, last_error_message string, consecutive_failures int")
+    run = spark.createDataFrame([("s", False, dt.datetime(2026, 1, 5), "x"), ("n", True, dt.datetime(2026, 1, 5), None)], "source string, ok boolean, at timestamp, message string")
+    assert {r["source"]: r["consecutive_failures"] for r in ledger.update_status(book, run).collect()} == {"s": 3, "n": 0}
+
+
+def test_plan_seen(spark):
+    run = spark.createDataFrame([("free", None, False), ("third", "quota", False), ("stall", "thin", True), ("first", "thin", False), ("tired", "thin", True)], "id string, gate string, muted boolean")
+    d = lambda n: dt.date(2026, 9, 7) - dt.timedelta(n)
+    book = spark.createDataFrame([("third", d(2), 2, 0, {"quota": 2}), ("stall", d(3), 2, 1, {}), ("tired", d(22), 2, 0, {"thin": 2}), ("away", d(21), 1, 0, {}), ("gone", d(22), 1, 0, {})], "id string, first date, attempts int, stalls int, gates map<string,int>")
+    got = {r["id"]: (r["state"], r["attempts"], r["stalls"], r["gates"], r["promoted"]) for r in ledger.plan_seen(run, book, today()).collect()}
+    assert got == {
+        "free": ("seen", 0, 0, {}, False), "third": ("seen", 3, 0, {"quota": 3}, True), "stall": ("wait", 2, 2, {"thin": 1}, False), "first": ("wait", 1, 0, {"thin": 1}, False),
+        "tired": ("seen", 3, 0, {"thin": 3}, True), "away": ("wait", 1, 0, {}, False),
+    }
+
+
+def test_breaker_trips_one_source_only(spark):
+    rows = [("bad", i, False) for i in range(45)] + [("good", i, i % 2 == 0) for i in range(45)]
+    got = ledger.breaker(spark.createDataFrame(rows, "source string, ord int, ok boolean")).where("skipped").collect()
+    assert sorted(r["ord"] for r in got) == [40, 41, 42, 43, 44] and {r["source"] for r in got} == {"bad"}
+
+
+def test_authors(spark):
+    book = spark.createDataFrame([("p", "a", None, True, 2), ("p", "b", "s", False, 0)], "platform string, author string, site string, pending boolean, attempts int")
+    out = spark.createDataFrame([("p", "a", "pending", None), ("p", "c", "found", "site"), ("p", "d", "failed", None)], "platform string, author string, outcome string, site string")
+    got = {r["author"]: (r["pending"], r["attempts"], r["site"]) for r in ledger.author_entry(book, out).collect()}
+    assert got == {"a": (True, 3, None), "b": (False, 0, "s"), "c": (False, 0, "site")}
+
+
+def test_partial_upsert_keeps_the_other_flag(spark):
+    old = spark.createDataFrame([("u", "i", 1, 0, dt.datetime(2026, 1, 1))], "user_email string, item_id string, is_read int, is_starred int, updated_at timestamp")
+    ch = spark.createDataFrame([("u", 1, "i", None, True), ("u", 2, "j", True, None), ("u", 3, "j", False, None), ("v", 4, "i", True, None)], "user_email string, seq long, item_id string, read boolean, starred boolean")
+    got = {(r["user_email"], r["item_id"]): (r["is_read"], r["is_starred"]) for r in state.upsert(old, ch, F.current_timestamp()).collect()}
+    assert got == {("u", "i"): (1, 1), ("u", "j"): (0, 0), ("v", "i"): (1, 0)}
+
+
+def test_export_and_import_are_a_round_trip(spark):
+    s = spark.createDataFrame([("u", "a", 1, 0, None), ("u", "b", 0, 1, None)], "user_email string, item_id string, is_read int, is_starred int, updated_at timestamp")
+    out = state.parse_import(state.export(s, s.select("item_id")))
+    assert sorted((r["item_id"], r["flag"]) for r in out.collect()) == [("a", "read"), ("b", "starred")]
+
+
+def test_breakdown(spark):
+    rows = [(s,) for s, n in {"a": 6, "b": 5, "c": 4, "d": 3, "e": 2, "f": 1, "g": 1}.items() for _ in range(n)]
+    got = {r["name"]: r["n"] for r in views.breakdown(spark.createDataFrame(rows, "source string"), 5, ("g",)).collect()}
+    assert got == {"a": 6, "b": 5, "c": 4, "d": 3, "e": 2, "g": 1, views.OTHER: 1}
+
+
+def test_muted_boundaries(spark):
+    rows = [("half", i < 5, None) for i in range(10)] + [("few", True, None) for _ in range(9)]
+    got = {r["source"]: r["muted"] for r in views.readable_corpus(spark.createDataFrame(rows, "source string, thin boolean, published_at timestamp")).collect()}
+    assert got == {"half": True, "few": False}
+
+
+def test_score_gates_and_rules(spark):
+    base = {"tail": "", "thread": False, "views": 0, "comments": 0}
+    rows = [base | {"id": "hit", "title": "The apache license of it", "excerpt": "about that license with version 2"}, base | {"id": "none", "title": "nothing here", "excerpt": "at all"}, base | {"id": "loud", "title": "ONLY CAPS!! 12", "excerpt": "some lower case text, licensed"}]
+    got = {r["id"]: (r["verdict"], r["closed"]) for r in scoring.score_items(spark.createDataFrame(rows), RULES).collect()}
+    assert got == {"hit": ("shortlist", None), "none": ("reject", "no-hit"), "loud": ("reject", "promo")}
+
+
+RSS = """<?xml version="1.0"?><rss><channel><title>c</title><item><title>A &amp;amp; B</title><link>https://x.org/?a=1&amp;b=2</link><pubDate>Sat, 26 Jul 2026 08:00:00 GMT</pubDate><description>d</description><content:encoded><![CDATA[<p>1 &amp;lt; 2</p>]]></content:encoded></item>
+<item><title>pod</title><enclosure url="https://x.org/a.mp3"/><guid>no-address</guid><description>&lt;p&gt;body&lt;/p&gt;</description></item></channel></rss>"""
+ATOM = """<feed><entry><title>T</title><link rel="edit" href="https://x.org/e"/><link rel="alternate" href="https://x.org/a"/><published>2026-07-26T00:00:00Z</published><summary>s</summary></entry></feed>"""
+
+
+def test_feeds(spark):
+    entries, errors = feeds.parse_feeds(spark.createDataFrame([("r", RSS), ("a", ATOM), ("x", "<html></html>")], "source string, body string"))
+    got = {(r["source"], r["ord"]): r for r in entries.collect()}
+    first = got["r", 0]
+    assert (first["link"], first["published_at"]) == ("https://x.org/?a=1&b=2", dt.datetime(2026, 7, 26, 8))
+    assert first["title"] == "A &amp; B" and first["content_html"] == "<p>1 &amp;lt; 2</p>"
+    assert got["r", 1]["link"] == "https://x.org/a.mp3" and got["r", 1]["content_html"] == "&lt;p&gt;body&lt;/p&gt;"
+    assert (got["a", 0]["link"], got["a", 0]["content_html"]) == ("https://x.org/a", "s")
+    assert [r["source"] for r in errors.collect()] == ["x"]
+
+
+PAGES = {
+    "the-batch": '<article><a href="/the-batch/tag/jul-01/">Jul 1, 2026</a><a href="/the-batch/issue-300"></a><h2>Big &amp; new</h2><p>text</p></article>',
+    "epoch": '<div class="card cover-link-parent card-article-listing"><a href="/p/one" class="cover-link"></a><span class="trim">One</span><span class="badge-text">Report</span><span class="badge-text">Jul. 3, 2026</span></div>',
+    "rundown": '{"web_title":"A \\"q\\"","web_subtitle":"s","slug":"a-q","scheduled_at":"2026-07-04T10:00:00Z"}',
+    "alignment": '<div class="date">July 2026</div><a href="/n1" class="note"><h3>N1</h3><div class="description">d</div></a><div class="date">June 2026</div><a href="n2" class="note"><h3>N2</h3><div class="description">d</div></a>',
+    "sina-media": '<a class="post-link" href="/m/1"><article class="post"><div class="time"> 2026-07-05 08:00 </div><div class="post-text">Body <b>text</b></div></article></a>',
+    "waytoagi": '<a href="https://blog.waytoagi.com/article/news-20260706"><div class="text-sm font-bold">W</div> <div class="text-gray-500 x">d</div></a>',
+    "nobody": "<html></html>",
+}
+
+
+def test_adapters(spark):
+    good, errors = adapters.adapt(spark.createDataFrame([(k, k, v) for k, v in PAGES.items()], "source string, adapter string, body string"))
+    got = {(r["source"], r["title"]): (r["link"], str(r["published_at"])) for r in good.collect()}
+    assert got == {
+        ("the-batch", "Big & new"): ("https://www.deeplearning.ai/the-batch/issue-300", "2026-07-01 00:00:00"), ("epoch", "One"): ("https://epoch.ai/p/one", "2026-07-03 00:00:00"),
+        ("rundown", 'A "q"'): ("https://www.therundown.ai/p/a-q", "2026-07-04 10:00:00"), ("alignment", "N1"): ("https://alignment.anthropic.com/n1", "2026-07-01 00:00:00"),
+        ("alignment", "N2"): ("https://alignment.anthropic.com/n2", "2026-06-01 00:00:00"), ("sina-media", "Body text"): ("https://www.sina.cn/m/1", "2026-07-05 00:00:00"), ("waytoagi", "W"): ("https://blog.waytoagi.com/article/news-20260706", "2026-07-05 16:00:00"),
+    }
+    assert [r["source"] for r in errors.collect()] == ["nobody"]
+
+
+def test_indexes(spark):
+    df = lambda text: spark.createDataFrame([(text,)], "text string")
+    rows = discovery.opml(df('<outline text="g"><outline text="A" xmlUrl="https://a.org/f"/><outline text="B" xmlUrl="no" htmlUrl="https://b.org"/></outline>')).collect()
+    assert [tuple(r) for r in rows] == [("A", "https://a.org/f", "https://a.org/f")]
+    assert [tuple(r) for r in discovery.csv_index(df("t,s,f\nA,https://a.org,https://a.org/f,x,y\nB,b,nothing")).collect()] == [("A", "https://a.org", "https://a.org/f", "x,y")]
+    assert {r["feed"] for r in discovery.markdown_feeds(df("see https://a.org/feed.xml, and https://github.com/x/feed and https://a.org/page")).collect()} == {"https://a.org/feed.xml"}
+    got = {r["host"]: (r["origin"], r["feed"]) for r in discovery.site_list(df("https://www.a.org/x https://a.org/rss https://b.org/y")).collect()}
+    assert got == {"a.org": ("https://www.a.org", "https://a.org/rss"), "b.org": ("https://b.org", None)}
+    assert {r["host"] for r in discovery.domain_list(df('["a.org","www.a.org","https://b.org",""]')).collect()} == {"a.org", "b.org"}
+
+
+def test_first_verified(spark):
+    rows = [("s", "u1", 1, False), ("s", "u2", 2, True), ("s", "u3", 3, True), ("t", "v1", 1, False)]
+    got = {r["site"]: (r["url"], r["tried"]) for r in discovery.first_verified(spark.createDataFrame(rows, "site string, url string, priority int, verified boolean")).collect()}
+    assert got == {"s": ("u2", "u1 u2"), "t": (None, "v1")}
+
+
+def test_search_results(spark):
+    ok = '{"hits":[{"_source":{"id":1,"title":"T","content":"c","created":"2026-07-01T00:00:00","member":"m","replies":3}}]}'
+    rows = [("s", "q1", 0, "", ok), ("s", "q2", 1, "", ok), ("s", "q3", 2, "", "<html>wait</html>")]
+    good, errors = adapters.search_results(spark.createDataFrame(rows, "source string, query string, query_ord int, base string, body string"), "v2ex")
+    assert [(r["query"], r["link"], r["comments"]) for r in good.collect()] == [("q1", "https://www.v2ex.com/t/1", 3)]
+    assert [(r["message"], r["partial"]) for r in errors.collect()] == [("1 of 3 searches failed", True)]
