@@ -1,0 +1,291 @@
+"""The pipeline operators against plain versions, on a table of awkward rows and on the smallest generated one."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute
+
+from siftloom.llm import fingerprints, graph, kernels, langid, licenses, mixing, neardup, packing, quality, queries, sharding, substring, toxicity
+
+SF = "/root/testdata/sf0.001"
+KIND = "doc_id long, text string, lang string, source string, n_chars long, score string, copy int, at string"
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+
+
+def table():
+    rng = random.Random(3)
+    base, passage = words(rng, 120), words(rng, 70)
+    b = base.split()
+    texts = [
+        base, base, base.upper(), " ".join([*b[:60], "new", *b[60:]]), " ".join(b[:-3]), None, "", " \n\t ", "one", "one two", "ONE  two", "one two three four", words(rng, 40) + "\n" + passage, passage + " " + words(rng, 30),
+        words(rng, 13) + " " + passage + " " + words(rng, 20), "é" * 50 + " ñandú ß", words(rng, 20_000), "x" * 200_000, "ha " * 300, "a b\na b\n\nc", "This is licensed under the GNU General Public License, version 3.", "CC BY-NC 4.0 and cc by and MIT License; mit licence",
+        "Apache\nLicense apache license", " ".join(b[20:]) + " tail", "日本語 テキスト", "😀 ### $$$ |", words(rng, 300) + " " + base,
+    ]
+    return [(i * 3 + 1, t, ("en", "fr", None)[i % 3], ("hot", "hot", "b", None)[i % 4], None if t is None else len(t), "clash", 7, "clash") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(table(), KIND).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return [(r[0], r[1]) for r in table()]
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], KIND)
+
+
+def test_substrings(docs, plain, empty):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup_substrings(docs).collect()}
+    assert got == brute.substrings(plain)
+    assert substring.dedup_substrings(empty).count() == 0
+    kept = {r["doc_id"]: r["kept_text"] for r in substring.dedup_substrings(docs, carry=("lang",)).collect()}
+    assert kept[1] == plain[0][1] and kept[16] is None
+
+
+@pytest.mark.parametrize("period", sorted(substring.COVERS))
+def test_covers_are_difference_covers(period):
+    c = substring.COVERS[period]
+    assert {(a - b) % period for a in c for b in c} == set(range(period))
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates(docs, plain, empty, size):
+    got = {r["id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, size=size).collect()}
+    assert got == brute.near(plain, size)
+    assert neardup.near_duplicates(empty, size=size).count() == 0
+
+
+def test_near_duplicate_chains_of_many_copies(spark):
+    """Copies each a little further from the first: links form chains that no single leader sees."""
+    rng = random.Random(8)
+    w = words(rng, 60).split()
+    rows = []
+    for i in range(120):
+        if i % 3 == 0:
+            w = [*w]
+            w[rng.randrange(60)] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    got = {r["id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
+    assert got == brute.near(rows)
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(df, size=4).collect()
+    assert sorted((r["id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+    assert substring.dedup_substrings(df).count() == 4
+    assert sharding.shard(df, [1.0, 1.0]).count() == 4
+    assert packing.pack(df, queries.tokenizer_path(), 8).count() == 4
+    assert fingerprints.compare_with_next(df).count() == 5  # each row of id 2 meets both rows of id 1
+    assert mixing.mix(df.withColumn("source", F.lit("s"))).count() >= 0
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(0, 200)] + [(500, 500 + i) for i in range(1, 50)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in root if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_superminhash_estimates_resemblance():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    for n, shift in ((1000, 250), (40, 10), (5, 1)):
+        a, b = pool[:n], pool[shift : n + shift]
+        sig = kernels.superminhash(np.concatenate([a, b]), np.array([0, n, 2 * n]), 400)
+        assert abs((sig[0] == sig[1]).mean() - (n - shift) / (n + shift)) < 0.08
+
+
+def test_packing(spark, docs, plain, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    tokenizer.encode_special_tokens = True
+    got = packing.pack(docs, queries.tokenizer_path(), 512).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == brute.pieces(plain, tokenizer, 512)
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for some in by.values():
+        at = 0
+        for offset, length in sorted(some):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(by) <= -(-sum(r["length"] for r in got) // 512) + 1
+    assert packing.pack(empty, queries.tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_uses_everything_once(seed):
+    rng = random.Random(seed)
+    counts = {rng.randrange(1, 65): rng.randrange(1, 400 if seed % 2 else 6) for _ in range(rng.choice([1, 3, 40]))}
+    used: dict = {}
+    for times, use in packing.plan(counts, 64):
+        assert times > 0 and sum(use) <= 64
+        for x in use:
+            used[x] = used.get(x, 0) + times
+    assert used == counts
+
+
+def test_plan_completes_by_one_two_and_three():
+    assert packing.plan({60: 1, 4: 1}, 64) == [(1, [60, 4])]
+    assert sorted(packing.plan({50: 1, 9: 1, 5: 1}, 64)[0][1]) == [5, 9, 50]
+    assert sorted(packing.plan({40: 1, 11: 1, 9: 1, 4: 1}, 64)[0][1]) == [4, 9, 11, 40]
+
+
+def test_fingerprints(docs, plain, empty):
+    rows = {r["doc_id"]: r for r in fingerprints.compare_with_next(docs).collect()}
+    ids = sorted(i for i, _ in plain)
+    texts = {i: t or "" for i, t in plain}
+    for k, i in enumerate(ids):
+        a, nxt = texts[i], texts[ids[(k + 1) % len(ids)]]
+        half = len(a) // 2
+        assert rows[i]["n_chars"] == len(a)
+        assert rows[i]["edited_sha256"] == hashlib.sha256((a[: len(a) - half] + nxt[:half]).encode()).hexdigest()
+        assert 0 <= rows[i]["near_edited"] <= 1 and 0 <= rows[i]["near_next"] <= 1
+    assert rows[1]["fingerprint"] == rows[4]["fingerprint"] != rows[10]["fingerprint"]
+    assert rows[1]["near_next"] == 1
+    assert fingerprints.compare_with_next(empty).count() == 0
+
+
+def test_closed_syncmers_are_chosen_at_the_edges(spark):
+    text = words(random.Random(4), 200)
+    chosen = spark.createDataFrame([(text,)], "text string").select(fingerprints.syncmers(F.col("text"), 4).alias("s"), F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h")).first()
+    h = [(1 << 63) - 1] * 3 + chosen["h"] + [(1 << 63) - 1] * 3
+    want = sum(min(h[i : i + 4]) in (h[i], h[i + 3]) for i in range(len(h) - 3))
+    assert len(chosen["s"]) == want
+
+
+def test_sharding(docs, empty):
+    rows = sharding.shard(docs, [1.0] * 6, chunk=3).collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 6)
+        assert (r["size"], r["text_crc32"]) == next((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in [(x[0], x[1]) for x in table()] if i == r["doc_id"])
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert sharding.shard(empty, [1.0]).count() == 0
+
+
+def test_shard_weights(spark):
+    n = spark.range(20_000).select(sharding.shard_of(F.col("id").cast("string"), [1.0, 3.0]).alias("s")).where("s = 1").count()
+    assert abs(n / 20_000 - 0.75) < 0.02
+
+
+def test_mixing(spark, docs, empty):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "hot").otherwise("b").alias("source"), F.lit("t").alias("copy"))
+    got = mixing.mix(rows, {"hot": 1.0, "b": 3.0}).groupBy("source").count().collect()
+    n = {r["source"]: r["count"] for r in got}
+    assert abs(n["hot"] / 7_500 - 1) < 0.05 and abs(n["b"] / 22_500 - 1) < 0.05
+    keys = [r["shuffle_key"] for r in mixing.mix(docs).collect()]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+    assert mixing.mix(docs).exceptAll(mixing.mix(docs)).count() == 0
+    assert mixing.mix(docs, {"hot": 1.0}).where("source is distinct from 'hot'").count() == 0
+    assert mixing.mix(empty).count() == 0
+
+
+def test_poisson_inverse(spark):
+    import math
+
+    for rate in (0.3, 1.0, 7.5):
+        got = [r[0] for r in spark.range(2000).select(mixing.poisson_inverse((F.col("id") + 0.5) / 2000, F.lit(rate))).collect()]
+        for u, n in zip([(i + 0.5) / 2000 for i in range(2000)], got):
+            below = sum(math.exp(-rate) * rate**k / math.factorial(k) for k in range(n))
+            assert below <= u + 1e-9 and below + math.exp(-rate) * rate**n / math.factorial(n) > u - 1e-9
+
+
+def test_quality(spark, docs, plain, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (40, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.rules(docs, labels).collect()}
+    assert got == {i: brute.quality(t) for i, t in plain}
+    assert not [r for r in quality.rules(docs, labels.where("false")).collect() if r["kept"] and r["base_failed"]]
+    assert quality.rules(empty, labels).count() == 0
+
+
+def test_licenses(docs, plain, empty):
+    rows = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    got = {i: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for i, r in rows.items()}
+    assert got == {i: brute.licenses(t) for i, t in plain}
+    by_text = {t: i for i, t in plain}
+    assert rows[by_text["This is licensed under the GNU General Public License, version 3."]]["labels"] == "gpl,gpl-3.0"
+    assert licenses.scan(empty).count() == 0
+
+
+def test_language(spark, docs, empty):
+    data = spark.read.parquet(f"{SF}/documents.parquet")
+    got = langid.identify(data).join(data.select("doc_id", "lang"), "doc_id")
+    held = got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert held > 0.9
+    rows = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert rows[16] == "und" and rows[19] == "und"
+    assert langid.identify(empty).count() == 0
+
+
+def test_bloom_filters_find_all_that_went_in():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << 62, 5000).astype(np.uint64), rng.integers(0, 1 << 62, 5000).astype(np.uint64)
+    f = langid.build({"x": a, "y": b}, 1 << 16)
+    assert (f.find(a) & 1 > 0).all() and (f.find(b) & 2 > 0).all()
+    assert abs((f.find(rng.integers(0, 1 << 62, 20_000).astype(np.uint64)) & 1 > 0).mean() - f.false[0]) < 0.01
+
+
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        rows.append((i, words(rng, 40) + (" you idiot zzurk" if bad else "") + " " + words(rng, 20)))
+        marks.append((i, 1, int(bad)))
+    data, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.learn(data, toxicity.fold(labels))
+    got = toxicity.score(data, model).join(labels, "doc_id").collect()
+    assert all((r["score"] >= 0.5) == bool(r["toxic"]) for r in got)
+    assert toxicity.score(docs, model).count() == len(table())
+    assert toxicity.score(docs, model, carry=True).columns.count("score") == 1
+    assert toxicity.score(empty, model).count() == 0
+    assert toxicity.score(empty, toxicity.learn(empty, labels.where("false"))).count() == 0
+
+
+def test_queries_return_their_contracts(spark):
+    want = {
+        "op1": "doc_id piece start length ids_crc32 sequence_id offset", "op2": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op3": "doc_id n_words n_removed kept_sha256", "op4": "doc_id size text_crc32 law shard slot grown_shard",
+        "op5": "doc_id held_out score predicted", "op7": "doc_id held_out lang_pred score", "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op9": "doc_id n_shingles component_id kept",
+        "op10": "doc_id n_words n_base first_word last_word base_labels labels score",
+    }
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    for name, q in queries.queries().items():
+        df = q(spark, SF)
+        assert set(want.get(name.split("_")[0], "").split()) <= set(df.columns), name
+        rows = df.count()
+        assert rows > 0 if name.startswith(("op1_", "op6")) else rows == n, name
