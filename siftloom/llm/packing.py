@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .common import checkpoint
+from .wordbpe import LONGEST, PLAIN, WordBpe
 
-#: Distinct chunks of text whose ids one Python worker remembers, about 80 MB at most.
-REMEMBERED = 300_000
+#: Runs of text whose ids one Python worker remembers: those met again, and those met once of late. 120 MB at most.
+REMEMBERED, RECENT = 400_000, 200_000
 _state: dict[str, tuple] = {}
 
 
@@ -26,43 +29,94 @@ def _tokenizer(path: str) -> tuple:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _state[path] = (tokenizer, {})
+        _state[path] = (tokenizer, {}, {}, _word_bpe(path, tokenizer), {})
     return _state[path]
 
 
+#: Runs on which the fast way must agree with the tokenizer before it is used.
+PROBES = ("a", "the", "licensed", "überprüft", "épaleelle", "ciónez.", "onthandndtiea,", "zz!!", "word***", "straße", "ñandú;", "it's", "İx", "don't!", "x" * 31, "thereandthenagainandagain")
+
+
+def _word_bpe(path: str, tokenizer) -> WordBpe | None:
+    """The fast way for plain words, if the file is of its kind and both agree on the probes."""
+    try:
+        bpe = WordBpe(path)
+        plain = [m for m in map(PLAIN.fullmatch, PROBES) if m]
+        same = all(bpe.encode([m[1].encode()])[0] == array("I", tokenizer.encode(m[1], add_special_tokens=False).ids).tobytes() for m in plain)
+        apart = all(tokenizer.encode(m[0], add_special_tokens=False).ids == tokenizer.encode(m[1], add_special_tokens=False).ids + (tokenizer.encode(m[2], add_special_tokens=False).ids if m[2] else []) for m in plain)
+    except (ValueError, KeyError, TypeError):
+        return None
+    return bpe if same and apart else None
+
+
+def _encode_new(missing: list[bytes], tokenizer, bpe: WordBpe | None, marks: dict[str, bytes]) -> dict[bytes, bytes]:
+    """Ids of runs that aren't remembered: plain words all at once, others by the tokenizer."""
+    new: dict[bytes, bytes] = {}
+    words: dict[str, int] = {}
+    plain, rest = [], missing
+    if bpe is not None:
+        rest = []
+        for run in missing:
+            m = PLAIN.fullmatch(run.decode().lower()) if len(run) <= LONGEST else None
+            if m is None or len(m[1]) > LONGEST // 2:
+                rest.append(run)
+            else:
+                word, mark = m.groups()
+                if mark not in marks:
+                    if len(marks) > 100_000:
+                        marks.clear()
+                    marks[mark] = array("I", tokenizer.encode(mark, add_special_tokens=False).ids).tobytes() if mark else b""
+                plain.append((run, words.setdefault(word, len(words)), marks[mark]))
+        coded = bpe.encode([w.encode() for w in words])
+        new = {run: coded[i] + mark for run, i, mark in plain}
+    found = tokenizer.encode_batch_fast([r.decode() for r in rest], add_special_tokens=False)
+    new.update((r, array("I", e.ids).tobytes()) for r, e in zip(rest, found))
+    return new
+
+
 def encode(texts: list[bytes], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its runs of other bytes,
-    which repeat a lot: a run is encoded once as long as there is room to remember it.
+    which repeat a lot. Each run is looked up once a call; one that was met before in the worker's life is remembered for good
+    as long as there is room, so the many runs that occur only once don't push it out.
     """
-    tokenizer, memory = _tokenizer(path)
+    tokenizer, often, recent, bpe, marks = _tokenizer(path)
     runs = [x.split() for x in texts]
-    missing = list({r for x in runs for r in x if r not in memory})
-    found = tokenizer.encode_batch_fast([r.decode() for r in missing], add_special_tokens=False)
-    new = {r: np.array(e.ids, "<u4").tobytes() for r, e in zip(missing, found)}
-    if len(memory) + len(new) <= REMEMBERED:
-        memory.update(new)
-        return [b"".join(map(memory.__getitem__, x)) for x in runs]
-    known = memory.get
-    return [b"".join([known(r) or new.get(r, b"") for r in x]) for x in runs]
+    ids: dict[bytes, bytes] = {}
+    missing = []
+    for run in set().union(*runs):
+        known = often.get(run)
+        if known is None:
+            known = recent.pop(run, None)
+            if known is None:
+                missing.append(run)
+                continue
+            (often if len(often) < REMEMBERED else recent)[run] = known
+        ids[run] = known
+    new = _encode_new(missing, tokenizer, bpe, marks)
+    if len(recent) + len(new) > RECENT:
+        recent.clear()
+    recent.update(new)
+    ids.update(new)
+    return [b"".join(map(ids.__getitem__, x)) for x in runs]
 
 
 def _pieces(path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(end).to_bytes(4, "little")
         for batch in batches:
-            texts = batch.column(1)
-            for lo in range(0, len(texts), 200):
+            for c in K.chunks(batch.column(1), 1 << 22):
+                raw, offs = c.data.tobytes(), c.offs.tolist()
                 rows: list[tuple] = []
-                ids = encode([(x or "").encode() for x in texts.slice(lo, 200).to_pylist()], path)
-                for key, tokens in zip(batch.column(0).slice(lo, 200).to_pylist(), ids):
+                ids = encode([raw[a:b] for a, b in zip(offs, offs[1:])], path)
+                for key, tokens in zip(batch.column(0).slice(c.lo, c.hi - c.lo).to_pylist(), ids):
                     tokens += last
                     for k in range(0, len(tokens), 4 * size):
                         part = tokens[k : k + 4 * size]
                         rows.append((key, k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part)))
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int32()), *[pa.array(x, pa.int64()) for x in cols[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
