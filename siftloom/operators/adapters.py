@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,15 +187,48 @@ def adapt(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, empty.select("source", F.when(unknown, F.concat(F.lit("unknown adapter "), F.col("adapter"))).otherwise("no entries found").alias("message"))
 
 
-#: The JSON of each search interface, as landed: schema, and the expressions of an entry over one result r.
-SEARCHES: dict[str, tuple[str, str, dict[str, str]]] = {
-    "juejin": ("err_no int, data array<struct<result_type:int,result_model:struct<article_info:struct<article_id:string,title:string,brief_content:string,ctime:string,view_count:bigint,digg_count:bigint,comment_count:bigint>,author_user_info:struct<user_name:string>>>>", "filter(data, x -> x.result_model.article_info.article_id is not null)", {
-        "title": "r.result_model.article_info.title", "link": "concat('https://juejin.cn/post/', r.result_model.article_info.article_id)", "published_at": "timestamp_seconds(cast(r.result_model.article_info.ctime as bigint))",
-        "body": "r.result_model.article_info.brief_content", "author": "r.result_model.author_user_info.user_name", "views": "r.result_model.article_info.view_count", "comments": "r.result_model.article_info.comment_count"}),
-    "v2ex": ("hits array<struct<_source:struct<id:bigint,title:string,content:string,created:string,member:string,replies:bigint>>>", "hits", {
-        "title": "r._source.title", "link": "concat('https://www.v2ex.com/t/', r._source.id)", "published_at": "try_to_timestamp(r._source.created)", "body": "r._source.content", "author": "r._source.member", "views": "cast(null as bigint)", "comments": "r._source.replies"}),
-    "discourse": ("topics array<struct<id:bigint,title:string,slug:string,created_at:string,posts_count:bigint>>, posts array<struct<topic_id:bigint,post_number:int,blurb:string,username:string>>", "topics", {
-        "title": "r.title", "link": "concat(base, '/t/', r.slug, '/', r.id)", "published_at": "try_to_timestamp(r.created_at)", "body": "get(filter(p.posts, x -> x.topic_id = r.id), 0).blurb", "author": "get(filter(p.posts, x -> x.topic_id = r.id), 0).username", "views": "cast(null as bigint)", "comments": "r.posts_count - 1"}),
+@dataclass(frozen=True)
+class Search:
+    """A search interface's JSON as landed: its schema, the SQL of the results in it (p), and of an entry over one result (r).
+
+    prepare takes the JSON out of a payload; failed says that the interface reported an error.
+    """
+
+    schema: str
+    results: str
+    missing: str
+    fields: dict[str, str]
+    failed: str = "false"
+    prepare: Callable[[Column], Column] = lambda body: body
+
+
+SEARCHES = {
+    "juejin": Search(
+        "err_no int, data array<struct<result_model:struct<article_info:struct<article_id:string,title:string,brief_content:string,ctime:string,view_count:bigint,comment_count:bigint>,author_user_info:struct<user_name:string>>>>",
+        "filter(p.data, x -> x.result_model.article_info.article_id is not null)", "p.data is null",
+        {"title": "r.result_model.article_info.title", "link": "concat('https://juejin.cn/post/', r.result_model.article_info.article_id)", "published_at": "timestamp_seconds(cast(r.result_model.article_info.ctime as bigint))",
+         "body": "r.result_model.article_info.brief_content", "author": "r.result_model.author_user_info.user_name", "views": "r.result_model.article_info.view_count", "comments": "r.result_model.article_info.comment_count"},
+        "coalesce(p.err_no, 0) <> 0",
+    ),
+    "v2ex": Search(
+        "hits array<struct<_source:struct<id:bigint,title:string,content:string,created:string,member:string,replies:bigint>>>", "p.hits", "p.hits is null",
+        {"title": "r._source.title", "link": "concat('https://www.v2ex.com/t/', r._source.id)", "published_at": "try_to_timestamp(r._source.created)", "body": "r._source.content", "author": "r._source.member", "views": "cast(null as bigint)", "comments": "r._source.replies"},
+    ),
+    "discourse": Search(
+        "topics array<struct<id:bigint,title:string,slug:string,created_at:string,posts_count:bigint>>, posts array<struct<topic_id:bigint,post_number:int,blurb:string,username:string>>", "p.topics", "p.topics is null",
+        {"title": "r.title", "link": "concat(base, '/t/', r.slug, '/', r.id)", "published_at": "try_to_timestamp(r.created_at)", "body": "get(filter(p.posts, x -> x.topic_id = r.id), 0).blurb", "author": "get(filter(p.posts, x -> x.topic_id = r.id), 0).username", "views": "cast(null as bigint)", "comments": "r.posts_count - 1"},
+    ),
+    "segmentfault": Search(
+        "props struct<pageProps:struct<initialState:struct<search:struct<result:struct<rows:array<struct<type:string,contents:struct<url:string,title:string,excerpt:string,created:string,comments:string>>>>>>>>",
+        "filter(slice(p.props.pageProps.initialState.search.result.rows, 1, 20), x -> x.type = 'article' and x.contents.url <> '' and x.contents.title <> '')", "p.props.pageProps.initialState.search.result is null",
+        {"title": "r.contents.title", "link": "concat(if(r.contents.url rlike '^https?:', '', 'https://segmentfault.com'), r.contents.url)", "published_at": "timestamp_seconds(try_cast(r.contents.created as bigint))", "body": "r.contents.excerpt", "author": "cast(null as string)", "views": "cast(null as bigint)", "comments": "coalesce(try_cast(r.contents.comments as bigint), 0)"},
+        prepare=lambda body: F.regexp_extract(body, "(?s)__NEXT_DATA__[^>]*>(\\{.*?\\})</script>", 1),
+    ),
+    "vocus": Search(
+        "contents array<struct<contentId:string,_id:string,title:string,publishAt:string,isPay:boolean,pageview:bigint,commentCount:bigint,article:struct<abstract:string,isPay:boolean>>>",
+        "filter(p.contents, x -> coalesce(x.contentId, x._id) is not null and x.title <> '' and not coalesce(x.isPay, false) and not coalesce(x.article.isPay, false))", "p.contents is null",
+        {"title": "r.title", "link": "concat('https://vocus.cc/article/', coalesce(r.contentId, r._id))", "published_at": "try_to_timestamp(r.publishAt)", "body": "r.article.abstract", "author": "cast(null as string)", "views": "r.pageview", "comments": "r.commentCount"},
+    ),
 }
 
 
@@ -204,13 +238,11 @@ def search_results(payloads: DataFrame, kind: str, body_limit: int = 2000) -> tu
     A payload that isn't the expected JSON, or says that it failed, is an attempt that failed: a source all of whose attempts
     failed has an error, one with some a partial error.
     """
-    schema, results, fields = SEARCHES[kind]
-    got = payloads.withColumn("p", F.from_json("body", schema))
-    bad = F.expr(f"p is null or p.{results.split('(')[-1].split(',')[0]} is null") | (F.expr("coalesce(p.err_no, 0) <> 0") if "err_no" in schema else F.lit(False))
-    got = got.withColumn("bad", bad)
-    path = results.replace("data", "p.data", 1) if "(" in results else f"p.{results}"
-    rows = got.where("not bad").select("source", "query", "query_ord", "base", "p", F.expr(f"posexplode({path}) as (pos, r)"))
-    rows = rows.select("source", "query", "query_ord", "pos", *[F.expr(e).alias(c) for c, e in fields.items() if c != "body"], html_to_text(F.expr(fields["body"]), body_limit).alias("excerpt"))
+    s = SEARCHES[kind]
+    got = payloads.withColumn("p", F.from_json(s.prepare(F.col("body")), s.schema))
+    got = got.withColumn("bad", F.expr(f"p is null or {s.missing} or {s.failed}"))
+    rows = got.where("not bad").select("source", "query", "query_ord", "base", "p", F.expr(f"posexplode({s.results}) as (pos, r)"))
+    rows = rows.select("source", "query", "query_ord", "pos", *[F.expr(e).alias(c) for c, e in s.fields.items() if c != "body"], html_to_text(F.expr(s.fields["body"]), body_limit).alias("excerpt"))
     tries = got.groupBy("source").agg(F.count("*").alias("attempted"), F.sum(F.col("bad").cast("int")).alias("failed")).where("failed > 0")
     return first_by(rows, ["source", "link"], "query_ord", "pos"), tries.select("source", F.concat("failed", F.lit(" of "), "attempted", F.lit(" searches failed")).alias("message"), (F.col("failed") < F.col("attempted")).alias("partial"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions import url as U
+from siftloom.functions.text import name_match
 
 from .collect import first_by
 
@@ -139,3 +140,13 @@ def handled_users(subscribed: DataFrame, denied: DataFrame) -> DataFrame:
     own = subscribed.select(F.lower("user").alias("user"))
     off = denied.select(F.when(F.col("user").isNull(), F.lit("*")).otherwise(F.lower("user")).alias("user"))
     return own.unionByName(off).where("user is not null").distinct()
+
+
+def podcast_feed(sources: DataFrame, listings: DataFrame, verified: DataFrame, least: int = 60) -> DataFrame:
+    """(name, feed): of each source the verified feed whose name in a directory is most alike, if it is alike enough.
+
+    sources: name. listings: name (the source looked up), country, pos, title, feed. verified: feed.
+    """
+    rated = sources.select("name").join(listings.where("feed is not null"), "name").withColumn("score", name_match(F.col("name"), F.col("title"))).where(F.col("score") >= least)
+    good = rated.join(verified.select("feed").distinct(), "feed", "left_semi")
+    return first_by(good, ["name"], F.desc("score"), "country", "pos").select("name", "feed", "score")

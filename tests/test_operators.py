@@ -225,3 +225,28 @@ def test_search_results(spark):
     good, errors = adapters.search_results(spark.createDataFrame(rows, "source string, query string, query_ord int, base string, body string"), "v2ex")
     assert [(r["query"], r["link"], r["comments"]) for r in good.collect()] == [("q1", "https://www.v2ex.com/t/1", 3)]
     assert [(r["message"], r["partial"]) for r in errors.collect()] == [("1 of 3 searches failed", True)]
+
+
+def test_other_search_results(spark):
+    kind = "source string, query string, query_ord int, base string, body string"
+    page = '<script id="__NEXT_DATA__" type="x">{"props":{"pageProps":{"initialState":{"search":{"result":{"rows":[{"type":"article","contents":{"url":"/a/1","title":"T","excerpt":"<b>e</b>","created":"1782864000","comments":"2"}},{"type":"question","contents":{"url":"/q/1","title":"Q"}}]}}}}}}</script>'
+    good, errors = adapters.search_results(spark.createDataFrame([("s", "q", 0, "", page), ("t", "q", 0, "", "<html></html>")], kind), "segmentfault")
+    assert [(r["link"], r["excerpt"], r["comments"], str(r["published_at"])) for r in good.collect()] == [("https://segmentfault.com/a/1", "e", 2, "2026-07-01 00:00:00")]
+    assert [(r["source"], r["partial"]) for r in errors.collect()] == [("t", False)]
+    body = '{"contents":[{"_id":"x","title":"A","publishAt":"2026-07-01T00:00:00Z","article":{"abstract":"s"}},{"_id":"y","title":"B","isPay":true}]}'
+    good, _ = adapters.search_results(spark.createDataFrame([("s", "q1", 0, "", body), ("s", "q2", 1, "", body)], kind), "vocus")
+    assert [(r["query"], r["link"]) for r in good.collect()] == [("q1", "https://vocus.cc/article/x")]
+    forum = '{"topics":[{"id":7,"title":"T","slug":"t","created_at":"2026-07-01T00:00:00Z","posts_count":3}],"posts":[{"topic_id":7,"post_number":1,"blurb":"first","username":"u"}]}'
+    good, _ = adapters.search_results(spark.createDataFrame([("d", "q", 0, "https://f.org", forum)], kind), "discourse")
+    assert [(r["link"], r["excerpt"], r["author"], r["comments"]) for r in good.collect()] == [("https://f.org/t/t/7", "first", "u", 2)]
+
+
+def test_podcast_feed(spark):
+    listings = [("The Pod", "cn", 0, "The Pod Extra", "f1"), ("The Pod", "cn", 1, "The Pod", "dead"), ("The Pod", "us", 0, "the pod!", "f2"), ("Other", "us", 0, "Nothing", "f3")]
+    got = discovery.podcast_feed(spark.createDataFrame([("The Pod",), ("Other",)], "name string"), spark.createDataFrame(listings, "name string, country string, pos int, title string, feed string"), spark.createDataFrame([("f1",), ("f2",), ("f3",)], "feed string"))
+    assert [tuple(r) for r in got.collect()] == [("The Pod", "f2", 100)]
+
+
+def test_tags(spark):
+    got = adapters.tags_for(spark.createDataFrame([("claude code tips",), ("nothing",)], "query string"), spark.createDataFrame([("Claude",), ("Claude Code",)], "name string")).collect()
+    assert {r["tag"] for r in got} == {"Claude Code", "ClaudeCode"}
