@@ -53,8 +53,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
         for name, weight in sorted(weights.items()):
             share = F.when(F.col("mix_source") == name, F.lit(float(weight))).otherwise(share)
     counts = counts.withColumn("mix_share", share)
-    sums = counts.agg(F.sum("mix_n").alias("mix_rows"), F.sum("mix_share").alias("mix_sum"))
-    rates = counts.join(F.broadcast(sums)).select("mix_source", F.least(F.lit(MOST_RATE), F.col("mix_share") / F.col("mix_sum") * F.lit(float(total)) * F.col("mix_rows") / F.col("mix_n")).alias("mix_rate"))
+    per_share = counts.agg((F.sum("mix_n") / F.sum("mix_share")).alias("x")).scalar()
+    rates = counts.select("mix_source", F.least(F.lit(MOST_RATE), F.col("mix_share") * F.lit(float(total)) * per_share / F.col("mix_n")).alias("mix_rate"))
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rows = docs.select(*names, source.alias("mix_source"), key.alias("mix_key")).join(rates, "mix_source")
     rows = rows.withColumn("mix_u", uniform(F.concat(F.lit(f"{seed}|"), F.col("mix_key")))).withColumn("mix_copies", poisson_inverse(F.col("mix_u"), F.col("mix_rate"))).where("mix_copies > 0")

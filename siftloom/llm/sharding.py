@@ -35,7 +35,7 @@ def shard(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_co
         shard_of(key, weights, seed).alias("shard"), shard_of(key, [*weights, 1.0], seed).alias("grown_shard"), F.xxhash64(key).alias("h"),
     )
     parts = docs.groupBy().agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (chunk * len(weights)))).alias("parts"))
-    rows = rows.join(F.broadcast(parts)).withColumn("salt", F.pmod("h", F.col("parts")))
+    rows = rows.withColumn("salt", F.pmod("h", parts.scalar()))
     before = rows.groupBy("shard", "salt").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.expr("sum(n) over (partition by shard order by salt rows between unbounded preceding and 1 preceding)"))
     rows = rows.withColumn("own", F.expr("row_number() over (partition by shard, salt order by h, doc_id, text_crc32)")).join(before.select("shard", "salt", "before"), ["shard", "salt"])
