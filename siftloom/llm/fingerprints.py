@@ -90,11 +90,13 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that repeat an id are paired with each row of the next id. A null id has no next document: its edited text keeps
     its first half only and near_next is 0. In a table of one document, the next is that document.
     """
-    own = fingerprint(docs, id_col, text_col, k, keep)
+    # the filter stands below both uses, so that the exchange of texts and sketches by id is one and the same
+    own = fingerprint(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, keep)
     follow = next_ids(docs, id_col)
     right = own.join(follow.select(F.col("next_id").alias("doc_id"), F.col("id").alias("before")), "doc_id")
     right = right.select(F.col("before").alias("doc_id"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
-    rows = own.join(right, "doc_id", "left")
+    nameless = fingerprint(docs.where(F.col(id_col).isNull()), id_col, text_col, k, keep)
+    rows = own.join(right, "doc_id", "left").unionByName(nameless, allowMissingColumns=True)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
