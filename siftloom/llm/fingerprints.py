@@ -76,7 +76,8 @@ def next_ids(docs: DataFrame, id_col: str) -> DataFrame:
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, keep: int = 64) -> DataFrame:
     """Columns (doc_id, text, sketch) for each row: the operator alone. A null text counts as empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("sketch", sketch(F.col("text"), k, keep))
+    key = F.col(id_col) if id_col == "doc_id" else F.col(id_col).alias("doc_id")
+    return docs.select(key, text.alias("text")).withColumn("sketch", sketch(F.col("text"), k, keep))
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, keep: int = 64) -> DataFrame:
