@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ def _anchors(size: int, period: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.invert(batch.column("copy")))
             for c in K.chunks(batch.column(1)):
                 w = K.words(c.data, c.offs)
                 h = K.window_hashes(K.word_hashes(c.data, w), anchor)
@@ -38,7 +40,7 @@ def _windows(size: int, period: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(2)
+            found = batch.column("at")
             ends, where = found.offsets.to_numpy(), found.values.to_numpy()
             for c in K.chunks(batch.column(1)):
                 w = K.words(c.data, c.offs)
@@ -61,8 +63,9 @@ def _windows(size: int, period: int):
 def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(2)
+            found = batch.column("at")
             ends, where = found.offsets.to_numpy(), found.values.to_numpy()
+            copy = batch.column("copy").to_numpy(zero_copy_only=False)
             for c in K.chunks(batch.column(1)):
                 w = K.words(c.data, c.offs)
                 n = int(w.ptr[-1])
@@ -71,6 +74,7 @@ def _cut(size: int):
                 np.add.at(mark, at, 1)
                 np.add.at(mark, at + size, -1)
                 gone = np.cumsum(mark)[:n] > 0
+                gone |= np.repeat(copy[c.lo : c.hi] & (w.counts >= size), w.counts)
                 raw = c.data.tobytes()
                 texts, shas, removed = [], [], []
                 for d in range(c.hi - c.lo):
@@ -88,8 +92,8 @@ def _cut(size: int):
                     removed.append(k)
                     shas.append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.lo, c.hi - c.lo), pa.array(w.counts), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), *[x.slice(c.lo, c.hi - c.lo) for x in batch.columns[3:]]],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *batch.schema.names[3:]],
+                    [batch.column(0).slice(c.lo, c.hi - c.lo), pa.array(w.counts), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), *[x.slice(c.lo, c.hi - c.lo) for x in batch.columns[4:]]],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *batch.schema.names[4:]],
                 )
 
     return run
@@ -102,6 +106,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     it, judged on the input, also starts in a document with a smaller id. kept_text is the text unchanged if nothing
     goes, else the kept words joined by spaces; kept_sha256 is that of the kept words joined by spaces.
 
+    Texts that equal one with a smaller id are set aside first: all their windows are there. For the others:
+
     1. Windows of size - period + 1 words are hashed only where their place modulo period is in a difference cover.
        Two equal passages of size words, whatever their places, have an anchor of each at the same distance.
     2. Anchors seen in two documents (by smallest and largest id, partial aggregates) are extended: all windows of size
@@ -111,23 +117,32 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and the joins that carry marks back to documents are by a hash or an id, so that large partitions may be split.
 
     Defined cases: null and empty texts have no words (kept_text is as given). Words within one document never
-    count against itself. Rows that repeat an id are one document for this purpose and aren't compared with each other.
+    count against itself. Rows that repeat an id are one document for this purpose and aren't compared with each other;
+    an id is taken to stand for one text.
     Rows with a null id lose nothing and make no others lose. An empty table gives an empty result.
     """
     if period not in COVERS or period > size:
         raise ValueError(f"period must be one of {sorted(COVERS)} and at most size")
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rest = [f"carry_{c}" for c in carry]
+    whole = F.col(text_col) if dict(docs.dtypes)[text_col] == "string" else F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).alias("id"), whole if text_col == "text" else whole.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     kind = dict(base.dtypes)["id"]
-    full = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    text = F.coalesce("text", F.lit(""))
     named = base.where("id is not null")
-    anchors = named.mapInArrow(_anchors(size, period), f"h long, id {kind}, pos int")
+    digests = named.select("id", F.xxhash64(text).alias("d1"), F.xxhash64(text, F.lit(1)).alias("d2"))
+    least = digests.groupBy("d1", "d2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("d1", "d2", "lo")
+    copies = digests.join(least, ["d1", "d2"]).where("id > lo").select("id", F.lit(True).alias("copy")).distinct()
+    # the same exchange of texts by id stands below all three uses, so texts are shuffled once; a filter that the planner
+    # infers for only one of the joins would make exchanges differ, so rows without an id go their own way
+    dealt = named.join(copies, "id", "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), *rest)
+    anchors = dealt.mapInArrow(_anchors(size, period), f"h long, id {kind}, pos int")
     shared = anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
     near = anchors.join(shared, "h").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    windows = base.join(near, "id").select("id", "text", "at").mapInArrow(_windows(size, period), f"h long, id {kind}, pos int")
+    windows = dealt.join(near, "id").select("id", "text", "copy", "at", *rest).mapInArrow(_windows(size, period), f"h long, id {kind}, pos int")
     first = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo")
     doubled = windows.join(first, "h").where("id > lo").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    rest = [f"carry_{c}" for c in carry]
-    out = full.join(doubled, "id", "left").select("id", "text", F.coalesce("at", F.array().cast("array<int>")).alias("at"), *rest)
-    kinds = "".join(f", {c} {dict(full.dtypes)[c]}" for c in rest)
+    out = dealt.join(doubled, "id", "left").select("id", "text", "copy", F.coalesce("at", F.array().cast("array<int>")).alias("at"), *rest)
+    out = out.unionByName(base.where("id is null").select("id", "text", F.lit(False).alias("copy"), F.array().cast("array<int>").alias("at"), *rest))
+    kinds = "".join(f", {c} {dict(base.dtypes)[c]}" for c in rest)
     cut = out.mapInArrow(_cut(size), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string{kinds}")
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *[F.col(f"carry_{c}").alias(c) for c in carry])
