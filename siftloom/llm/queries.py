@@ -70,5 +70,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WORDS = """w AS (SELECT doc_id, i, ws[i] AS word, len(ws) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)))"""
+
+OP3 = f"""WITH {_WORDS.format(text="coalesce(text, '')")},
+    win AS (SELECT *, CASE WHEN i + 49 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS h FROM w),
+    low AS (SELECT h, min(doc_id) AS lo FROM win WHERE h IS NOT NULL GROUP BY h),
+    m AS (SELECT win.doc_id, i, word, max(CASE WHEN lo < win.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY win.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM win LEFT JOIN low ON win.h = low.h),
+    a AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS kept FROM m GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id"""
+
+OP6 = """WITH c AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT sum(n) * 1.0 / count(*) AS x FROM c), r AS (SELECT s, least(16.0, x / n) AS rate FROM c, t),
+    d AS (SELECT doc_id, source, text, rate, CAST('0x' || substr(md5('mix-1|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM documents JOIN r ON coalesce(source, '') = s),
+    k AS (SELECT *, len(list_filter(range(0, 64), lambda k: u >= list_sum(list_transform(range(0, k + 1), lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1.0)))))) AS copies FROM d),
+    x AS (SELECT doc_id, source, text, CAST(unnest(range(0, copies)) AS INTEGER) AS copy FROM k)
+    SELECT doc_id, source, copy, md5('mix-1|' || doc_id || '|' || copy) AS shuffle_key, sha256(coalesce(text, '')) AS text_sha256 FROM x"""
+
+OP9 = f"""WITH RECURSIVE {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+    sh AS (SELECT DISTINCT doc_id, h FROM (SELECT doc_id, i, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) AS h FROM w) WHERE i + 3 <= n OR (n < 4 AND i = 1)),
+    cnt AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM pr JOIN cnt x ON x.doc_id = a JOIN cnt y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    reach AS (SELECT doc_id AS node, doc_id AS root FROM cnt UNION SELECT both_.b, reach.root FROM reach JOIN both_ ON both_.a = reach.node),
+    comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node)
+    SELECT d.doc_id, coalesce(cnt.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN cnt ON cnt.doc_id = d.doc_id LEFT JOIN comp ON comp.node = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need a tokenizer, xxHash, CRC-32 or a fitted model; tests hold them against plain versions."""
+    return {"op3_substring_dedup": OP3, "op6_poisson_mixing": OP6, "op9_minhash_near_dedup": OP9}
