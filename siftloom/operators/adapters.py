@@ -13,6 +13,38 @@ from siftloom.functions.text import decode_entities, html_to_text
 
 from .collect import first_by
 
+#: What the pages look like.
+BATCH_CARD = "(?is)<article\\b.*?</article>"
+BATCH_LINK = '(?i)href="(/the-batch/issue-\\d+)"'
+BATCH_DATE = '(?i)href="/the-batch/tag/[^"]+"[^>]*>([^<]+)</a>'
+BATCH_TITLE = "(?is)<(?:h2|h3)\\b[^>]*>(.*?)</(?:h2|h3)>"
+BATCH_LABEL = '(?i)aria-label="([^"]+)"'
+PARAGRAPH = "(?is)<p\\b[^>]*>(.*?)</p>"
+EPOCH_LINK = '(?i)<a href="([^"]+)" class="cover-link"></a>'
+EPOCH_BADGE = '(?i)<span class="badge-text">([^<]+)</span>'
+EPOCH_TITLE = '(?is)class="cover-link"></a>.*?<span class="trim">(.*?)</span>'
+EPOCH_TEXT = '(?is)<p class="body-3 trim">(.*?)</p>'
+SINA_CARD = '(?is)<a class="post-link" href="[^"]+">.*?<article class="post">.*?</article>.*?</a>'
+SINA_TEXT = '(?is)<div class="post-text">(.*?)</div>'
+SINA_TIME = '(?i)<div class="time">\\s*([^<]+)'
+GUIDE_LINK = "https://blog\\.waytoagi\\.com/article/news-(\\d{4})(\\d{2})(\\d{2})"
+GUIDE_TITLE = '(?is)<div class="text-sm font-bold">(.*?)</div>'
+GUIDE_TEXT = '(?is)<div class="text-gray-500[^>]*>(.*?)</div>'
+NOTE_TOKEN = '(?is)<div class="date">[^<]+</div>|<a href="[^"]+" class="note">.*?</a>'
+NOTE_MONTH = '(?i)^<div class="date">([^<]+)</div>'
+NOTE_LINK = '(?i)<a href="([^"]+)" class="note">'
+NOTE_TITLE = "(?is)<h3>(.*?)</h3>"
+NOTE_TEXT = '(?is)<div class="description">(.*?)</div>'
+MAP_URL = "(?is)<url>.*?</url>"
+MAP_LOC = "(?i)<loc>([^<]+)</loc>"
+MAP_DATE = "(?i)<lastmod>([^<]+)</lastmod>"
+PAGE_TITLE = "(?is)<title[^>]*>(.*?)</title>"
+PAGE_DATE = '"datePublished"\\s*:\\s*"([^"]+)"'
+LETTER_LINK = 'href="(/newsletter/\\d{4}/\\d{2})'
+LETTER_TITLE = "(?is)<h1[^>]*>(.*?)</h1>"
+LETTER_TEXT = '(?is)<div class="page-description">(.*?)</div>'
+LETTER_BODY = "(?is)<article\\b[^>]*>(.*?)</article>"
+
 Entries = Callable[[Column], Column]
 REGISTRY: dict[str, Entries] = {}
 KIND = "array<struct<title:string,link:string,published:string,content:string>>"
@@ -46,11 +78,11 @@ def entry(title: Column, link: Column, published: Column, content: Column) -> Co
 @adapter("the-batch")
 def issue_cards(html: Column) -> Column:
     def card(b: Column) -> Column:
-        link, date = _one(b, '(?i)href="(/the-batch/issue-\\d+)"'), _one(b, '(?i)href="/the-batch/tag/[^"]+"[^>]*>([^<]+)</a>')
-        title = F.coalesce(_one(b, "(?is)<(?:h2|h3)\\b[^>]*>(.*?)</(?:h2|h3)>"), _one(b, '(?i)aria-label="([^"]+)"'))
-        return entry(title, F.concat(F.lit("https://www.deeplearning.ai"), link), date, _one(b, "(?is)<p\\b[^>]*>(.*?)</p>"))
+        link, date = _one(b, BATCH_LINK), _one(b, BATCH_DATE)
+        title = F.coalesce(_one(b, BATCH_TITLE), _one(b, BATCH_LABEL))
+        return entry(title, F.concat(F.lit("https://www.deeplearning.ai"), link), date, _one(b, PARAGRAPH))
 
-    return F.transform(_blocks(html, "(?is)<article\\b.*?</article>"), card)
+    return F.transform(_blocks(html, BATCH_CARD), card)
 
 
 @adapter("epoch")
@@ -60,10 +92,10 @@ def listing_cards(html: Column) -> Column:
 
     def card(b: Column, i: Column) -> Column:
         own = F.when(i == F.size(parts) - 1, F.substring(b, 1, 10_000)).otherwise(b)
-        path = F.when(F.startswith(_one(own, '(?i)<a href="([^"]+)" class="cover-link"></a>'), F.lit("/")), _one(own, '(?i)<a href="([^"]+)" class="cover-link"></a>'))
-        badges = F.transform(F.regexp_extract_all(own, F.lit('(?i)<span class="badge-text">([^<]+)</span>'), F.lit(1)), lambda x: F.regexp_replace(clean(x), "([A-Z][a-z]{2})\\.", "$1"))
-        title = _one(own, '(?is)class="cover-link"></a>.*?<span class="trim">(.*?)</span>')
-        return entry(title, F.concat(F.lit("https://epoch.ai"), path), F.get(F.filter(badges, lambda x: parse(x).isNotNull()), 0), _one(own, '(?is)<p class="body-3 trim">(.*?)</p>'))
+        path = F.when(F.startswith(_one(own, EPOCH_LINK), F.lit("/")), _one(own, EPOCH_LINK))
+        badges = F.transform(F.regexp_extract_all(own, F.lit(EPOCH_BADGE), F.lit(1)), lambda x: F.regexp_replace(clean(x), "([A-Z][a-z]{2})\\.", "$1"))
+        title = _one(own, EPOCH_TITLE)
+        return entry(title, F.concat(F.lit("https://epoch.ai"), path), F.get(F.filter(badges, lambda x: parse(x).isNotNull()), 0), _one(own, EPOCH_TEXT))
 
     return F.transform(parts, card)
 
@@ -84,22 +116,22 @@ def embedded_posts(html: Column) -> Column:
 @adapter("sina-media")
 def post_cards(html: Column) -> Column:
     def card(b: Column) -> Column:
-        path, body = _one(b, '(?i)href="([^"]+)"'), F.coalesce(_one(b, '(?is)<div class="post-text">(.*?)</div>'), F.lit(""))
+        path, body = _one(b, '(?i)href="([^"]+)"'), F.coalesce(_one(b, SINA_TEXT), F.lit(""))
         link = F.when(path.rlike("(?i)^https?:"), path).otherwise(F.concat(F.lit("https://www.sina.cn"), path))
         title = F.coalesce(F.nullif(F.substring(clean(body), 1, 120), F.lit("")), F.lit("(无标题)"))
-        return entry(title, link, F.concat(F.regexp_replace(F.trim(_one(b, '(?i)<div class="time">\\s*([^<]+)')), "^(\\S+)\\s+(\\d\\d:\\d\\d)$", "$1T$2:00"), F.lit("+08:00")), body)
+        return entry(title, link, F.concat(F.regexp_replace(F.trim(_one(b, SINA_TIME)), "^(\\S+)\\s+(\\d\\d:\\d\\d)$", "$1T$2:00"), F.lit("+08:00")), body)
 
-    return F.transform(_blocks(html, '(?is)<a class="post-link" href="[^"]+">.*?<article class="post">.*?</article>.*?</a>'), card)
+    return F.transform(_blocks(html, SINA_CARD), card)
 
 
 @adapter("waytoagi")
 def dated_slugs(html: Column) -> Column:
-    link = "https://blog\\.waytoagi\\.com/article/news-(\\d{4})(\\d{2})(\\d{2})"
+    link = GUIDE_LINK
     found = _blocks(html, f'(?is)href="{link}".{{0,1000}}?<div class="text-sm font-bold">.*?</div>\\s*<div class="text-gray-500[^>]*>.*?</div>')
 
     def card(b: Column) -> Column:
         date = F.regexp_replace(F.regexp_extract(b, link, 0), "^.*news-(\\d{4})(\\d{2})(\\d{2})$", "$1-$2-$3T00:00:00+08:00")
-        return entry(_one(b, '(?is)<div class="text-sm font-bold">(.*?)</div>'), F.regexp_extract(b, link, 0), date, _one(b, '(?is)<div class="text-gray-500[^>]*>(.*?)</div>'))
+        return entry(_one(b, GUIDE_TITLE), F.regexp_extract(b, link, 0), date, _one(b, GUIDE_TEXT))
 
     return F.transform(found, card)
 
@@ -107,14 +139,14 @@ def dated_slugs(html: Column) -> Column:
 @adapter("alignment")
 def monthly_notes(html: Column) -> Column:
     """Notes under month headings: each note takes the last heading before it."""
-    tokens = _blocks(html, '(?is)<div class="date">[^<]+</div>|<a href="[^"]+" class="note">.*?</a>')
+    tokens = _blocks(html, NOTE_TOKEN)
     start = F.struct(F.lit(None).cast("string").alias("month"), F.array().cast(KIND).alias("out"))
 
     def step(a: Column, t: Column) -> Column:
-        heading = _one(t, '(?i)^<div class="date">([^<]+)</div>')
-        href = _one(t, '(?i)<a href="([^"]+)" class="note">')
+        heading = _one(t, NOTE_MONTH)
+        href = _one(t, NOTE_LINK)
         link = F.when(href.rlike("(?i)^https?:"), href).otherwise(F.concat(F.lit("https://alignment.anthropic.com/"), F.regexp_replace(href, "^\\.?/", "")))
-        note = entry(_one(t, "(?is)<h3>(.*?)</h3>"), link, F.regexp_replace(a["month"], "^([A-Za-z]+) (\\d{4})$", "$1 1, $2"), _one(t, '(?is)<div class="description">(.*?)</div>'))
+        note = entry(_one(t, NOTE_TITLE), link, F.regexp_replace(a["month"], "^([A-Za-z]+) (\\d{4})$", "$1 1, $2"), _one(t, NOTE_TEXT))
         return F.struct(F.when(heading.isNotNull(), clean(heading)).otherwise(a["month"]).alias("month"), F.when(heading.isNull() & a["month"].isNotNull(), F.concat(a["out"], F.array(note).cast(KIND))).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(tokens, start, step, lambda a: a["out"])
@@ -129,9 +161,9 @@ def citation_date(html: Column) -> Column:
 def sitemap(xml: Column, include: str | None = None) -> Column:
     """(link, lastmod) of each address that fits include."""
     def url(b: Column) -> Column:
-        return F.struct(decode_entities(_one(b, "(?i)<loc>([^<]+)</loc>")).alias("link"), parse(_one(b, "(?i)<lastmod>([^<]+)</lastmod>")).alias("lastmod"))
+        return F.struct(decode_entities(_one(b, MAP_LOC)).alias("link"), parse(_one(b, MAP_DATE)).alias("lastmod"))
 
-    found = F.transform(_blocks(xml, "(?is)<url>.*?</url>"), url)
+    found = F.transform(_blocks(xml, MAP_URL), url)
     return F.filter(found, lambda u: u["link"].isNotNull() & (u["link"].rlike(include) if include else F.lit(True)))
 
 
@@ -152,23 +184,23 @@ def meta(html: Column, key: str) -> Column:
 
 
 def article_meta(html: Column, link: Column, fallback: Column) -> Column:
-    title = F.coalesce(meta(html, "og:title"), _one(html, "(?is)<title[^>]*>(.*?)</title>"), link)
-    date = F.coalesce(_one(html, '"datePublished"\\s*:\\s*"([^"]+)"'), meta(html, "article:published_time"), fallback)
+    title = F.coalesce(meta(html, "og:title"), _one(html, PAGE_TITLE), link)
+    date = F.coalesce(_one(html, PAGE_DATE), meta(html, "article:published_time"), fallback)
     return entry(title, link, date, F.coalesce(meta(html, "og:description"), meta(html, "description")))
 
 
 def newsletter_links(index: Column, now: Column, base: str = "https://gwern.net", months: int = 5, most: int = 6) -> Column:
     """This month's and the last months' addresses, then those in the index, newest first, most in all."""
     derived = F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda i: F.date_format(F.add_months(F.trunc(now, "month"), -i), f"'{base}/newsletter/'yyyy/MM"))
-    found = F.transform(F.reverse(F.array_sort(F.array_distinct(F.regexp_extract_all(index, F.lit('href="(/newsletter/\\d{4}/\\d{2})'), F.lit(1))))), lambda x: F.concat(F.lit(base), x))
+    found = F.transform(F.reverse(F.array_sort(F.array_distinct(F.regexp_extract_all(index, F.lit(LETTER_LINK), F.lit(1))))), lambda x: F.concat(F.lit(base), x))
     return F.slice(F.array_union(derived, found), 1, most)
 
 
 def newsletter(html: Column, link: Column) -> Column:
     """The entry of one newsletter page; null without a title or a date in its address."""
-    title, month = _one(html, "(?is)<h1[^>]*>(.*?)</h1>"), F.regexp_extract(link, "/newsletter/(\\d{4}/\\d{2})", 1)
-    description = F.coalesce(_one(html, '(?is)<div class="page-description">(.*?)</div>'), meta(html, "description"))
-    body = F.coalesce(_one(html, "(?is)<article\\b[^>]*>(.*?)</article>"), description)
+    title, month = _one(html, LETTER_TITLE), F.regexp_extract(link, "/newsletter/(\\d{4}/\\d{2})", 1)
+    description = F.coalesce(_one(html, LETTER_TEXT), meta(html, "description"))
+    body = F.coalesce(_one(html, LETTER_BODY), description)
     return F.when(title.isNotNull() & (month != ""), entry(title, link, F.concat(F.replace(month, F.lit("/"), F.lit("-")), F.lit("-01T00:00:00Z")), body))
 
 
