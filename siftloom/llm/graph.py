@@ -2,21 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Graphs of no more edges than this, 16 MB of ids, are solved by one task; larger ones by passes over all tasks.
+SMALL = 1_000_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict = {}
+    kind = None
+
+    def find(x):
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["node", "root"])
+
 
-def components(edges: DataFrame, limit: int = 64) -> DataFrame:
+def components(edges: DataFrame, limit: int = 64, small: int = SMALL) -> DataFrame:
     """Columns (node, root) for every node of edges (a, b): root is the smallest node that it reaches.
 
-    Union-find by alternating large stars and small stars: each pass hangs every node's neighbours on the smallest of
+    A graph whose edges are counted as few is solved by union-find in one task. Beyond that it is union-find by alternating
+    large stars and small stars: each pass hangs every node's neighbours on the smallest of
     them, so trees get flat in about as many passes as the logarithm of the longest path. Each pass is a partial
     aggregation and a join on a node, whose large partitions adaptive execution may split, so a node with a third of
     all edges is no single task's burden. Nothing but two numbers a pass reaches the driver.
     """
     pairs = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if pairs.count() <= small:
+        kind = dict(pairs.dtypes)["u"]
+        return pairs.coalesce(1).mapInArrow(_union_find, f"node {kind}, root {kind}")
     before = None
     for _ in range(limit):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -25,17 +26,28 @@ def _signatures(size: int, slots: int, rows: int):
                 if len(some):
                     first[0, some] = np.add.reduceat(K.mix64(h), ptr[:-1][some])
                     first[1, some] = np.bitwise_xor.reduceat(K.mix64(h + np.uint64(1)), ptr[:-1][some])
-                keys = K.bands(K.superminhash(h, ptr, slots), rows)
-                b = keys.shape[1]
+                sig = K.superminhash(h, ptr, slots)
+                keys, low = K.bands(sig, rows), np.ascontiguousarray(sig.astype(np.uint8))
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), K.signed(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.lo, c.hi - c.lo), pa.array(n), K.signed(first[0]), K.signed(first[1]),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) * b + 1, b, dtype=np.int32)), K.signed(keys.reshape(-1)))],
-                    names=["id", "n", "h1", "h2", "bands"],
+                    [batch.column(0).slice(c.lo, c.hi - c.lo), pa.array(n), K.signed(first[0]), K.signed(first[1]), lists(keys), lists(low.view(np.uint64))],
+                    names=["id", "n", "h1", "h2", "bands", "low"],
                 )
 
     return run
 
 
+def _elements(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in K.chunks(batch.column(1)):
+                h, ptr = K.shingles(c.data, c.offs, size)
+                doc = np.repeat(np.arange(c.lo, c.hi), np.diff(ptr))
+                yield pa.RecordBatch.from_arrays([K.signed(h), batch.column(0).take(pa.array(doc))], names=["h", "rep"])
+
+    return run
+
+
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,7 +67,23 @@ def _verify(size: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, n_bands: int = 24, rows: int = 4, leaders: int = 8) -> DataFrame:
+def _alike(a: str, b: str, slots: int) -> Column:
+    """How many of the slots' low bytes are equal, eight to a number: the bits of each byte that differs are folded into its lowest."""
+    differ = F.lit(0)
+    for i in range(slots // 8):
+        x = F.get(a, i).bitwiseXOR(F.get(b, i))
+        for k in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(slots) - differ
+
+
+def _least_alike(slots: int, share: float) -> int:
+    """Equal slots that a link has but for a chance of 1e-6: 4.75 standard deviations below the mean at the threshold."""
+    return math.floor(slots * share - 4.75 * math.sqrt(slots * share * (1 - share)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, n_bands: int = 24, rows: int = 4, leaders: int = 4) -> DataFrame:
     """Columns (id, n_shingles, component_id, kept) for each row of docs.
 
     A document is the set of its distinct shingles of size lower-cased words (its whole sequence if it has fewer).
@@ -65,25 +93,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Documents with equal sets become one class, by two 64-bit sums of the set, before anything is compared.
     2. SuperMinHash of n_bands * rows slots for each class, banded. A link of exactly 0.8 shares no band with a chance
        of (1 - 0.8 ** rows) ** n_bands, 3e-6 by default.
-    3. In each bucket all classes are compared on their full sets with the smallest, which gives linear many pairs.
-    4. Buckets whose classes are not in one component yet get more leaders (8, 32, 128, ... new ones each round), each
-       compared with the classes of other components, until every pair in a bucket is compared or connected. So no pair
-       that shares a bucket is lost, and a large group of copies, being connected at once, is never expanded.
+    3. In each bucket all classes are compared on their full sets with its hub, the class that shares buckets most, which gives
+       linear many pairs. The original that copies were made from is such a hub.
+    4. In buckets whose other classes are in several components, shingles that only one of all such classes has can be part of
+       no intersection. A class is left out if too few of its shingles remain for any link, and a pair if too few remain for
+       theirs; neither loses a link. The rest get more leaders (4, then 32 times as many each round), each compared
+       with the classes of other components whose signatures agree in enough slots (a link of exactly 0.8 fails that with
+       a chance of 1e-6), until every such pair in a bucket is compared or connected.
 
     Defined cases: null and empty texts and texts of white space have n_shingles 0 and are their own component. Rows
     that repeat an id are one node and each get a row. A null id is in no component but its own (null, not kept only
     if the id is null: kept is then true). An empty table gives an empty result. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = base.mapInArrow(_signatures(size, n_bands * rows, rows), f"id {dict(base.dtypes)['id']}, n long, h1 long, h2 long, bands array<long>")
+    sig = base.mapInArrow(_signatures(size, n_bands * rows, rows), f"id {dict(base.dtypes)['id']}, n long, h1 long, h2 long, bands array<long>, low array<long>")
+    if n_bands * rows % 8:
+        raise ValueError("n_bands * rows must be a multiple of 8")
     sig = checkpoint(sig)
     known = sig.where("n > 0 and id is not null")
-    classes = checkpoint(known.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    classes = checkpoint(known.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")))
     members = known.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("id", "rep")
 
     cells = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
-    shared = cells.groupBy("bucket").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count("*").alias("k")).where("k > 1")
-    cells = checkpoint(cells.join(shared, "bucket"))
+    cells = cells.join(cells.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "bucket")
+    hubs = cells.groupBy("rep").agg(F.sum("k").alias("hub"))
+    cells = checkpoint(cells.join(hubs, "rep").select("bucket", "rep", "n", "hub"))
     texts = base.where("id is not null").join(cells.select(F.col("rep").alias("id")).distinct(), "id").groupBy("id").agg(F.first("text").alias("text"))
     texts = checkpoint(texts)
     verify = _verify(size, percent)
@@ -95,31 +129,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return both.mapInArrow(verify, f"a {kind}, b {kind}, linked boolean").where("linked").select("a", "b")
 
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  no link between sets of other sizes
-    first = cells.where("rep <> leader").where(near(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    lead = cells.groupBy("bucket").agg(F.max(F.struct("hub", "rep", "n")).alias("lead")).select("bucket", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("leader_n"))
+    first = cells.join(lead, "bucket").where("rep <> leader").where(near(F.col("n"), F.col("leader_n"))).select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
     edges = checkpoint(linked(first))
     roots = checkpoint(components(edges))
 
-    open_cells = cells.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    mixed = open_cells.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    ranked = open_cells.join(mixed, "bucket").select("bucket", "rep", "n", F.expr("row_number() over (partition by bucket order by rep)").alias("rank"))
-    ranked = checkpoint(ranked)
-    done, more = 1, leaders
-    top = ranked.agg(F.max("rank")).first()[0] or 0
-    while done < top:
-        now = ranked.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        now = now.join(mixed, "bucket")
-        head = now.where((F.col("rank") > done) & (F.col("rank") <= done + more)).select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("rank").alias("ka"))
-        tail = now.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("rank").alias("kb"))
-        pairs = head.join(tail, "bucket").where((F.col("ra") != F.col("rb")) & ((F.col("kb") < F.col("ka")) & (F.col("kb") > done) | (F.col("kb") > F.col("ka")))).where(near(F.col("na"), F.col("nb")))
-        pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        fresh = checkpoint(linked(pairs))
-        if not fresh.isEmpty():
-            edges = edges.unionByName(fresh)
-            roots = checkpoint(components(edges))
-        done, more = done + more, more * 4
-        if done < top and not now.where(F.col("rank") > done).limit(1).count():
-            break
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of buckets whose classes are in several components, under their roots of now."""
+        now = rows.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        several = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        return now.join(several, "bucket")
+
+    rest = mixed(cells.join(lead, "bucket").where("rep <> leader").select("bucket", "rep", "n", "hub"))
+    rest = checkpoint(rest.join(classes.select("rep", "low"), "rep").select("bucket", "rep", "n", "hub", "low", "root"))
+    sets = texts.join(rest.select(F.col("rep").alias("id")).distinct(), "id").select("id", "text").mapInArrow(_elements(size), f"h long, rep {kind}")
+    alone = sets.groupBy("h").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    rest = rest.join(alone, "rep", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("common") * 100 >= F.col("n") * percent)
+    ranked = checkpoint(rest.select("bucket", "rep", "n", "low", "common", "root", F.expr("row_number() over (partition by bucket order by hub desc, rep desc)").alias("rank")))
+    likely = _least_alike(n_bands * rows, percent / 100)
+    done, more = 0, leaders
+    while (ranked.agg(F.max("rank")).first()[0] or 0) > done:
+        head = ranked.where((F.col("rank") > done) & (F.col("rank") <= done + more)).select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("common").alias("ca"), F.col("root").alias("ra"), F.col("rank").alias("ka"))
+        tail = ranked.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("common").alias("cb"), F.col("root").alias("rb"), F.col("rank").alias("kb"))
+        # whom an earlier leader was not connected with, it was compared with
+        enough = F.least("ca", "cb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+        pairs = head.join(tail, "bucket").where(enough & (F.col("ra") != F.col("rb")) & (F.col("kb") > F.col("ka")) & near(F.col("na"), F.col("nb")) & (_alike("la", "lb", n_bands * rows) >= likely))
+        fresh = checkpoint(linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        edges = checkpoint(edges.unionByName(fresh))
+        roots = checkpoint(components(edges))
+        done, more = done + more, more * 32
+        ranked = checkpoint(mixed(ranked.drop("root")))
     found = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component")).distinct()
     return sig.select("id", "n").join(found, "id", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept")
