@@ -56,21 +56,23 @@ def as_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
 
-def next_ids(docs: DataFrame, id_col: str) -> DataFrame:
-    """Columns (id, next_id) for each distinct id that isn't null, in ascending order; the first follows the last.
+def next_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Columns (id, half, next_id) for each distinct id that isn't null, in ascending order; the first follows the last.
+    half is half of the id's (longest) text's characters.
 
     Only ids are dealt out by range and ordered, each range by itself; the number of ranges bounds what joins them.
     """
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    half = F.floor(F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) / 2).cast("int")
+    ids = docs.select(F.col(id_col).alias("id"), half.alias("half")).where("id is not null").groupBy("id").agg(F.max("half").alias("half"))
     n = partitions(docs.sparkSession)
     ranged = checkpoint(ids.repartitionByRange(n, "id").withColumn("part", F.spark_partition_id()))
     firsts = [(r[0], r[1]) for r in ranged.groupBy("part").agg(F.min("id")).orderBy("part").collect()]  # a row for each range
     after = {p: firsts[(i + 1) % len(firsts)][1] for i, (p, _) in enumerate(firsts)}
     follow = ranged.withColumn("next_id", F.expr("lead(id) over (partition by part order by id)"))
     if not after:
-        return follow.select("id", "next_id")
+        return follow.select("id", "half", "next_id")
     first = docs.sparkSession.createDataFrame(list(after.items()), f"part int, first_id {dict(ids.dtypes)['id']}")
-    return follow.join(F.broadcast(first), "part").select("id", F.coalesce("next_id", "first_id").alias("next_id"))
+    return follow.join(F.broadcast(first), "part").select("id", "half", F.coalesce("next_id", "first_id").alias("next_id"))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, keep: int = 64) -> DataFrame:
@@ -93,9 +95,10 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     # the filter stands below both uses, so that the exchange of texts and sketches by id is one and the same
     own = fingerprint(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, keep)
-    follow = next_ids(docs, id_col)
-    right = own.join(follow.select(F.col("next_id").alias("doc_id"), F.col("id").alias("before")), "doc_id")
-    right = right.select(F.col("before").alias("doc_id"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
+    follow = next_ids(docs, id_col, text_col)
+    right = own.join(follow.select(F.col("next_id").alias("doc_id"), F.col("id").alias("before"), "half"), "doc_id")
+    # of the next text only what replaces the second half goes to its neighbour
+    right = right.select(F.col("before").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("next_text"), F.col("sketch").alias("next_sketch"))
     nameless = fingerprint(docs.where(F.col(id_col).isNull()), id_col, text_col, k, keep)
     rows = own.join(right, "doc_id", "left").unionByName(nameless, allowMissingColumns=True)
     n = F.char_length("text")
