@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: No more copies than this. With rates up to MOST_RATE the chance of more is below 1e-18.
-MOST_COPIES = 64
-MOST_RATE = 16.0
+from .common import let
+
+#: What one hash draws: rates up to PART_RATE, of which more than PART_COPIES have a chance below 1e-18, less than a hash of
+#: 48 bits can tell. Larger rates are drawn in parts.
+PART_COPIES = 64
+PART_RATE = 16.0
 
 
 def uniform(text: Column) -> Column:
@@ -16,14 +19,26 @@ def uniform(text: Column) -> Column:
 
 
 def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The number of Poisson steps whose cumulative chance is at most u: the inverse of the distribution at u."""
+    """The number of Poisson steps whose cumulative chance is at most u: the inverse of the distribution at u. For rates up to PART_RATE."""
     start = F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"))
 
     def step(a: Column, k: Column) -> Column:
         term = a["term"] * rate / k
         return F.struct((a["n"] + F.when(u >= a["sum"], 1).otherwise(0)).alias("n"), term.alias("term"), (a["sum"] + term).alias("sum"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_COPIES)), start, step, lambda a: a["n"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PART_COPIES)), start, step, lambda a: a["n"])
+
+
+def poisson(seed: str, key: Column, rate: Column) -> Column:
+    """A Poisson number of any rate, drawn by seed and key: the sum over equal parts of at most PART_RATE, each drawn by
+    its own hash, which is a Poisson number of the whole rate. The first part's hash is that of a rate in one part."""
+    parts = F.greatest(F.lit(1), F.ceil(rate / PART_RATE).cast("int"))
+
+    def drawn(n: Column) -> Column:
+        text = lambda i: F.concat(F.lit(seed), F.when(i > 0, F.concat(F.lit("#"), i.cast("string"))).otherwise(""), F.lit("|"), key)
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + let(F.struct(uniform(text(i)).alias("u"), (rate / n).alias("rate")), lambda x: poisson_inverse(x["u"], x["rate"])))
+
+    return let(parts, drawn)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", order: bool = True) -> DataFrame:
@@ -31,7 +46,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
 
     weights are the target shares of the sources (equal shares if None; a source that isn't named gets share 0 and goes;
     a null source is the source ''). The result has about total times the rows of docs, so a row of source s is drawn with
-    the rate share(s) * total * rows / rows(s), at most MOST_RATE. The draw inverts the distribution at a hash of
+    the rate share(s) * total * rows / rows(s), however large. The draw inverts the distribution at hashes of
     seed and id, so it is the same in every run and on every cluster. Columns copy (int, from 0) and shuffle_key (32 hex
     digits of a hash of seed, id and copy) are appended; rows are sorted by shuffle_key if order.
 
@@ -54,10 +69,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
             share = F.when(F.col("mix_source") == name, F.lit(float(weight))).otherwise(share)
     counts = counts.withColumn("mix_share", share)
     per_share = counts.agg((F.sum("mix_n") / F.sum("mix_share")).alias("x")).scalar()
-    rates = counts.select("mix_source", F.least(F.lit(MOST_RATE), F.col("mix_share") * F.lit(float(total)) * per_share / F.col("mix_n")).alias("mix_rate"))
+    rates = counts.select("mix_source", (F.col("mix_share") * F.lit(float(total)) * per_share / F.col("mix_n")).alias("mix_rate"))
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rows = docs.select(*names, source.alias("mix_source"), key.alias("mix_key")).join(rates, "mix_source")
-    rows = rows.withColumn("mix_u", uniform(F.concat(F.lit(f"{seed}|"), F.col("mix_key")))).withColumn("mix_copies", poisson_inverse(F.col("mix_u"), F.col("mix_rate"))).where("mix_copies > 0")
+    rows = rows.withColumn("mix_copies", poisson(seed, F.col("mix_key"), F.col("mix_rate"))).where("mix_copies > 0")
     rows = rows.select(*names, "mix_key", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("copy"))
     rows = rows.select(*names, "copy", F.md5(F.concat(F.lit(f"{seed}|"), F.col("mix_key"), F.lit("|"), F.col("copy").cast("string"))).alias("shuffle_key"))
     return rows.orderBy("shuffle_key") if order else rows

@@ -225,6 +225,18 @@ def test_poisson_inverse(spark):
             assert below <= u + 1e-9 and below + math.exp(-rate) * rate**n / math.factorial(n) > u - 1e-9
 
 
+def test_mixing_at_high_rates(spark):
+    """A source of 1 % of the rows with target 0.5 has the rate 50; one row may have the rate 1000."""
+    rows = spark.range(10_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "rare").otherwise("rest").alias("source"))
+    n = {r["source"]: r["count"] for r in mixing.mix(rows, {"rare": 1.0, "rest": 1.0}).groupBy("source").count().collect()}
+    assert abs(n["rare"] / 5_000 - 1) < 0.06 and abs(n["rest"] / 5_000 - 1) < 0.06
+    draw = [r[0] for r in spark.range(2000).select(mixing.poisson("s", F.col("id").cast("string"), F.lit(1000.0))).collect()]
+    mean = sum(draw) / 2000
+    assert abs(mean - 1000) < 3.5 and abs(sum((x - mean) ** 2 for x in draw) / 2000 / 1000 - 1) < 0.15
+    one = mixing.uniform(F.concat(F.lit("s|"), F.col("id").cast("string")))
+    assert spark.range(500).where(mixing.poisson("s", F.col("id").cast("string"), F.lit(16.0)) != mixing.poisson_inverse(one, F.lit(16.0))).count() == 0
+
+
 def test_quality(spark, docs, plain, empty):
     labels = spark.createDataFrame([(1, 1, 0), (40, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.rules(docs, labels).collect()}
