@@ -15,8 +15,9 @@ def _edge() -> Column:
     return F.lit((1 << 63) - 1).cast("long")
 
 
-def syncmers(text: Column, k: int = 3) -> Column:
-    """Hashes, in text order, of the closed syncmers of k words with inner units of one word.
+def anchors(text: Column, k: int = 3) -> Column:
+    """All closed syncmers of k words with inner units of one word, in text order: an array of structs of hash and place,
+    the number of the run's first word (from 0; negative where the run begins with edge marks).
 
     A run of k words is chosen if the smallest hash among its words lies at an edge of the run. That depends on these k
     words alone, so the same words are chosen in any other text. Edge marks stand around the text, so a text of
@@ -32,81 +33,83 @@ def syncmers(text: Column, k: int = 3) -> Column:
             rest = [F.get(h, i + j) for j in range(1, k)]
             low = F.least(x, rest[-1])
             inner = F.least(*rest[:-1]) if k > 3 else rest[0] if k == 3 else low
-            return F.when(rest[-1].isNotNull() & (low <= inner), F.xxhash64(x, *rest))
+            return F.when(rest[-1].isNotNull() & (low <= inner), F.struct(F.xxhash64(x, *rest).alias("hash"), (i - (k - 1)).alias("place")))
 
         return F.filter(F.transform(h, one), lambda x: x.isNotNull())
 
     return let(padded, chosen)
 
 
-def sketch(text: Column, k: int = 3, keep: int = 64) -> Column:
-    """The keep smallest distinct 32-bit hashes of a whole text's syncmers, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(syncmers(text, k), lambda x: F.shiftrightunsigned(x, 32)))), 1, keep)
+def syncmers(text: Column, k: int = 3) -> Column:
+    """The hashes of all anchors, in text order."""
+    return anchors(text, k)["hash"]
 
 
-def likeness(a: Column, b: Column, keep: int = 64) -> Column:
-    """The resemblance of the syncmer sets behind two sketches: the share of the smallest of the union that both have."""
-    return let(
-        F.struct(a.alias("a"), b.alias("b")),
-        lambda s: let(F.slice(F.sort_array(F.array_union(s["a"], s["b"])), 1, keep), lambda u: F.size(F.array_intersect(u, F.array_intersect(s["a"], s["b"]))) / F.size(u)),
-    )
+def likeness(a: Column, b: Column) -> Column:
+    """The resemblance of two arrays of syncmer hashes as sets: the share of the union that both have."""
+    return let(F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("all")), lambda n: n["both"] / n["all"])
 
 
-def as_text(s: Column) -> Column:
-    return F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+def digest(a: Column) -> Column:
+    """32 hex digits that stand for all anchors, hashes and places."""
+    return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), a)), 16, "0") for seed in (1, 2)]))
 
 
-def next_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Columns (id, half, next_id) for each distinct id that isn't null, in ascending order; the first follows the last.
-    half is half of the id's (longest) text's characters.
+def next_ids(docs: DataFrame, id_col: str) -> DataFrame:
+    """Columns (id, next_id) for each distinct id that isn't null, in ascending order; the first follows the last.
 
     Only ids are dealt out by range and ordered, each range by itself; the number of ranges bounds what joins them.
     """
-    half = F.floor(F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) / 2).cast("int")
-    ids = docs.select(F.col(id_col).alias("id"), half.alias("half")).where("id is not null").groupBy("id").agg(F.max("half").alias("half"))
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     n = partitions(docs.sparkSession)
     ranged = checkpoint(ids.repartitionByRange(n, "id").withColumn("part", F.spark_partition_id()))
     firsts = [(r[0], r[1]) for r in ranged.groupBy("part").agg(F.min("id")).orderBy("part").collect()]  # a row for each range
     after = {p: firsts[(i + 1) % len(firsts)][1] for i, (p, _) in enumerate(firsts)}
     follow = ranged.withColumn("next_id", F.expr("lead(id) over (partition by part order by id)"))
     if not after:
-        return follow.select("id", "half", "next_id")
+        return follow.select("id", "next_id")
     first = docs.sparkSession.createDataFrame(list(after.items()), f"part int, first_id {dict(ids.dtypes)['id']}")
-    return follow.join(F.broadcast(first), "part").select("id", "half", F.coalesce("next_id", "first_id").alias("next_id"))
+    return follow.join(F.broadcast(first), "part").select("id", F.coalesce("next_id", "first_id").alias("next_id"))
+
 
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
+    """Columns (doc_id, text, anchors) for each row: the operator alone. A null text counts as empty."""
+    return _texts(docs, id_col, text_col).withColumn("anchors", anchors(F.col("text"), k))
 
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, keep: int = 64) -> DataFrame:
-    """Columns (doc_id, text, sketch) for each row: the operator alone. A null text counts as empty."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = F.col(id_col) if id_col == "doc_id" else F.col(id_col).alias("doc_id")
-    return docs.select(key, text.alias("text")).withColumn("sketch", sketch(F.col("text"), k, keep))
+    return docs.select(key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, keep: int = 64) -> DataFrame:
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """Fingerprints of each text, of the text with its second half overwritten by the next document's beginning, and
     how alike these are.
 
-    Columns (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). The next document
-    is that of the next larger id; the first follows the last.
+    Columns (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, anchors,
+    edited_anchors). anchors are all syncmers with their places, which match texts by position; fingerprint is their
+    digest. The likenesses are exact, on all syncmers. The next document is that of the next larger id; the first
+    follows the last.
+
+    Anchors take more room than the text, so texts are shuffled and anchors made where they are compared.
 
-    Defined cases: null and empty texts are the same empty text, whose fingerprint is that of two edges alone. Rows
+    Defined cases: null and empty texts are the same empty text, whose fingerprint is that of edges alone. Rows
     that repeat an id are paired with each row of the next id. A null id has no next document: its edited text keeps
     its first half only and near_next is 0. In a table of one document, the next is that document.
     """
-    # the filter stands below both uses, so that the exchange of texts and sketches by id is one and the same
-    own = fingerprint(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, keep)
-    follow = next_ids(docs, id_col, text_col)
-    right = own.join(follow.select(F.col("next_id").alias("doc_id"), F.col("id").alias("before"), "half"), "doc_id")
-    # of the next text only what replaces the second half goes to its neighbour
-    right = right.select(F.col("before").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("next_text"), F.col("sketch").alias("next_sketch"))
-    nameless = fingerprint(docs.where(F.col(id_col).isNull()), id_col, text_col, k, keep)
+    # the filter stands below both uses, so that the exchange of texts by id is one and the same
+    own = _texts(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    follow = next_ids(docs, id_col)
+    right = own.join(follow.select(F.col("next_id").alias("doc_id"), F.col("id").alias("before")), "doc_id")
+    right = right.select(F.col("before").alias("doc_id"), F.col("text").alias("next_text"))
+    nameless = _texts(docs.where(F.col(id_col).isNull()), id_col, text_col)
     rows = own.join(right, "doc_id", "left").unionByName(nameless, allowMissingColumns=True)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
-    rows = rows.select("*", sketch(F.col("edited"), k, keep).alias("edited_sketch"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), anchors(F.col("text"), k).alias("anchors"), syncmers(F.col("next_text"), k).alias("next"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "anchors", "next", anchors(F.col("edited"), k).alias("edited_anchors"))
     return rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch"), keep).alias("near_edited"), F.coalesce(likeness(F.col("sketch"), F.col("next_sketch"), keep), F.lit(0.0)).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", digest(F.col("anchors")).alias("fingerprint"), digest(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors.hash"), F.col("edited_anchors.hash")).alias("near_edited"), F.when(F.col("next").isNull(), 0.0).otherwise(likeness(F.col("anchors.hash"), F.col("next"))).alias("near_next"), "anchors", "edited_anchors",
     )

@@ -187,6 +187,28 @@ def test_closed_syncmers_are_chosen_at_the_edges(spark):
     assert len(chosen["s"]) == want
 
 
+def test_fingerprints_keep_all_anchors_and_places(spark):
+    """Long texts that differ in one word of the middle, and one that has the other's passage further behind."""
+    base = words(random.Random(9), 1500).split()
+    changed = [*base[:750], "changed", *base[751:]]
+    late = ["before"] * 40 + base[300:900]
+    rows = list(enumerate([" ".join(base), " ".join(changed), " ".join(late)]))
+    got = {r["doc_id"]: r for r in fingerprints.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = {i: [(x["hash"], x["place"]) for x in r["anchors"]] for i, r in got.items()}
+    assert got[0]["fingerprint"] != got[1]["fingerprint"]
+    runs = spark.createDataFrame([(" ".join(base),)], "text string").select(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h")).first()["h"]
+    h = [(1 << 63) - 1] * 2 + runs + [(1 << 63) - 1] * 2
+    assert [p for _, p in at[0]] == [i - 2 for i in range(len(h) - 2) if min(h[i : i + 3]) in (h[i], h[i + 2])]
+    apart = {p for _, p in at[0]} - {p for x, p in at[0] if (x, p) in set(at[1])}
+    assert apart and apart <= {748, 749, 750}
+    inside = {(x, p - 300 + 40) for x, p in at[0] if 300 <= p <= 897}
+    assert len(inside) > 300 and inside <= set(at[2])
+    sets = {i: {x for x, _ in a} for i, a in at.items()}
+    for i, r in got.items():
+        own, nxt, edited = sets[i], sets[(i + 1) % 3], {x["hash"] for x in r["edited_anchors"]}
+        assert abs(r["near_next"] - len(own & nxt) / len(own | nxt)) < 1e-12 and abs(r["near_edited"] - len(own & edited) / len(own | edited)) < 1e-12
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard(docs, [1.0] * 6, chunk=3).collect()
     by: dict = {}
