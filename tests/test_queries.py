@@ -30,3 +30,11 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_validate_required_reports_every_field(spark, tmp_path):
+    texts = [(1, None, "s"), (2, "", "s"), (3, "\nsecond line", "s"), (4, "a title", None), (5, "a title", "s")]
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts, 1.0D AS value, 'view' AS event_type FROM range(1, 5)").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["id"], r["field"]) for r in entry.queries()["validate_required"](spark, str(tmp_path)).collect()}
+    assert got == {(str(i), "tail") for i in range(1, 6)} | {("1", "title"), ("2", "title"), ("3", "title"), ("4", "source"), ("5", "published_at")}
