@@ -79,7 +79,7 @@ def _alike(a: str, b: str, slots: int) -> Column:
 
 
 def _least_alike(slots: int, share: float) -> int:
-    """Equal slots that a link has but for a chance of 1e-6: 4.75 standard deviations below the mean at the threshold."""
+    """Equal slots that a link has but for a small chance (3.0e-6 for 96 slots and 0.8): 4.75 standard deviations below the mean at the threshold."""
     return math.floor(slots * share - 4.75 * math.sqrt(slots * share * (1 - share)))
 
 
@@ -99,7 +99,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        no intersection. A class is left out if too few of its shingles remain for any link, and a pair if too few remain for
        theirs; neither loses a link. The rest get more leaders (4, then 32 times as many each round), each compared
        with the classes of other components whose signatures agree in enough slots (a link of exactly 0.8 fails that with
-       a chance of 1e-6), until every such pair in a bucket is compared or connected.
+       a chance of 3.0e-6 by default), until every such pair in a bucket is compared or connected.
 
     Defined cases: null and empty texts and texts of white space have n_shingles 0 and are their own component. Rows
     that repeat an id are one node and each get a row. A null id is in no component but its own (null, not kept only
