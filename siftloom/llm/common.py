@@ -37,12 +37,15 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the folder of spark.checkpoint.dir, which all executors share.
 
-    A folder of this machine is taken only where the session names none, as in local tests.
+    A folder of this machine is taken only where the session names none and runs on this machine alone, as in tests.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "siftloom-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "siftloom-checkpoints"))
     return df.checkpoint(eager=True)
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Graphs of no more edges than this, 16 MB of ids, are solved by one task; larger ones by passes over all tasks.
-SMALL = 1_000_000
+#: Graphs of no more edges than this are solved by one task, in a few dozen MB; larger ones by passes over all tasks.
+SMALL = 200_000
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +37,7 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["node", "root"])
 
 
-def components(edges: DataFrame, limit: int = 64, small: int = SMALL) -> DataFrame:
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """Columns (node, root) for every node of edges (a, b): root is the smallest node that it reaches.
 
     A graph whose edges are counted as few is solved by union-find in one task. Beyond that it is union-find by alternating
@@ -51,7 +51,7 @@ def components(edges: DataFrame, limit: int = 64, small: int = SMALL) -> DataFra
         kind = dict(pairs.dtypes)["u"]
         return pairs.coalesce(1).mapInArrow(_union_find, f"node {kind}, root {kind}")
     before = None
-    for _ in range(limit):
+    while True:
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
@@ -60,7 +60,7 @@ def components(edges: DataFrame, limit: int = 64, small: int = SMALL) -> DataFra
         small = joined.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v"))).distinct()
         pairs = checkpoint(small)
         now = tuple(pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if now == before:
+        if now == before:  # nothing changed: all trees are flat
             break
         before = now
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
