@@ -94,14 +94,14 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Anchors take more room than the text, so texts are shuffled and anchors made where they are compared.
 
     Defined cases: null and empty texts are the same empty text, whose fingerprint is that of edges alone. Rows
-    that repeat an id are paired with each row of the next id. A null id has no next document: its edited text keeps
+    that repeat an id each have a row, all with the same next text; of a next id that repeats, the smallest text is taken. A null id has no next document: its edited text keeps
     its first half only and near_next is 0. In a table of one document, the next is that document.
     """
     # the filter stands below both uses, so that the exchange of texts by id is one and the same
     own = _texts(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     follow = next_ids(docs, id_col)
     right = own.join(follow.select(F.col("next_id").alias("doc_id"), F.col("id").alias("before")), "doc_id")
-    right = right.select(F.col("before").alias("doc_id"), F.col("text").alias("next_text"))
+    right = right.groupBy("doc_id").agg(F.min("before").alias("before"), F.min("text").alias("next_text")).select(F.col("before").alias("doc_id"), "next_text")
     nameless = _texts(docs.where(F.col(id_col).isNull()), id_col, text_col)
     rows = own.join(right, "doc_id", "left").unionByName(nameless, allowMissingColumns=True)
     n = F.char_length("text")

@@ -87,15 +87,42 @@ def test_near_duplicate_chains_of_many_copies(spark):
     assert got == brute.near(rows)
 
 
+def edited(rng, base, share):
+    """A copy with about a share of its words replaced, dropped or doubled."""
+    out = []
+    for w in base:
+        if rng.random() >= share:
+            out.append(w)
+        elif rng.random() < 0.8:
+            out += [words(rng, 1)] * rng.choice((1, 1, 2))
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("original", [True, False])
+def test_near_duplicates_in_one_large_group_of_edited_copies(spark, original):
+    """1200 copies of one text at resemblances on both sides of the threshold, with and without the original."""
+    rng = random.Random(12)
+    base = words(rng, 80).split()
+    rows = [(i, edited(rng, base, rng.choice((0.01, 0.03, 0.05, 0.08)))) for i in range(1200)]
+    if original:
+        rows.append((1200, " ".join(base)))
+    got = {r["id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
+    assert got == brute.near(rows)
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = neardup.near_duplicates(df, size=4).collect()
     assert sorted((r["id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+    a, b = words(random.Random(1), 60), words(random.Random(2), 60)
+    other = spark.createDataFrame([(0, a), (1, a), (1, b), (2, b)], "doc_id long, text string")
+    got = neardup.near_duplicates(other, size=4).collect()
+    assert sorted((r["id"], r["component_id"], r["kept"]) for r in got) == [(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False)]
     assert substring.dedup_substrings(df).count() == 4
     assert sharding.shard(df, [1.0, 1.0]).count() == 4
     assert packing.pack(df, queries.tokenizer_path(), 8).count() == 4
-    assert fingerprints.compare_with_next(df).count() == 5  # each row of id 2 meets both rows of id 1
+    assert fingerprints.compare_with_next(df).count() == 4
     assert mixing.mix(df.withColumn("source", F.lit("s"))).count() >= 0
 
 
