@@ -21,10 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; so do documents without words and those with a null id."""
+    """The document with the smallest id of each group stays; so do documents without words and those with a null id.
+    Rows that repeat an id are told apart by the hash of their text, so none goes for what another row has."""
     ship(spark)
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("id").alias("doc_id"), "digest").distinct()
+    return docs.withColumn("digest", F.xxhash64("text")).join(gone, ["doc_id", "digest"], "left_anti").select(*COLUMNS)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
