@@ -51,7 +51,7 @@ class Chunk:
     offs: np.ndarray
 
 
-def chunks(column: pa.Array, limit: int = 1 << 21) -> Iterator[Chunk]:
+def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
     """Cut a string column into runs of whole documents of about limit bytes. A null counts as empty."""
     if column.null_count:
         column = column.fill_null("")

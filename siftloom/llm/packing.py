@@ -16,23 +16,55 @@ from . import kernels as K
 from .common import checkpoint
 from .wordbpe import LONGEST, PLAIN, WordBpe
 
-#: Runs of text whose ids one Python worker remembers: those met again, and those met once of late. 120 MB at most.
-REMEMBERED, RECENT = 400_000, 200_000
+#: Runs of text whose ids a task remembers: bytes of those met again, and of those met once of late, with what Python adds to each.
+OFTEN_BYTES, RECENT_BYTES = 16 << 20, 8 << 20
+_ENTRY = 200
 _state: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a path and what this worker remembers of its ids, kept for the worker's life."""
+    """The tokenizer of a path, its fast way for plain words and whether it may read a text run by run; kept for the worker's life."""
     if path not in _state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _state[path] = (tokenizer, {}, {}, _word_bpe(path, tokenizer), {})
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        by_runs = not any(c.split() != [c] for c in added) and ids(" the  cat\nsat don't ") == ids("the") + ids("cat") + ids("sat") + ids("don't")
+        plain = by_runs and not any(PLAIN.fullmatch(c.lower()) for c in added)
+        _state[path] = (tokenizer, _word_bpe(path, tokenizer) if plain else None, by_runs)
     return _state[path]
 
 
+class Memory:
+    """Ids of runs for the length of one task, bounded by bytes."""
+
+    def __init__(self):
+        self.often: dict[bytes, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.sizes = [0, 0]
+
+    def get(self, run: bytes) -> bytes | None:
+        """A run that is met again is kept for the task as long as there is room, so runs that occur once don't push it out."""
+        known = self.often.get(run)
+        if known is None:
+            known = self.recent.get(run)
+            if known is not None and self.sizes[0] < OFTEN_BYTES:
+                self.often[run] = known
+                self.sizes[0] += len(run) + len(known) + _ENTRY
+        return known
+
+    def add(self, new: dict[bytes, bytes]) -> None:
+        for run, ids in new.items():
+            if self.sizes[1] > RECENT_BYTES:
+                self.recent.clear()
+                self.sizes[1] = 0
+            self.recent[run] = ids
+            self.sizes[1] += len(run) + len(ids) + _ENTRY
+
+
 #: Runs on which the fast way must agree with the tokenizer before it is used.
 PROBES = ("a", "the", "licensed", "überprüft", "épaleelle", "ciónez.", "onthandndtiea,", "zz!!", "word***", "straße", "ñandú;", "it's", "İx", "don't!", "x" * 31, "thereandthenagainandagain")
 
@@ -63,7 +95,7 @@ def _encode_new(missing: list[bytes], tokenizer, bpe: WordBpe | None, marks: dic
             else:
                 word, mark = m.groups()
                 if mark not in marks:
-                    if len(marks) > 100_000:
+                    if len(marks) > 10_000:
                         marks.clear()
                     marks[mark] = array("I", tokenizer.encode(mark, add_special_tokens=False).ids).tobytes() if mark else b""
                 plain.append((run, words.setdefault(word, len(words)), marks[mark]))
@@ -74,42 +106,38 @@ def _encode_new(missing: list[bytes], tokenizer, bpe: WordBpe | None, marks: dic
     return new
 
 
-def encode(texts: list[bytes], path: str) -> list[bytes]:
+def encode(texts: list[bytes], path: str, memory: Memory) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its runs of other bytes,
-    which repeat a lot. Each run is looked up once a call; one that was met before in the worker's life is remembered for good
-    as long as there is room, so the many runs that occur only once don't push it out.
+    A tokenizer that drops white space never joins across it, so a text's ids are those of its runs of other bytes,
+    which repeat a lot. Each run is looked up once a call, and in what the task remembers.
     """
-    tokenizer, often, recent, bpe, marks = _tokenizer(path)
+    tokenizer, bpe, by_runs = _tokenizer(path)
+    if not by_runs:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
     runs = [x.split() for x in texts]
     ids: dict[bytes, bytes] = {}
     missing = []
     for run in set().union(*runs):
-        known = often.get(run)
+        known = memory.get(run)
         if known is None:
-            known = recent.pop(run, None)
-            if known is None:
-                missing.append(run)
-                continue
-            (often if len(often) < REMEMBERED else recent)[run] = known
-        ids[run] = known
-    new = _encode_new(missing, tokenizer, bpe, marks)
-    if len(recent) + len(new) > RECENT:
-        recent.clear()
-    recent.update(new)
+            missing.append(run)
+        else:
+            ids[run] = known
+    new = _encode_new(missing, tokenizer, bpe, memory.marks)
+    memory.add(new)
     ids.update(new)
     return [b"".join(map(ids.__getitem__, x)) for x in runs]
 
 
 def _pieces(path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = int(end).to_bytes(4, "little")
+        last, memory = int(end).to_bytes(4, "little"), Memory()
         for batch in batches:
-            for c in K.chunks(batch.column(1), 1 << 22):
+            for c in K.chunks(batch.column(1)):
                 raw, offs = c.data.tobytes(), c.offs.tolist()
                 rows: list[tuple] = []
-                ids = encode([raw[a:b] for a, b in zip(offs, offs[1:])], path)
+                ids = encode([raw[a:b] for a, b in zip(offs, offs[1:])], path, memory)
                 for key, tokens in zip(batch.column(0).slice(c.lo, c.hi - c.lo).to_pylist(), ids):
                     tokens += last
                     for k in range(0, len(tokens), 4 * size):
@@ -250,7 +278,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, id_col
     """Pack the tokens of all documents into few sequences of at most size tokens.
 
     Columns (doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece. A document is its ids without
-    special tokens and then the id end; only one longer than size is cut, into pieces of size and a last of the rest.
+    added special tokens (a special token's own string in a text gets its id, as the tokenizer reads it) and then the id end; only one longer than size is cut, into pieces of size and a last of the rest.
 
     Pieces are counted by length, at most size numbers; from them the driver makes a plan whose size doesn't depend on
     the number of pieces (see plan). Each piece gets its rank among those of its length by counts of chunks of about
