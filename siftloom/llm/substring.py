@@ -30,32 +30,44 @@ def _anchors(size: int, period: int):
                 place, counts = w.place()[: len(h)], np.repeat(w.counts, w.counts)[: len(h)]
                 at = np.flatnonzero(cover[place % period] & (place + anchor <= counts) & (counts >= size))
                 doc = np.repeat(np.arange(c.lo, c.hi), w.counts)[at]
-                yield pa.RecordBatch.from_arrays([K.signed(h[at]), batch.column(0).take(pa.array(doc)), pa.array(place[at].astype(np.int32))], names=["h", "id", "pos"])
+                yield pa.RecordBatch.from_arrays([K.signed(h[at]), batch.column(0).take(pa.array(doc)), pa.array(place[at] | _row(batch)[doc] << 32)], names=["h", "id", "pos"])
 
     return run
 
 
+def _row(batch: pa.RecordBatch) -> np.ndarray:
+    """The number of each row among those of its id, which stands above a place's lower 32 bits."""
+    return batch.column("row").to_numpy().astype(np.int64)
+
+
+def _own(batch: pa.RecordBatch, c: K.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a chunk's rows among those gathered for their ids, and how many each row has."""
+    ends, where = batch.column("at").offsets.to_numpy(), batch.column("at").values.to_numpy()
+    at = where[ends[c.lo] : ends[c.hi]]
+    doc = np.repeat(np.arange(c.lo, c.hi), np.diff(ends[c.lo : c.hi + 1]))
+    mine = at >> 32 == _row(batch)[doc]
+    return at[mine] & 0xFFFFFFFF, np.bincount(doc[mine] - c.lo, minlength=c.hi - c.lo)
+
+
 def _windows(size: int, period: int):
     """Hashes of the windows of size words around a document's shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("at")
-            ends, where = found.offsets.to_numpy(), found.values.to_numpy()
             for c in K.chunks(batch.column(1)):
                 w = K.words(c.data, c.offs)
                 h = K.window_hashes(K.word_hashes(c.data, w), size)
                 n = int(w.ptr[-1])
                 mark = np.zeros(n + 1, np.int32)
-                per = np.diff(ends[c.lo : c.hi + 1])
-                at = where[ends[c.lo] : ends[c.hi]] + np.repeat(w.ptr[:-1], per)
+                at, per = _own(batch, c)
+                at = at + np.repeat(w.ptr[:-1], per)
                 low = np.maximum(at - (period - 1), np.repeat(w.ptr[:-1], per))
                 np.add.at(mark, low, 1)
                 np.add.at(mark, at + 1, -1)
                 near = np.cumsum(mark[:n])[: len(h)] > 0
                 i = np.flatnonzero(near & (w.left()[: len(h)] >= size))
                 doc = np.repeat(np.arange(c.lo, c.hi), w.counts)[i]
-                yield pa.RecordBatch.from_arrays([K.signed(h[i]), batch.column(0).take(pa.array(doc)), pa.array(w.place()[i].astype(np.int32))], names=["h", "id", "pos"])
+                yield pa.RecordBatch.from_arrays([K.signed(h[i]), batch.column(0).take(pa.array(doc)), pa.array(w.place()[i] | _row(batch)[doc] << 32)], names=["h", "id", "pos"])
 
     return run
 
@@ -63,14 +75,13 @@ def _windows(size: int, period: int):
 def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("at")
-            ends, where = found.offsets.to_numpy(), found.values.to_numpy()
             copy = batch.column("copy").to_numpy(zero_copy_only=False)
             for c in K.chunks(batch.column(1)):
                 w = K.words(c.data, c.offs)
                 n = int(w.ptr[-1])
                 mark = np.zeros(n + size + 1, np.int32)
-                at = where[ends[c.lo] : ends[c.hi]] + np.repeat(w.ptr[:-1], np.diff(ends[c.lo : c.hi + 1]))
+                at, per = _own(batch, c)
+                at = at + np.repeat(w.ptr[:-1], per)
                 np.add.at(mark, at, 1)
                 np.add.at(mark, at + size, -1)
                 gone = np.cumsum(mark)[:n] > 0
@@ -92,8 +103,8 @@ def _cut(size: int):
                     removed.append(k)
                     shas.append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.lo, c.hi - c.lo), pa.array(w.counts), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), *[x.slice(c.lo, c.hi - c.lo) for x in batch.columns[4:]]],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *batch.schema.names[4:]],
+                    [batch.column(0).slice(c.lo, c.hi - c.lo), pa.array(w.counts), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), *[x.slice(c.lo, c.hi - c.lo) for x in batch.columns[5:]]],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *batch.schema.names[5:]],
                 )
 
     return run
@@ -113,8 +124,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     2. Anchors seen in two documents (by smallest and largest id, partial aggregates) are extended: all windows of size
        words that hold such an anchor are hashed, and the smallest id that has each is found, again by aggregation.
     3. Each document marks the words of the windows that a smaller id has.
-    No pairs of documents are made at any point, so a passage that a third of the documents share costs its occurrences,
-    and the joins that carry marks back to documents are by a hash or an id, so that large partitions may be split.
+    No pairs of documents are made at any point, so a passage that a third of the documents share costs its occurrences. All
+    occurrences of one window do meet in one task, though, as (hash, id, place) rows that are sorted with spilling.
 
     Defined cases: null and empty texts have no words (kept_text is as given). Words within one document never
     count against itself. Rows that repeat an id are one document for this purpose and aren't compared with each other;
@@ -131,18 +142,23 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = base.where("id is not null")
     digests = named.select("id", F.xxhash64(text).alias("d1"), F.xxhash64(text, F.lit(1)).alias("d2"))
     least = digests.groupBy("d1", "d2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("d1", "d2", "lo")
-    copies = digests.join(least, ["d1", "d2"]).where("id > lo").select("id", F.lit(True).alias("copy")).distinct()
+    copies = digests.join(least, ["d1", "d2"]).where("id > lo").select("id", F.col("d1").alias("copied"), F.lit(None).cast("long").alias("several"))
+    several = digests.groupBy("id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("id")
+    several = digests.join(several, "id", "left_semi").select("id", F.lit(None).cast("long").alias("copied"), F.col("d1").alias("several"))
+    marks = copies.unionByName(several).groupBy("id").agg(F.collect_set("copied").alias("copied"), F.sort_array(F.collect_set("several")).alias("several"))
     # the same exchange of texts by id stands below all three uses, so texts are shuffled once; a filter that the planner
     # infers for only one of the joins would make exchanges differ, so rows without an id go their own way
-    dealt = named.join(copies, "id", "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), *rest)
-    anchors = dealt.mapInArrow(_anchors(size, period), f"h long, id {kind}, pos int")
+    digest = F.xxhash64(text)
+    row = F.greatest(F.coalesce(F.array_position("several", digest), F.lit(0)) - 1, F.lit(0)).cast("int").alias("row")
+    dealt = named.join(marks, "id", "left").select("id", "text", F.coalesce(F.array_contains("copied", digest), F.lit(False)).alias("copy"), row, *rest)
+    anchors = dealt.mapInArrow(_anchors(size, period), f"h long, id {kind}, pos long")
     shared = anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
     near = anchors.join(shared, "h").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    windows = dealt.join(near, "id").select("id", "text", "copy", "at", *rest).mapInArrow(_windows(size, period), f"h long, id {kind}, pos int")
+    windows = dealt.join(near, "id").select("id", "text", "copy", "row", "at", *rest).mapInArrow(_windows(size, period), f"h long, id {kind}, pos long")
     first = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo")
     doubled = windows.join(first, "h").where("id > lo").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    out = dealt.join(doubled, "id", "left").select("id", "text", "copy", F.coalesce("at", F.array().cast("array<int>")).alias("at"), *rest)
-    out = out.unionByName(base.where("id is null").select("id", "text", F.lit(False).alias("copy"), F.array().cast("array<int>").alias("at"), *rest))
+    out = dealt.join(doubled, "id", "left").select("id", "text", "copy", "row", F.coalesce("at", F.array().cast("array<long>")).alias("at"), *rest)
+    out = out.unionByName(base.where("id is null").select("id", "text", F.lit(False).alias("copy"), F.lit(0).alias("row"), F.array().cast("array<long>").alias("at"), *rest))
     kinds = "".join(f", {c} {dict(base.dtypes)[c]}" for c in rest)
     cut = out.mapInArrow(_cut(size), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string{kinds}")
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *[F.col(f"carry_{c}").alias(c) for c in carry])
