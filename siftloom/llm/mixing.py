@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import checkpoint, let
 
 #: What one hash draws: rates up to PART_RATE, of which more than PART_COPIES have a chance below 1e-18, less than a hash of
 #: 48 bits can tell. Larger rates are drawn in parts.
@@ -41,7 +41,7 @@ def poisson(seed: str, key: Column, rate: Column) -> Column:
     return let(parts, drawn)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", order: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", order: bool = True, broadcast_rows: int = 100_000) -> DataFrame:
     """docs with each row repeated as often as a Poisson number drawn by its id, in a global random order.
 
     weights are the target shares of the sources (equal shares if None; a source that isn't named gets share 0 and goes;
@@ -50,29 +50,36 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
     seed and id, so it is the same in every run and on every cluster. Columns copy (int, from 0) and shuffle_key (32 hex
     digits of a hash of seed, id and copy) are appended; rows are sorted by shuffle_key if order.
 
-    Rates are one number for each source, broadcast only if the planner measures them as small. A source with a
-    third of all rows is counted by partial aggregation and its rows are never gathered.
+    Rates are one number for each source. Their table is counted, and broadcast if it has at most broadcast_rows rows, so texts
+    move once, in the sort by shuffle_key; beyond that texts are joined to rates by source, where adaptive execution splits
+    hot sources. Sources are counted by partial aggregation.
 
     Defined cases: a null id draws as the id ''. Rows that repeat an id draw the same number. Texts aren't read. Other
-    columns pass through, also those named copy or shuffle_key, which the new ones replace. An empty table stays empty.
+    columns pass through, whatever their names, but for copy and shuffle_key, which the new ones replace. An empty table stays empty.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     if weights is not None and not weights:
         raise ValueError("weights name no source")
-    counts = docs.groupBy(source.alias("mix_source")).agg(F.count("*").alias("mix_n"))
+    own = "mix"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    of, n, part, rate, name, copies = (f"{own}_{x}" for x in ("source", "n", "share", "rate", "key", "copies"))
+    counts = docs.groupBy(source.alias(of)).agg(F.count("*").alias(n))
     if weights is None:
         share = F.lit(1.0)
     else:
         share = F.lit(0.0)
-        for name, weight in sorted(weights.items()):
-            share = F.when(F.col("mix_source") == name, F.lit(float(weight))).otherwise(share)
-    counts = counts.withColumn("mix_share", share)
-    per_share = counts.agg((F.sum("mix_n") / F.sum("mix_share")).alias("x")).scalar()
-    rates = counts.select("mix_source", (F.col("mix_share") * F.lit(float(total)) * per_share / F.col("mix_n")).alias("mix_rate"))
-    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rows = docs.select(*names, source.alias("mix_source"), key.alias("mix_key")).join(rates, "mix_source")
-    rows = rows.withColumn("mix_copies", poisson(seed, F.col("mix_key"), F.col("mix_rate"))).where("mix_copies > 0")
-    rows = rows.select(*names, "mix_key", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("copy"))
-    rows = rows.select(*names, "copy", F.md5(F.concat(F.lit(f"{seed}|"), F.col("mix_key"), F.lit("|"), F.col("copy").cast("string"))).alias("shuffle_key"))
+        for known, weight in sorted(weights.items()):
+            share = F.when(F.col(of) == known, F.lit(float(weight))).otherwise(share)
+    counts = checkpoint(counts.withColumn(part, share))
+    per_share = counts.agg((F.sum(n) / F.sum(part)).alias("x")).scalar()
+    rates = counts.select(of, (F.col(part) * F.lit(float(total)) * per_share / F.col(n)).alias(rate))
+    if counts.count() <= broadcast_rows:
+        rates = F.broadcast(rates)
+    names = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    rows = docs.select(*names, source.alias(of), key.alias(name)).join(rates, of)
+    rows = rows.withColumn(copies, poisson(seed, F.col(name), F.col(rate))).where(F.col(copies) > 0)
+    rows = rows.select(*names, name, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias("copy"))
+    rows = rows.select(*names, "copy", F.md5(F.concat(F.lit(f"{seed}|"), F.col(name), F.lit("|"), F.col("copy").cast("string"))).alias("shuffle_key"))
     return rows.orderBy("shuffle_key") if order else rows
