@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +21,6 @@ _FOLD = np.where(K.PUNCT, 0x20, K.LOWER).astype(np.uint8)
 _FOLD[0x30:0x3A] = 0x20
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def ngrams(c: K.Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -40,33 +39,50 @@ def ngrams(c: K.Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield gram[keep] | np.uint64(size << 56), owner[keep]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode category L is in it."""
+    return any(unicodedata.category(x)[0] == "L" for x in text)
+
+
 @dataclass
 class Filters:
-    """table: a bit for each language in each slot; false: the chance that a strange n-gram is found in each language."""
+    """tables: for each 64 languages a number for each slot, with a bit for each of them; false: the chance that a strange
+    n-gram is found in each language."""
 
     langs: list[str]
-    table: np.ndarray
+    tables: list[np.ndarray]
     false: np.ndarray
 
-    def find(self, grams: np.ndarray) -> np.ndarray:
-        """The languages of each n-gram, as a mask, by one look at each of two slots."""
+    def find(self, grams: np.ndarray) -> list[np.ndarray]:
+        """The languages of each n-gram, as masks, by one look at each of two slots."""
         h = K.mix64(grams)
-        low = np.uint64(len(self.table) - 1)
-        return self.table[h & low] & self.table[(h >> np.uint64(32)) & low]
+        low = np.uint64(len(self.tables[0]) - 1) if self.tables else np.uint64(0)
+        one, two = h & low, (h >> np.uint64(32)) & low
+        return [t[one] & t[two] for t in self.tables]
+
+    def having(self, masks: list[np.ndarray], i: int) -> np.ndarray:
+        """Which n-grams are found in language i."""
+        mask = masks[i // 64]
+        return (mask & mask.dtype.type(1 << i % 64)) != 0
 
 
-def build(profiles: dict[str, np.ndarray], slots: int) -> Filters:
+def build(profiles: dict[str, np.ndarray], slots: int | None = None) -> Filters:
+    """Filters of the languages' n-grams; slots is a power of two, by default such that no filter is fuller than an eighth."""
     langs = sorted(profiles)
-    if len(langs) > 64:
-        raise ValueError("at most 64 languages")
-    table = np.zeros(slots, np.uint8 if len(langs) <= 8 else np.uint64)
+    if slots is None:
+        slots = 1 << max(16, int(16 * max((len(p) for p in profiles.values()), default=1) - 1).bit_length())
     low = np.uint64(slots - 1)
-    for i, lang in enumerate(langs):
-        h = K.mix64(profiles[lang])
-        for at in (h & low, (h >> np.uint64(32)) & low):
-            table[at] |= table.dtype.type(1 << i)
-    fill = np.array([np.count_nonzero(table & table.dtype.type(1 << i)) / slots for i in range(len(langs))])
-    return Filters(langs, table, fill**2)
+    tables, fill = [], []
+    for first in range(0, len(langs), 64):
+        some = langs[first : first + 64]
+        table = np.zeros(slots, np.uint8 if len(some) <= 8 else np.uint64)
+        for i, lang in enumerate(some):
+            h = K.mix64(profiles[lang])
+            for at in (h & low, (h >> np.uint64(32)) & low):
+                table[at] |= table.dtype.type(1 << i)
+        fill += [np.count_nonzero(table & table.dtype.type(1 << i)) / slots for i in range(len(some))]
+        tables.append(table)
+    return Filters(langs, tables, np.array(fill) ** 2)
 
 
 def _count():
@@ -83,16 +99,16 @@ def _count():
     return run
 
 
-def learn(docs: DataFrame, per_lang: int = 1500, top: int = 60_000, slots: int = 1 << 20, least: int = 3, ratio: float = 0.3, text_col: str = "text", lang_col: str = "lang") -> Filters:
+def learn(docs: DataFrame, per_lang: int = 1500, least: int = 3, ratio: float = 0.3, text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters of the n-grams typical of each language, from about per_lang texts of each, chosen by a hash of the text.
 
-    An n-gram is typical of a language if it is seen least times in it and its rate is at least ratio of that in the
+    per_lang bounds the sample; nothing that it taught is dropped. An n-gram is typical of a language if it is seen least times in it and its rate is at least ratio of that in the
     language where it is most frequent, so a foreign passage in a text doesn't put its n-grams into the wrong filter.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return build({}, slots)
+        return build({})
     rate = F.lit(1.0)
     for name, n in sorted(sizes.items()):
         rate = F.when(F.col("lang") == name, F.lit(min(1.0, per_lang / n))).otherwise(rate)
@@ -110,8 +126,8 @@ def learn(docs: DataFrame, per_lang: int = 1500, top: int = 60_000, slots: int =
     profiles = {}
     for i, name in enumerate(names):
         typical = np.flatnonzero((rates[i] > 0) & (rates[i] >= ratio * most))
-        profiles[name] = at[typical[np.argsort(-rates[i][typical], kind="stable")][:top]]
-    return build(profiles, slots)
+        profiles[name] = at[typical]
+    return build(profiles)
 
 
 def _predict(filters: Filters):
@@ -123,17 +139,17 @@ def _predict(filters: Filters):
                 docs = c.hi - c.lo
                 hits, total = np.zeros((docs, k)), np.zeros(docs)
                 for grams, doc in ngrams(c):
-                    mask = filters.find(grams)
+                    masks = filters.find(grams)
                     total += np.bincount(doc, minlength=docs)
                     for i in range(k):
-                        hits[:, i] += np.bincount(doc[(mask & mask.dtype.type(1 << i)) != 0], minlength=docs)
+                        hits[:, i] += np.bincount(doc[filters.having(masks, i)], minlength=docs)
                 true = np.maximum(0, (hits - total[:, None] * filters.false) / np.maximum(1e-9, 1 - filters.false))
                 order = np.argsort(-true, axis=1, kind="stable")
                 ascii_letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[c.data])])
                 has = ascii_letters[c.offs[1:]] > ascii_letters[c.offs[:-1]]
                 langs, scores = [], []
                 for d in range(docs):
-                    if not k or not has[d] and not _LETTER.search(c.data[c.offs[d] : c.offs[d + 1]].tobytes().decode()):
+                    if not k or not has[d] and not has_letter(c.data[c.offs[d] : c.offs[d + 1]].tobytes().decode()):
                         langs.append("und")
                         scores.append(0.0)
                         continue
@@ -160,7 +176,12 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
 
 
 def identify(docs: DataFrame, folds: int = 3, fold: int = 1, per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """predict() for all rows with filters learned from the rows whose id's crc32 modulo folds isn't fold; held_out marks the rest."""
+    """Columns (doc_id, held_out, lang_pred, score): predict() for all rows with filters learned from the rows whose id's crc32
+    modulo folds isn't fold; held_out marks the rest.
+
+    Defined cases: those of predict(). A null id counts as the id '' for its fold. Rows with a null text or language teach nothing; languages may
+    be any number. Rows that repeat an id are each judged by their own text. Only the three columns are read, so others don't matter.
+    """
     out = remainder(F.col(id_col), folds) == fold
     filters = learn(docs.where(~out), per_lang, text_col=text_col, lang_col=lang_col)
     return predict(docs, filters, id_col, text_col).select("doc_id", (remainder(F.col("doc_id"), folds) == fold).alias("held_out"), "lang_pred", "score")
