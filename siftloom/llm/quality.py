@@ -15,7 +15,25 @@ SYMBOLS = "#*$%&|<>"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACES), "")
+
+
+def _after(a: Column, k: int) -> Column:
+    """An array without its first k elements."""
+    return F.slice(a, F.lit(k + 1), F.greatest(F.size(a) - k, F.lit(0)))
+
+
+def windows_of(hashes: Column, size: int, body) -> Column:
+    """body(hashes of the windows of size neighbours): each step joins two windows, so log2(size) + 1 steps make any size."""
+
+    def grow(w: Column, have: int) -> Column:
+        step = min(have, size - have)
+        if not step:
+            return body(w)
+        joined = F.zip_with(_after(w, 0), _after(w, step), lambda x, y: F.xxhash64(x, y))
+        return let(F.slice(joined, F.lit(1), F.greatest(F.size(w) - step, F.lit(0))), lambda v: grow(v, have + step))
+
+    return grow(hashes, 1)
 
 
 def repeated_words(hashes: Column, size: int = 5) -> Column:
@@ -31,19 +49,18 @@ def repeated_words(hashes: Column, size: int = 5) -> Column:
         step = lambda at: F.aggregate(F.transform(at, lambda x, j: F.least(F.lit(size), F.coalesce(F.get(at, j + 1) - x, F.lit(size)))), F.lit(0), lambda a, x: a + x)
         return let(pairs, lambda p: let(places(p), step))
 
-    def count(h: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(size)]))
-        return F.when(F.size(h) <= size, F.lit(0)).otherwise(let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w))))
+    whole = lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w))
+    return F.when(F.size(hashes) <= size, F.lit(0)).otherwise(windows_of(hashes, size, whole))
+
 
-    return let(hashes, count)
+#: What n-grams of a text are hashed: each word, the two characters at each word's end, and each pair of neighbouring words.
+KINDS = 3
 
 
-def grams(words: Column, buckets: int) -> Column:
-    """Buckets of a text's hashed n-grams: each word, and the two characters at each word's end."""
-    return F.concat(
-        F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")),
-        F.transform(words, lambda w: F.pmod(F.xxhash64(F.lit("end"), F.right(w, F.lit(2))), F.lit(buckets)).cast("int")),
-    )
+def grams(word: Column, following: Column, buckets: int) -> list[Column]:
+    """Buckets of the n-grams that begin at a word; the last word of a text has no pair (null)."""
+    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
+    return [bucket(word), bucket(F.lit("end"), F.right(word, F.lit(2))), F.when(following.isNotNull(), bucket(F.lit("pair"), word, following))]
 
 
 def trusted_ids(labels: DataFrame, bound: int, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
@@ -63,7 +80,8 @@ def learn(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, text_c
     """
     marked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = marked.join(F.broadcast(trusted.select(F.col(id_col).alias("id"), F.lit(1).alias("good"))), "id", "left")
-    cells = marked.select(F.explode(grams(words_of(F.col("text")), buckets)).alias("bucket"), "good")
+    words = marked.select("good", words_of(F.col("text")).alias("w")).select("good", F.explode(F.arrays_zip(F.col("w").alias("word"), _after(F.col("w"), 1).alias("following"))).alias("x"))
+    cells = words.select("good", F.explode(F.array(*grams(F.col("x.word"), F.col("x.following"), buckets))).alias("bucket")).where("bucket is not null")
     rows = cells.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()  # at most buckets rows
     raw, target = [0] * buckets, [0] * buckets
     for r in rows:
@@ -75,7 +93,7 @@ def learn(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, text_c
 def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 15, threshold: float = -0.7, least_words: int = 10, repeat_percent: int = 20, labelled: int = 20_000) -> DataFrame:
     """Columns (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept) for each row.
 
-    ratio is the mean over a text's hashed n-grams (words and word ends) of the log-likelihood ratio between the
+    ratio is the mean over a text's hashed n-grams (words, pairs of neighbouring words and word ends) of the log-likelihood ratio between the
     multinomial of trusted documents (labels.quality 1, a sample of about labelled at most) and that of the whole corpus.
     A document is kept if it passes the base rules and its ratio is at least threshold; no chance is involved.
 
@@ -90,10 +108,12 @@ def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
 
     def measured(w: Column) -> Column:
-        total = F.aggregate(grams(w, buckets), F.lit(0.0), lambda a, b: a + F.get(table, b))
+        of = lambda b: F.coalesce(F.get(table, b), F.lit(0.0).cast("float"))
+        each = F.zip_with(w, _after(w, 1), lambda x, y: sum((of(b) for b in grams(x, y, buckets)[1:]), of(grams(x, y, buckets)[0])))
+        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
         return F.struct(
-            F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(F.transform(w, lambda x: F.xxhash64(x))).cast("long").alias("n_repeat_words"),
-            F.when(F.size(w) > 0, total / (2 * F.size(w))).otherwise(0.0).alias("ratio"),
+            F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: repeated_words(h)).cast("long").alias("n_repeat_words"),
+            F.when(F.size(w) > 0, total / (KINDS * F.size(w) - 1)).otherwise(0.0).alias("ratio"),
         )
 
     rows = rows.select(
