@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +24,19 @@ PHRASES = {
 TEMPLATES = (
     ("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     ("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license as published by the free software foundation",)),
     ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     ("agpl", "licensed under the gnu affero general public license", ("gnu affero general public license",)),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache org licenses license 2 0",)),
     ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
     ("cc0", "cc0 1 0 universal public domain dedication", ("cc0", "public domain dedication")),
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission notice shall be included in all copies",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
@@ -39,11 +45,34 @@ TEMPLATES = (
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != "")
+    """Words with A-Z as a-z. lower() folds other letters too, which no word of a license has; the one letter beyond ASCII that it
+    would turn into an ASCII letter, the Kelvin sign, is put out of its way."""
+    return F.array_remove(F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\ufffd"))), BETWEEN), "")
+
+
+@dataclass(frozen=True)
+class Notice:
+    """words, and spans (place, words) of its mandatory phrases. A base phrase is one whole mandatory phrase."""
+
+    label: str
+    words: tuple[str, ...]
+    spans: tuple[tuple[int, tuple[str, ...]], ...]
+    base: bool = False
+
+
+def notices() -> list[Notice]:
+    out = [Notice(label, tuple(p.split()), ((0, tuple(p.split())),), True) for p, label in PHRASES.items()]
+    for label, text, keys in TEMPLATES:
+        words = tuple(text.split())
+        spans = []
+        for key in (tuple(k.split()) for k in keys):
+            spans.append((next(i for i in range(len(words)) if words[i : i + len(key)] == key), key))
+        out.append(Notice(label, words, tuple(spans)))
+    return out
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for p in PHRASES for w in p.split()} | {w for _, t, _ in TEMPLATES for w in t.split()})
+    return sorted({w for n in notices() for w in n.words})
 
 
 def frequencies(texts: DataFrame) -> dict[str, int]:
@@ -53,93 +82,86 @@ def frequencies(texts: DataFrame) -> dict[str, int]:
     return {r["word"]: r["count"] for r in rows}
 
 
-def _rarest(words: list[str], df: dict[str, int], among: list[int]) -> int:
-    """The place of the word with the highest IDF among some places of a template."""
-    return min(among, key=lambda i: (df.get(words[i], 0), i))
+def index(all_: list[Notice], df: dict[str, int], keep: int, votes: int) -> dict[str, list[tuple[int, int]]]:
+    """Postings (notice, place) of each indexed word: a notice is posted under the words of highest IDF in its mandatory phrases,
+    keep of them, or more where one word stands there twice, as at least votes postings must agree."""
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for n, notice in enumerate(all_):
+        places = [at + j for at, key in notice.spans for j in range(len(key))]
+        if len(places) < votes:
+            raise ValueError(f"{' '.join(notice.words)}: its mandatory phrases need {votes} words")
+        for place in sorted(places, key=lambda i: (df.get(notice.words[i], 0), i))[: max(keep, votes)]:
+            postings.setdefault(notice.words[place], []).append((n, place))
+    return postings
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.7, keep: int = 3, votes: int = 2) -> DataFrame:
     """Columns (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs.
 
-    Document frequencies of all license words are counted over the whole corpus. Each phrase and each template is indexed by the
-    word of highest IDF in it (for a template, in its mandatory phrases), with its place. Every such word of a text gives places
-    where the phrase or template would begin. A phrase counts where all its words stand there. A template gives its label where at
-    least share of its words stand at their relative places and its mandatory phrases stand there whole; the best share is
-    the score (1 if only a phrase is found, 0 if nothing is). A text of any length costs one pass and a check for each
-    indexed word in it.
+    Document frequencies of all license words are counted over the whole corpus. Each phrase and each template is posted, with
+    the place, under the keep words of highest IDF in its mandatory phrases. A text's words of highest IDF are so looked up,
+    each giving postings (notice, where that would begin), and postings are intersected by relative position: where votes
+    of them name the same notice and beginning, it is verified. As mandatory phrases stand whole in every match, each match
+    has all its postings. A phrase counts where all its words stand there. A template gives its label where its
+    mandatory phrases stand whole and at least share of its words stand at their relative places; the best share is the
+    score (1 if only a phrase is found, 0 if nothing is). A text of any length costs one pass, a sort of its postings and a
+    check for each agreement.
 
     Defined cases: null and empty texts have no words, labels '' and score 0. Rows that repeat an id are scanned each by
-    itself. An empty table gives an empty result.
+    its own text. Other columns are ignored. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    df = frequencies(rows)
-    phrases = [(p.split(), label) for p, label in PHRASES.items()]
-    notices = []
-    for label, notice, keys in TEMPLATES:
-        words = notice.split()
-        spans = []
-        for key in keys:
-            k = key.split()
-            spans.append((next(i for i in range(len(words)) if words[i : i + len(k)] == k), k))
-        among = [i for at, k in spans for i in range(at, at + len(k))]
-        notices.append((label, words, spans, _rarest(words, df, among)))
-    index = sorted({p[_rarest(p, df, list(range(len(p))))] for p, _ in phrases} | {w[i] for _, w, _, i in notices})
-    rare = F.array(*[F.lit(w) for w in index])
-    place = "array<int>"
-
-    def begins(hits: Column, word: str, at: int) -> Column:
-        return F.transform(F.filter(hits, lambda x: x["w"] == word), lambda x: x["i"] - at)
-
-    def stands(words: Column, begin: Column, wanted: list[str]) -> Column:
+    all_ = notices()
+    postings = index(all_, frequencies(rows), keep, votes)
+    looked = F.array(*[F.lit(w) for w in sorted(postings)])
+    pair = lambda n, at: F.struct(F.lit(n).alias("notice"), F.lit(at).alias("place"))
+    held = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[pair(n, at) for n, at in postings[w]]))])
+
+    def stands(words: Column, begin: Column, wanted: tuple[str, ...]) -> Column:
         test = F.lit(True)
         for j, w in enumerate(wanted):
             test = test & F.coalesce(F.get(words, begin + j) == w, F.lit(False))
         return test
 
-    def whole(words: Column, wanted: list[str]):
-        return lambda b: (b >= 0) & stands(words, b, wanted)
-
-    def share_of(words: Column, notice: list[str], spans: list[tuple[int, list[str]]]):
-        def matched(b: Column) -> Column:
-            same = sum((F.when(F.get(words, b + j) == w, 1).otherwise(0) for j, w in enumerate(notice)), F.lit(0))
-            keys = F.lit(True)
-            for at, key in spans:
-                keys = keys & stands(words, b + at, key)
-            return F.when(keys, same / len(notice)).otherwise(0.0)
-
-        return matched
-
-    def found(words: Column, hits: Column) -> Column:
-        base, base_labels = [], []
-        for p, label in phrases:
-            at = _rarest(p, df, list(range(len(p))))
-            if p.count(p[at]) != 1:
-                raise ValueError(f"{' '.join(p)}: its rarest word must stand in it once")
-            spots = F.filter(begins(hits, p[at], at), whole(words, p))
-            base.append(spots)
-            base_labels.append(F.when(F.size(spots) > 0, F.lit(label)))
-        labels, scores = [], []
-        for label, notice, spans, at in notices:
-            best = F.coalesce(F.array_max(F.transform(begins(hits, notice[at], at), share_of(words, notice, spans))), F.lit(0.0))
-            labels.append(F.when(best >= share, F.lit(label)))
-            scores.append(F.when(best >= share, best).otherwise(0.0))
-        return F.struct(
-            F.flatten(F.array(*base)).cast(place).alias("base"), F.array_compact(F.array(*base_labels)).alias("base_labels"), F.array_compact(F.array(*labels)).alias("labels"), F.greatest(*scores).alias("score")
-        )
+    def verified(words: Column, begin: Column, n: Notice) -> Column:
+        """The share of a notice's words that stand at their places; 0 if a mandatory phrase doesn't stand whole."""
+        keys = F.lit(True)
+        for at, key in n.spans:
+            keys = keys & stands(words, begin + at, key)
+        if n.base:
+            return F.when(keys, 1.0).otherwise(0.0)
+        same = sum((F.when(F.get(words, begin + j) == w, 1).otherwise(0) for j, w in enumerate(n.words)), F.lit(0))
+        return F.when(keys, same / len(n.words)).otherwise(0.0)
+
+    def agreed(hits: Column) -> Column:
+        """Where votes postings name the same notice and beginning, once each: (notice, begin), sorted."""
+        named = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(held, x["w"]), lambda p: F.struct(p["notice"].alias("notice"), (x["i"] - p["place"]).alias("begin")))))
+        return let(F.sort_array(named), lambda a: F.array_distinct(F.filter(a, lambda x, i: F.coalesce(F.get(a, i + (votes - 1)) == x, F.lit(False)))))
+
+    def scored(words: Column):
+        def one(x: Column) -> Column:
+            value = F.lit(0.0)
+            for n, notice in enumerate(all_):
+                value = F.when(x["notice"] == n, verified(words, x["begin"], notice)).otherwise(value)
+            return F.struct(x["notice"].alias("notice"), x["begin"].alias("begin"), value.alias("value"))
+
+        return one
 
     def scanned(words: Column) -> Column:
-        hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-        nothing = F.lit(None).cast("struct<base:array<int>,base_labels:array<string>,labels:array<string>,score:double>")
-        return F.struct(F.size(words).cast("long").alias("n"), let(hits, lambda h: F.when(F.size(h) > 0, found(words, h)).otherwise(nothing)).alias("f"))
-
-    rows = rows.select("doc_id", let(words_of(F.col("text")), scanned).alias("s")).select("doc_id", "s.n", "s.f.*")
-    none = F.array().cast("array<string>")
-    base_labels = F.coalesce("base_labels", none)
-    joined = lambda a: F.array_join(F.sort_array(F.array_distinct(a)), ",")
-    size = F.coalesce(F.size("base"), F.lit(0))
+        hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(looked, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+        found = lambda h: F.when(F.size(h) >= votes, F.filter(F.transform(agreed(h), scored(words)), lambda x: x["value"] >= share))
+        return F.struct(F.size(words).cast("long").alias("n"), let(hits, found).alias("f"))
+
+    rows = rows.select("doc_id", let(words_of(F.col("text")), scanned).alias("s"))
+    rows = rows.select("doc_id", "s.n", F.coalesce("s.f", F.array().cast("array<struct<notice:int,begin:int,value:double>>")).alias("f"))
+    bases = sum(n.base for n in all_)
+    names = F.array(*[F.lit(n.label) for n in all_])
+    base = F.filter("f", lambda x: x["notice"] < bases)
+    begins = F.transform(base, lambda x: x["begin"])
+    joined = lambda f: F.array_join(F.sort_array(F.array_distinct(F.transform(f, lambda x: F.get(names, x["notice"])))), ",")
+    best = F.array_max(F.transform(F.filter("f", lambda x: x["notice"] >= bases), lambda x: x["value"]))
     return rows.select(
-        "doc_id", F.col("n").alias("n_words"), F.when(F.col("base").isNull(), 0).otherwise(size).cast("long").alias("n_base"), F.array_min("base").cast("long").alias("first_word"), F.array_max("base").cast("long").alias("last_word"),
-        joined(base_labels).alias("base_labels"), joined(F.array_union(base_labels, F.coalesce("labels", none))).alias("labels"),
-        F.greatest(F.coalesce("score", F.lit(0.0)), F.when(F.size(base_labels) > 0, F.lit(1.0)).otherwise(0.0)).alias("score"),
+        "doc_id", F.col("n").alias("n_words"), F.size(base).cast("long").alias("n_base"), F.array_min(begins).cast("long").alias("first_word"), F.array_max(begins).cast("long").alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.col("f")).alias("labels"), F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
     )
