@@ -32,7 +32,7 @@ def table():
     texts = [
         base, base, base.upper(), " ".join([*b[:60], "new", *b[60:]]), " ".join(b[:-3]), None, "", " \n\t ", "one", "one two", "ONE  two", "one two three four", words(rng, 40) + "\n" + passage, passage + " " + words(rng, 30),
         words(rng, 13) + " " + passage + " " + words(rng, 20), "é" * 50 + " ñandú ß", words(rng, 20_000), "x" * 200_000, "ha " * 300, "a b\na b\n\nc", "This is licensed under the GNU General Public License, version 3.", "CC BY-NC 4.0 and cc by and MIT License; mit licence",
-        "Apache\nLicense apache license", " ".join(b[20:]) + " tail", "日本語 テキスト", "😀 ### $$$ |", words(rng, 300) + " " + base,
+        "Apache\nLicense apache license", " ".join(b[20:]) + " tail", "日本語 テキスト", "😀 ### $$$ |", words(rng, 300) + " " + base, "<|endoftext|> hi a<|startoftext|>b",
     ]
     return [(i * 3 + 1, t, ("en", "fr", None)[i % 3], ("hot", "hot", "b", None)[i % 4], None if t is None else len(t), "clash", 7, "clash") for i, t in enumerate(texts)]
 
@@ -157,7 +157,6 @@ def test_packing(spark, docs, plain, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     got = packing.pack(docs, queries.tokenizer_path(), 512).collect()
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == brute.pieces(plain, tokenizer, 512)
     by: dict = {}
@@ -313,12 +312,27 @@ def test_language(spark, docs, empty):
     assert langid.identify(empty).count() == 0
 
 
-def test_bloom_filters_find_all_that_went_in():
+@pytest.mark.parametrize("others", [0, 70])
+def test_bloom_filters_find_all_that_went_in(others):
     rng = np.random.default_rng(1)
-    a, b = rng.integers(0, 1 << 62, 5000).astype(np.uint64), rng.integers(0, 1 << 62, 5000).astype(np.uint64)
-    f = langid.build({"x": a, "y": b}, 1 << 16)
-    assert (f.find(a) & 1 > 0).all() and (f.find(b) & 2 > 0).all()
-    assert abs((f.find(rng.integers(0, 1 << 62, 20_000).astype(np.uint64)) & 1 > 0).mean() - f.false[0]) < 0.01
+    some = {name: rng.integers(0, 1 << 62, 5000).astype(np.uint64) for name in ["x", "y", *(f"z{i:02}" for i in range(others))]}
+    f = langid.build(some)
+    for i, name in enumerate(f.langs):
+        assert f.having(f.find(some[name]), i).all()
+        assert abs(f.having(f.find(rng.integers(0, 1 << 62, 20_000).astype(np.uint64)), i).mean() - f.false[i]) < 0.01
+
+
+def test_more_languages_than_bits(spark):
+    """70 languages, each with words of its own, and texts without letters of category L."""
+    rng = random.Random(5)
+    own = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)] for i in range(70)}
+    rows = [(i, " ".join(rng.choice(own[lang]) for _ in range(60)), lang) for i, lang in enumerate(sorted(own) * 8)]
+    rows += [(1000, "²³ ½ 12 Ⅷ", None), (1001, None, None), (1002, "", "l00"), (1003, "ª", None)]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (1000, 1001, 1002))
+    assert got[1003]["lang_pred"] != "und"
+    held = [(got[i]["lang_pred"], lang) for i, _, lang in rows if i < 1000 and got[i]["held_out"]]
+    assert sum(a == b for a, b in held) > 0.95 * len(held) > 100
 
 
 def test_toxicity(spark, docs, empty):
