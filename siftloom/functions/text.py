@@ -8,36 +8,39 @@ from pyspark.sql import functions as F
 #: White space as browsers' regular expressions see it; Java's \s is ASCII only.
 WHITE = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]+"
 HAN = "[\\u4E00-\\u9FFF\\u3400-\\u4DBF]"
-#: Named entities that are decoded; & comes last, as only it can make a new entity.
+#: Named entities that are decoded.
 ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…",
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…",
     "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”",
 }
 NOISE = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript")
+_ENTITY = f"&(?:{'|'.join(ENTITIES)}|#\\d+|#x[0-9a-fA-F]+);"
 
 
-def _code_points(text: Column) -> Column:
-    """Numeric entities but those of &: split at each and put the character in, in one pass."""
-    parts = F.split(text, "(?=&#(?:\\d{1,7}|[xX][0-9a-fA-F]{1,6});)")
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for a row however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def one(part: Column) -> Column:
-        dec, hex_ = F.regexp_extract(part, "^&#(\\d{1,7});", 1), F.regexp_extract(part, "^&#[xX]([0-9a-fA-F]{1,6});", 1)
-        code = F.when(dec != "", dec.cast("int")).when(hex_ != "", F.conv(hex_, 16, 10).cast("int"))
-        good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
-        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(F.coalesce(good, F.lit(False)), F.concat(wide, F.regexp_replace(part, "^&#[^;]*;", ""))).otherwise(part)
 
-    return F.when(text.rlike("&#(?:\\d|[xX])"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+def _character(name: Column) -> Column:
+    """What the entity of a name stands for; null for a number that is no character."""
+    code = F.when(F.startswith(name, F.lit("#x")), F.conv(F.substring(name, 3, 20), 16, 10).try_cast("long")).otherwise(F.substring(name, 2, 20).try_cast("long"))
+    good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    numeric = F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    return F.when(F.startswith(name, F.lit("#")), numeric).otherwise(F.element_at(known, name))
 
 
 def decode_entities(text: Column) -> Column:
-    """13 named entities and all numeric ones, once: what decoding makes is not decoded again."""
-    out = _code_points(text)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    for amp in ("&amp;", "&#38;", "&#x26;", "&#X26;"):
-        out = F.replace(out, F.lit(amp), F.lit("&"))
-    return out
+    """13 named entities and all numeric ones in one pass, so that what decoding makes is never decoded again. A number that is no
+    character stays as it is."""
+
+    def one(part: Column) -> Column:
+        whole = F.regexp_extract(part, f"^{_ENTITY}", 0)
+        char = lambda e: F.when(e == "", part).otherwise(F.concat(F.coalesce(_character(F.substring(e, F.lit(2), F.length(e) - 2)), e), F.substring(part, F.length(e) + 1, F.length(part))))
+        return let(whole, char)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, f"(?={_ENTITY})"), one), "")).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:
@@ -51,17 +54,16 @@ def collapse(text: Column) -> Column:
 
 def html_to_text(html: Column, limit: int | None = 2000) -> Column:
     """Visible text of HTML, cut to limit code points. Markup that was escaped is stripped once more, but not decoded again."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<(script|style)\\b[^>]*>.*?</\\1>", " ")
-    bare = F.regexp_replace(bare, "(?s)<!--.*?-->", " ")
-    bare = decode_entities(strip_tags(bare))
-    bare = F.when(bare.rlike("</[a-zA-Z][^>]*>"), strip_tags(bare)).otherwise(bare)
-    text = collapse(bare)
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<(script|style)\\b[^>]*>.*?</\\1>", "")
+    bare = F.regexp_replace(bare, "(?s)<!--.*?-->", "")
+    marked = lambda x: F.when(x.rlike("</[a-zA-Z][a-zA-Z0-9]*\\s*>"), strip_tags(x)).otherwise(x)
+    text = collapse(let(decode_entities(strip_tags(bare)), marked))
     return text if limit is None else F.substring(text, 1, limit)
 
 
 def strip_noise(html: Column) -> Column:
-    """Without scripts, styles, navigation, headers, footers, asides and forms."""
-    return F.regexp_replace(html, f"(?is)<({'|'.join(NOISE)})\\b[^>]*>.*?</\\1>", " ")
+    """Without scripts, styles, navigation, headers, footers, asides and forms; what stood around them meets."""
+    return F.regexp_replace(html, f"(?is)<({'|'.join(NOISE)})\\b[^>]*>.*?</\\1>", "")
 
 
 def extract_tag(html: Column, tag: str) -> Column:
@@ -133,9 +135,11 @@ def json_island(json: Column) -> Column:
 
 
 def thread_body(url: Column, html: Column, host: str, css_class: str = "topic_content") -> Column:
-    """The post of a forum page: '' if the block is missing, null for pages of other hosts."""
-    found = F.regexp_extract(html, f'(?is)<div class="{css_class}"[^>]*>(.*?)</div>', 1)
-    return F.when(F.lower(F.try_parse_url(url, F.lit("HOST"))).isin(host, f"www.{host}"), found)
+    """The post of a forum page, up to where its block and the one around it end: '' if the block is missing, null for pages of
+    other hosts."""
+    found = F.regexp_extract(html, f'(?s)<div class="{css_class}">(.*?)</div>\\s*</div>', 1)
+    own = "(^|\\.)" + host.replace(".", "\\.") + "$"
+    return F.when(F.lower(F.try_parse_url(url, F.lit("HOST"))).rlike(own), found)
 
 
 def looks_like_audio(xml: Column) -> Column:
@@ -143,10 +147,11 @@ def looks_like_audio(xml: Column) -> Column:
 
 
 def site_from_bio(bio: Column, platforms: list[str]) -> Column:
-    """The first address in a profile that isn't on a platform, without punctuation at its end."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(bio, F.lit("")), F.lit("(https?://[^\\s<>\"']+)"), F.lit(1)), lambda u: F.regexp_replace(u, "[.,;:!?)\\]，。；：！？）】]+$", ""))
+    """The first address in a profile that isn't on a platform: characters that addresses have only, without punctuation at its end."""
+    found = F.regexp_extract_all(F.coalesce(bio, F.lit("")), F.lit("(https?://[A-Za-z0-9\\-._~:/?#\\[\\]@!$&'()*+,;=%]+)"), F.lit(1))
+    bare = F.transform(found, lambda u: F.regexp_replace(u, "[.,;:!?)\\]]+$", ""))
     known = "|".join(p.replace(".", "\\.") for p in platforms) or "(?!)"
-    return F.get(F.filter(found, lambda u: ~u.rlike(f"(?i)^https?://([^/]*\\.)?({known})(/|$)")), 0)
+    return F.get(F.filter(bare, lambda u: ~u.rlike(f"(?i)^https?://([^/]*\\.)?({known})(/|$)")), 0)
 
 
 def user_of_post(url: Column, reserved: tuple[str, ...] = ("p", "archive", "tag", "category", "news")) -> Column:
@@ -156,12 +161,15 @@ def user_of_post(url: Column, reserved: tuple[str, ...] = ("p", "archive", "tag"
     return F.when(F.get(path, 2).isin("p", "archive") & ~user.isin(*reserved) & (user != ""), user)
 
 
-def name_match(a: Column, b: Column) -> Column:
-    """How alike two names are: 100 equal, 80 one begins the other, 60 one holds the other, else 0."""
-    bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^\\p{L}\\p{N}]+", "")
-    x, y = bare(a), bare(b)
-    empty = (x == "") | (y == "")
-    return F.when(empty, 0).when(x == y, 100).when(F.startswith(x, y) | F.startswith(y, x), 80).when(F.contains(x, y) | F.contains(y, x), 60).otherwise(0)
+def name_match(source: Column, listed: Column, least: int = 5) -> Column:
+    """How alike a podcast's names are: 100 equal, 80 one begins the other and both have least characters, 60 the listed one holds the
+    source's, else 0. Case, punctuation and the words podcast, the and show don't count."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "\\b(?:podcast|the|show)\\b", ""), "[^\\p{L}\\p{N}]+", "")
+    x, y = bare(source), bare(listed)
+    return (
+        F.when((x == "") | (y == ""), 0).when(x == y, 100)
+        .when((F.least(F.length(x), F.length(y)) >= least) & (F.startswith(x, y) | F.startswith(y, x)), 80).when((F.length(x) >= least) & F.contains(y, x), 60).otherwise(0)
+    )
 
 
 def badges(brief: Column, is_thin: Column) -> Column:

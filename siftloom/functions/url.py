@@ -5,26 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 _TRACKING = "(?i)^(utm_.*|ref|sc|spm)$"
+_PARTS = "^(?i:(https?)):[/\\\\]*([^/\\\\?#@]*@)?([^/\\\\?#:]+)(?::(\\d*))?([^?#]*)(?:\\?([^#]*))?"
+#: What an address parser writes as %XX in a path.
+_PATH_ESCAPES = "[^\\x21-\\x7E]|[\"<>`{}^]"
+
+
+def _path(raw: Column) -> Column:
+    """A path with forward slashes, without . and .. segments, escaped where it must be, and without a slash at its end but for the root."""
+    slashes = F.regexp_replace(raw, "\\\\", "/")
+    dotted = F.aggregate(
+        F.split(F.regexp_replace(slashes, "(?<=/)(\\.{1,2})$", "$1/"), "/"), F.array().cast("array<string>"),
+        lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))),
+        lambda a: F.array_join(a, "/"),
+    )
+    plain = F.when(slashes.rlike("/\\.{1,2}(/|$)"), dotted).otherwise(slashes)
+    escape = lambda c: F.when(c.rlike(_PATH_ESCAPES), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)
+    escaped = let(plain, lambda p: F.when(p.rlike(_PATH_ESCAPES), F.array_join(F.transform(F.split(p, "(?!^)"), escape), "")).otherwise(p))
+    return let(F.when(escaped == "", F.lit("/")).otherwise(escaped), lambda p: F.when(p == "/", p).otherwise(F.regexp_replace(p, "/$", "")))
+
+
+def _query(raw: Column) -> Column:
+    """Parameters without the tracking ones, decoded, sorted by key and written again as forms are; equal keys keep their order."""
+    plain = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    pairs = F.transform(F.filter(F.split(raw, "&"), lambda p: p != ""), lambda p, i: F.struct(plain(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), i.alias("i"), plain(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~p["k"].rlike(_TRACKING)))
+    return F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
 
 
 def canonical(url: Column) -> Column:
-    """https, no www., lower-case host, no fragment, no tracking parameters, the rest sorted by key, no slash at the end.
+    """https, no www., lower-case host, no default port, no fragment, no tracking parameters, the rest decoded, sorted by key and
+    encoded again, no slash at the end but for the root.
 
-    What isn't an http address stays as it is. Parameters with equal keys keep their order.
+    What isn't an http address stays as it is. Hosts beyond ASCII aren't turned into their ASCII form.
     """
-    clean = F.trim(url)
-    bare = F.regexp_replace(clean, "#.*$", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^(?i:https?)://([^/?]+)", 1)), "^www\\.", "")
-    path = F.regexp_extract(bare, "^(?i:https?)://[^/?]+([^?]*)", 1)
-    path = F.when(path == "", "/").otherwise(path)
-    query = F.regexp_extract(bare, "\\?(.*)$", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.split(p, "=")[0].rlike(_TRACKING))
-    keyed = F.transform(pairs, lambda p, i: F.struct(F.split(p, "=")[0].alias("k"), i.alias("i"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("raw")))
-    sorted_ = F.array_join(F.transform(F.array_sort(keyed), lambda s: s["raw"]), "&")
-    whole = F.concat(F.lit("https://"), host, path, F.when(sorted_ != "", F.concat(F.lit("?"), sorted_)).otherwise(F.lit("")))
-    trimmed = F.when(path != "/", F.regexp_replace(whole, "/$", "")).when(sorted_ == "", F.regexp_replace(whole, "/$", "")).otherwise(whole)
-    return F.when(host == "", url).otherwise(trimmed)
+    clean = F.regexp_replace(F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\\t\\n\\r]", "")
+    part = lambda i: F.regexp_extract(clean, _PARTS, i)
+    host = F.regexp_replace(F.lower(part(3)), "^www\\.", "")
+    port = F.regexp_replace(part(4), "^0+(?=\\d)", "")
+    default = (port == "") | (port == "443") | ((port == "80") & (F.lower(part(1)) == "http"))
+    whole = F.concat(F.lit("https://"), part(2), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), _path(part(5)), let(_query(part(6)), lambda q: F.when(q == "", q).otherwise(F.concat(F.lit("?"), q))))
+    return F.when(part(3) == "", url).otherwise(whole)
 
 
 def item_id(url: Column) -> Column:
@@ -38,6 +61,14 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.try_parse_url(F.trim(full), F.lit("HOST"))), "^www\\.", "")
 
 
+def origin(url: Column) -> Column:
+    """Scheme, host in lower case and a port that isn't the default."""
+    part = lambda i: F.regexp_extract(F.trim(url), "^(?i:(https?)):[/]+(?:[^/?#@]*@)?([^/?#:]+)(?::(\\d+))?", i)
+    scheme, port = F.lower(part(1)), part(3)
+    default = (port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))
+    return F.when(part(2) != "", F.concat(scheme, F.lit("://"), F.lower(part(2)), F.when(default, "").otherwise(F.concat(F.lit(":"), port))))
+
+
 def with_scheme(text: Column) -> Column:
     """A candidate address from a text line; null for empty lines and those that begin with #."""
     bare = F.trim(text)

@@ -6,7 +6,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,23 @@ def rotation(pool: DataFrame, date: Column, per_day: int, size: int, ord_col: st
     cycle = max(1, math.ceil(size / max(1, per_day)))
     days = F.datediff(date, F.lit("1970-01-01").cast("date"))
     return pool.where(F.pmod(F.col(ord_col), F.lit(cycle)) == F.pmod(days, F.lit(cycle)))
+
+
+def union_in_order(*pools: DataFrame) -> DataFrame:
+    """(query, ord): all queries of pools (query, ord), those of earlier pools first, each once where it comes first, numbered from 0.
+
+    A pool of queries is a vocabulary by a few templates, so it may be numbered together.
+    """
+    both = None
+    for i, pool in enumerate(pools):
+        part = pool.select("query", F.struct(F.lit(i).alias("pool"), F.col("ord").cast("long").alias("ord")).alias("at"))
+        both = part if both is None else both.unionByName(part)
+    first = both.groupBy("query").agg(F.min("at").alias("at"))
+    return first.select("query", (F.row_number().over(Window.orderBy("at")) - 1).alias("ord"))
+
+
+def queries_for_date(core: DataFrame, pool: DataFrame, date: Column, per_day: int = 24) -> DataFrame:
+    """(query, ord): the core queries (query, ord), which run each day, then the slice of the pool whose turn it is."""
+    rotating = max(0, per_day - core.count())
+    turn = rotation(pool, date, rotating, pool.count()) if rotating else pool.where("false")
+    return union_in_order(core, turn)

@@ -152,6 +152,13 @@ def monthly_notes(html: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda a: a["out"])
 
 
+def refine_dates(entries: DataFrame, pages: DataFrame, now: Column, days: int = 75) -> DataFrame:
+    """Entries of the last days, dated by the citation on their page where pages (link, html) has one."""
+    fresh = entries.where(F.col("published_at") >= now - F.expr(f"interval {days} days"))
+    cited = pages.select("link", citation_date(F.col("html")).alias("_cited"))
+    return fresh.join(cited, "link", "left").withColumn("published_at", F.coalesce("_cited", "published_at")).drop("_cited")
+
+
 def citation_date(html: Column) -> Column:
     """A date from year, month and day of a citation block."""
     part = lambda name, shape: _one(html, f"(?i)\\b{name}\\s*=\\s*\\{{({shape})\\}}")
@@ -264,6 +271,12 @@ SEARCHES = {
 }
 
 
+def first_queries(asked: DataFrame, most: int) -> DataFrame:
+    """The first queries (source, query, query_ord) of each source, as many as it may be asked."""
+    w = Window.partitionBy("source").orderBy("query_ord")
+    return asked.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+
+
 def search_results(payloads: DataFrame, kind: str, body_limit: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Entries of landed search results (source, query, query_ord, base, body), first of each link; and (source, message, partial).
 

@@ -50,6 +50,20 @@ def enrich(items: DataFrame, fetched: DataFrame, least: int = 250) -> DataFrame:
     return out.withColumn("thin", utf16_length(F.coalesce("excerpt", F.lit(""))) < least)
 
 
+def enrich_rounds(items: DataFrame, fetched: DataFrame, least: int = 250) -> tuple[DataFrame, DataFrame]:
+    """items after two passes of fetched (id, pass, text), and the attempts (id, pass, ok) that counted.
+
+    The first pass asks for all that need it, the second only for those that the first left short.
+    """
+    asked = items.where(needs_enriching(F.col("excerpt"), F.col("thread"), least)).select("id")
+    one = fetched.where("pass = 1").join(asked, "id", "left_semi")
+    first = enrich(items, one, least)
+    still = first.join(asked, "id", "left_semi").where("thin").select("id")
+    two = fetched.where("pass = 2").join(still, "id", "left_semi")
+    tried = items.select("id", "excerpt").join(one, "id").unionByName(first.select("id", "excerpt").join(two, "id"))
+    return enrich(first, two, least), tried.select("id", "pass", accepts(F.col("excerpt"), F.col("text"), least).alias("ok"))
+
+
 def select_targets(items: DataFrame, muted: DataFrame, priority: DataFrame, limit: int, ord_col: str = "ord") -> DataFrame:
     """Thin items of muted sources, those with a priority id first, then in order, limit at most."""
     first = priority.select("id").distinct().withColumn("_first", F.lit(1))

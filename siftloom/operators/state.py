@@ -83,3 +83,26 @@ def merge_import(current: DataFrame, imported: DataFrame) -> DataFrame:
     keys = ["user_email", "item_id", "flag"]
     fresh = imported.select(*keys).distinct().join(current.select(*keys), keys, "left_anti").withColumn("is_new", F.lit(True))
     return current.select(*keys).distinct().withColumn("is_new", F.lit(False)).unionByName(fresh)
+
+
+def replace_with_remote(remote: DataFrame, prefix: str | None = None) -> DataFrame:
+    """Local flags (user_email, item_id, flag) as the remote lists (user_email, read, starred) have them: a whole snapshot.
+
+    A product with a prefix takes only its own ids, the prefix taken off; one without takes all.
+    """
+    lists = [remote.select("user_email", F.explode(flag).alias("item_id"), F.lit(flag).alias("flag")) for flag in ("read", "starred")]
+    both = lists[0].unionByName(lists[1])
+    return both if prefix is None else of_namespace(both, prefix)
+
+
+def synchronise(remote: DataFrame, local: DataFrame, pending: DataFrame, migrated: DataFrame, now, prefix: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(state, local flags) after a session began: local flags of users that never migrated join what is pending, all of it is
+    written to the remote state, and the remote lists replace what was local.
+
+    remote: state rows. local: user_email, item_id, read, starred. pending: changes. migrated: user_email of those that did.
+    """
+    first = migrate(local.join(migrated.select("user_email").distinct(), "user_email", "left_anti"), pending)
+    on = lambda c: F.when(F.col(c), F.lit(True)).alias(c)
+    queued = pending.select("user_email", "seq", "item_id", "read", "starred").unionByName(first.select("user_email", F.lit(0).cast("long").alias("seq"), "item_id", on("read"), on("starred")))
+    state = upsert(remote, queued, now)
+    return state, replace_with_remote(read_lists(state), prefix)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftloom.functions.text import source_state
+
 OTHER = "其他"
-GROUPS = ("lab", "blog", "newsletter", "media", "podcast", "video", "community")
+#: Kinds of sources in the order in which they are shown.
+GROUPS = ("blog", "newsletter", "lab", "media", "community", "podcast", "video")
 
 
 def contains_any(query: str, *fields: str) -> Column:
@@ -17,11 +20,23 @@ def contains_any(query: str, *fields: str) -> Column:
     return out
 
 
-def page_filter(items: DataFrame, source: str | None = None, view: str = "all", query: str = "", state: DataFrame | None = None, fields: tuple[str, ...] = ("title", "excerpt", "source", "url")) -> DataFrame:
-    """Items of a source, unread or starred or all, that hold a query."""
+#: What a search in the two kinds of pages looks through.
+FIELDS = ("title", "excerpt", "source", "url")
+TOPIC_FIELDS = ("title", "title_original", "summary", "why_read", "source", "author")
+
+
+def page_filter(
+    items: DataFrame, source: str | None = None, view: str = "all", query: str = "", state: DataFrame | None = None, fields: tuple[str, ...] = FIELDS, date: str | None = None, tool: str | None = None, topic: str | None = None
+) -> DataFrame:
+    """Items of a source, a date, a tool and a topic (whichever are named), unread or starred or all, that hold a query in one of the fields."""
     out = items.where(contains_any(query, *fields))
     if source is not None:
         out = out.where(F.col("source") == source)
+    if date is not None:
+        out = out.where(F.col("date") == F.lit(date).cast(dict(items.dtypes)["date"]))
+    for column, value in (("tools", tool), ("topics", topic)):
+        if value is not None:
+            out = out.where(F.coalesce(F.array_contains(column, value), F.lit(False)))
     if view == "unread":
         out = out.join(state.where("is_read = 1").select("id"), "id", "left_anti")
     elif view == "starred":
@@ -29,6 +44,62 @@ def page_filter(items: DataFrame, source: str | None = None, view: str = "all",
     return out
 
 
+def top(items: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first n rows by an order, with their place from 1. Only these n rows are numbered together."""
+    some = items.orderBy(*order).limit(n)
+    return some.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def newest(items: DataFrame) -> DataFrame:
+    return items.orderBy(F.desc_nulls_last("published_at"), "id")
+
+
+#: Tags of indexes that are about technology.
+TECH_TAGS = "(?i)编程|技术|开发|前端|后端|运维|开源|AI|机器学习|数据|算法|安全|效率|工具|极客|Linux|云计算|架构"
+
+
+def technical(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("tags").rlike(TECH_TAGS))
+
+
+def enabled_sources(sources: DataFrame) -> DataFrame:
+    """Sources that are switched on and have a feed or an adapter or a search to ask."""
+    return sources.where(F.coalesce("enabled", F.lit(False)) & (F.coalesce("feed", F.lit("")) != ""))
+
+
+def per_source(sources: DataFrame, items: DataFrame) -> DataFrame:
+    """How many items each source gave, also those that gave none."""
+    n = items.groupBy("source").agg(F.count("*").alias("n"))
+    return sources.select(F.col("name").alias("source")).join(n, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def zero_yield(counted: DataFrame) -> DataFrame:
+    return counted.where("n = 0").select("source")
+
+
+def run_stats(items: DataFrame, attempts: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row about a run: items, seats, rejected and thin ones, enrichment attempts and successes by pass, and sources that failed.
+
+    items: outcome, thin. attempts: pass, ok, skipped. errors: source, partial.
+    """
+    n = lambda test: F.count(F.when(test, 1))
+    ran = ~F.col("skipped")
+    of_items = items.agg(F.count("*").alias("fetched"), n(F.col("outcome") == "shortlist").alias("shortlisted"), n(F.col("outcome") != "shortlist").alias("rejected"), n(F.col("thin")).alias("thin"))
+    of_tries = attempts.agg(
+        n(ran & (F.col("pass") == 1)).alias("enrich_attempted"), n(ran & F.col("ok")).alias("enriched"), n(ran & (F.col("pass") == 2)).alias("retry_attempted"), n(ran & F.col("ok") & (F.col("pass") == 2)).alias("retried"), n(F.col("skipped")).alias("enrich_skipped")
+    )
+    return of_items.crossJoin(of_tries).crossJoin(errors.agg(n(~F.col("partial")).alias("failed_sources")))  # one row each
+
+
+def panel(sources: DataFrame, items: DataFrame, status: DataFrame) -> DataFrame:
+    """Sources (name, kind, enabled, disabled_reason) with their items in the window, state and note, those with most items first."""
+    n = items.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"))
+    got = sources.join(n, "name", "left").join(status.select(F.col("source").alias("name"), "consecutive_failures", "last_error_message"), "name", "left")
+    failures = F.coalesce("consecutive_failures", F.lit(0))
+    note = F.when(~F.col("enabled"), F.coalesce("disabled_reason", F.lit("未启用"))).when(failures > 0, F.concat(F.lit("连续失败 "), failures.cast("string"), F.lit(" 次："), F.coalesce("last_error_message", F.lit("")))).otherwise("正常")
+    return got.select("name", "kind", F.coalesce("n", F.lit(0)).alias("n"), source_state(failures).alias("state"), note.alias("note")).orderBy(F.desc("n"), "name")
+
+
 def facets(items: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """(value, n) of an array column, the most frequent first, equal ones by value."""
     out = items.select(F.explode(column).alias("value")).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")

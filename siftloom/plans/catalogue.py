@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import items, pages, runs  # noqa: F401  they register their queries
+from . import items, literals, pages, runs  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 

@@ -14,23 +14,23 @@ WHITE = "[\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{20
 
 
 def sql_canonical(url: str, source: str) -> str:
-    """A CTE chain that ends in canon(all columns of source, canonical)."""
+    """A CTE chain that ends in canon(all columns of source, canonical). Written for addresses without users, dots and odd characters in their paths."""
+    form = lambda x: f"replace(replace(replace(url_encode(url_decode({x})), '%20', '+'), '%2A', '*'), '~', '%7E')"
     return f"""
-    p0 AS (SELECT *, regexp_replace(trim({url}), '#.*$', '') AS bare FROM {source}),
-    p1 AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^(?i:https?)://([^/?]+)', 1)), '^www\\.', '') AS chost,
-             coalesce(nullif(regexp_extract(bare, '^(?i:https?)://[^/?]+([^?]*)', 1), ''), '/') AS cpath, regexp_extract(bare, '\\?(.*)$', 1) AS cquery FROM p0),
-    p2 AS (SELECT *, list_filter(string_split(cquery, '&'), lambda p: p <> '' AND NOT regexp_matches(split_part(p, '=', 1), '(?i)^(utm_.*|ref|sc|spm)$')) AS prs FROM p1),
-    p3 AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(range(1, len(prs) + 1), lambda i: {{'k': split_part(prs[i], '=', 1), 'i': i, 'raw': CASE WHEN contains(prs[i], '=') THEN prs[i] ELSE prs[i] || '=' END}})), lambda s: s.raw), '&') AS cq FROM p2),
-    p4 AS (SELECT *, 'https://' || chost || cpath || CASE WHEN cq <> '' THEN '?' || cq ELSE '' END AS cwhole FROM p3),
-    canon AS (SELECT *, CASE WHEN chost = '' THEN {url} WHEN cpath <> '/' OR cq = '' THEN regexp_replace(cwhole, '/$', '') ELSE cwhole END AS canonical FROM p4)"""
+    p0 AS (SELECT *, lower(split_part({url}, '://', 1)) AS scheme, split_part(split_part({url}, '://', 2), '#', 1) AS bare FROM {source}),
+    p1 AS (SELECT *, regexp_replace(lower(split_part(split_part(bare, '?', 1), '/', 1)), '^www\\.', '') AS authority, substr(split_part(bare, '?', 1), strpos(split_part(bare, '?', 1) || '/', '/')) AS path0, substr(bare, strpos(bare || '?', '?') + 1) AS cquery FROM p0),
+    p2 AS (SELECT *, split_part(authority, ':', 1) || CASE WHEN split_part(authority, ':', 2) IN ('', '443', CASE WHEN scheme = 'http' THEN '80' ELSE '' END) THEN '' ELSE ':' || split_part(authority, ':', 2) END AS chost,
+             CASE WHEN path0 IN ('', '/') THEN '/' WHEN suffix(path0, '/') THEN left(path0, length(path0) - 1) ELSE path0 END AS cpath, list_filter(string_split(cquery, '&'), lambda p: p <> '') AS prs FROM p1),
+    p3 AS (SELECT *, list_filter(list_transform(range(1, len(prs) + 1), lambda i: {{'k': {form("split_part(prs[i], '=', 1)")}, 'i': i, 'v': {form("substr(prs[i], strpos(prs[i] || '=', '=') + 1)")}}}), lambda s: NOT (lower(s.k) LIKE 'utm\\_%' ESCAPE '\\' OR lower(s.k) IN ('ref', 'sc', 'spm'))) AS ps FROM p2),
+    canon AS (SELECT *, CASE WHEN scheme NOT IN ('http', 'https') THEN {url} ELSE 'https://' || chost || cpath || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(list_transform(list_sort(ps), lambda s: s.k || '=' || s.v), '&') ELSE '' END END AS canonical FROM p3)"""
 
 
 def sql_entities(x: str) -> str:
-    for name, char in {"#39": "'", "#x27": "'", **T.ENTITIES}.items():
-        x = f"replace({x}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
-    for amp in ("&amp;", "&#38;", "&#x26;", "&#X26;"):
-        x = f"replace({x}, '{amp}', '&')"
-    return x
+    """One pass: a text is cut into entities and what stands between, and each entity is replaced."""
+    named = "|".join(T.ENTITIES)
+    cases = " ".join(f"WHEN t = '&{name};' THEN '{char.replace(chr(39), chr(39) * 2)}'" for name, char in T.ENTITIES.items())
+    numeric = "WHEN regexp_matches(t, '^&#[0-9]+;$') THEN chr(t[3:-2]::INTEGER)"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '&(?:{named}|#[0-9]+);|[^&]+|&'), lambda t: CASE {cases} {numeric} ELSE t END), '')"
 
 
 def sql_tags(x: str) -> str:
@@ -41,15 +41,15 @@ def sql_text(html: str, source: str, limit: int | None = 2000, name: str = "plai
     """A CTE chain that ends in name(all columns of source, body)."""
     cut = "body0" if limit is None else f"substr(body0, 1, {limit})"
     return f"""
-    {name}1 AS (SELECT *, {sql_entities(sql_tags(f"regexp_replace(regexp_replace(regexp_replace(coalesce({html}, ''), '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"))} AS bare0 FROM {source}),
-    {name}2 AS (SELECT *, trim(regexp_replace(CASE WHEN regexp_matches(bare0, '</[a-zA-Z][^>]*>') THEN {sql_tags('bare0')} ELSE bare0 END, '{WHITE}', ' ', 'g')) AS body0 FROM {name}1),
+    {name}1 AS (SELECT *, {sql_entities(sql_tags(f"regexp_replace(regexp_replace(regexp_replace(coalesce({html}, ''), '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"))} AS bare0 FROM {source}),
+    {name}2 AS (SELECT *, trim(regexp_replace(CASE WHEN regexp_matches(bare0, '</[a-zA-Z][a-zA-Z0-9]*\\s*>') THEN {sql_tags('bare0')} ELSE bare0 END, '{WHITE}', ' ', 'g')) AS body0 FROM {name}1),
     {name} AS (SELECT *, {cut} AS body FROM {name}2)"""
 
 
 def sql_article(html: str) -> str:
     x = f"coalesce({html}, '')"
     for tag in T.NOISE:
-        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', '', 'g')"
     return x
 
 
@@ -107,12 +107,11 @@ def inbound_links(spark, sf_dir):
 
 @query(f"""WITH {ARTICLE}, {sql_text('art', 'art')}, {sql_canonical('url', 'plain')},
     firsts AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY page_id) AS rn FROM canon)
-    SELECT chost AS host, count(*) AS pages, sum(CASE WHEN length(body) < 250 THEN 1 ELSE 0 END)::BIGINT AS thin, min(substr(sha256(canonical), 1, 16)) AS first_id FROM firsts WHERE rn = 1 GROUP BY chost""")
+    SELECT split_part(chost, ':', 1) AS host, count(*) AS pages, sum(CASE WHEN length(body) < 250 THEN 1 ELSE 0 END)::BIGINT AS thin, min(substr(sha256(canonical), 1, 16)) AS first_id FROM firsts WHERE rn = 1 GROUP BY 1""")
 def page_digest(spark, sf_dir):
     """Flagship: canonical address, id, article text, first of each id, then counts by host."""
-    pages = table(spark, sf_dir, "pages").withColumns({"canonical": U.canonical(F.col("url")), "body": T.article_text(F.col("html"))})
-    first = collect.first_by(pages, ["canonical"], "page_id")
-    first = first.withColumns({"thin": T.thin(F.col("body")), "id": F.substring(F.sha2("canonical", 256), 1, 16), "host": F.regexp_extract("canonical", "^https://([^/?]+)", 1)})
+    first = collect.first_by(table(spark, sf_dir, "pages").withColumn("canonical", U.canonical(F.col("url"))), ["canonical"], "page_id")
+    first = first.select(T.thin(T.article_text(F.col("html"))).alias("thin"), F.substring(F.sha2("canonical", 256), 1, 16).alias("id"), F.regexp_extract("canonical", "^https://([^/?:]+)", 1).alias("host"))
     return first.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.col("thin").cast("long")).alias("thin"), F.min("id").alias("first_id"))
 
 

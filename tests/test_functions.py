@@ -1,6 +1,7 @@
 """Text, address and date functions against literal expectations."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,35 @@ def test_canonical(spark, a, b, same):
     assert (one(spark, U.item_id, a) == one(spark, U.item_id, b)) is same
 
 
+@pytest.mark.parametrize(("url", "want"), [
+    ("http://WWW.X.org", "https://x.org/"), ("https://x.org/?ref=k", "https://x.org/"), ("https://x.org/a/?b=2&a=1", "https://x.org/a?a=1&b=2"), ("http://x.org:80/a", "https://x.org/a"), ("http://x.org:443/a", "https://x.org/a"),
+    ("https://x.org:80/a", "https://x.org:80/a"), ("https://x.org:8443/", "https://x.org:8443/"), ("https://x.org/a b/ü", "https://x.org/a%20b/%C3%BC"), ("https://x.org/s?q=a%20b+c&t=%7Ex*", "https://x.org/s?q=a+b+c&t=%7Ex*"),
+    ("https://x.org/a?x", "https://x.org/a?x="), ("https://x.org/a/./b/../c", "https://x.org/a/c"), ("https://u:p@x.org/", "https://u:p@x.org/"), ("  https://x.org/a#f  ", "https://x.org/a"), ("https://x.org/a?k=%E4%BD%A0", "https://x.org/a?k=%E4%BD%A0"),
+    ("not an address", "not an address"),
+])
+def test_canonical_form(spark, url, want):
+    assert one(spark, U.canonical, url) == want
+    assert one(spark, U.item_id, url) == hashlib.sha256(want.encode()).hexdigest()[:16]
+
+
+def test_literal_ids(spark):
+    assert one(spark, U.item_id, "http://www.example.org:80/?utm_source=x#top") == "8198d1bac40a1033"
+    assert one(spark, U.item_id, "https://example.org/post/?b=1&a=2") == "9ce743d261d7d7d9"
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("&#038;amp; &#x00026;lt; &a&#109;p;lt;", "&amp; &lt; &amp;lt;"), ("&#X26; &#1114112; &#55296;", "&#X26; &#1114112; &#55296;"), ("&amp;#39;", "&#39;"), ("&amp;amp;lt;", "&amp;lt;"), ("&hellip;&mdash;", "…—"), ("&", "&"), (None, None),
+])
+def test_entities_are_decoded_once(spark, text, want):
+    assert one(spark, T.decode_entities, text) == want
+
+
+def test_noise_leaves_nothing_behind(spark):
+    assert one(spark, T.strip_noise, "a<nav>x</nav>b<form>y</form>") == "ab"
+    assert one(spark, T.html_to_text, "a<script>x</script>b<!-- c -->d") == "abd"
+    assert one(spark, T.html_to_text, "&lt;b&gt;x&lt;/b &gt; 3 &lt; 4") == "x 3 < 4"
+
+
 def test_addresses(spark):
     assert one(spark, U.canonical, "not an address") == "not an address"
     assert one(spark, U.host, "WWW.Example.org") == "example.org"
@@ -83,7 +113,8 @@ def test_small_text_functions(spark):
     assert one(spark, T.title_key, "Hello, 世界! 42") == "hello世界42"
     assert one(spark, T.cjk_ratio, "世界ab") == 0.5
     assert one(spark, T.name_match, "The Pod!", "the pod") == 100
-    assert one(spark, T.name_match, "The Pod", "the pod cast") == 80
+    assert one(spark, T.name_match, "The Long Talk", "long talk extra") == 80
+    assert one(spark, T.name_match, "The Pod", "the pod cast") == 0
     assert one(spark, lambda c: T.site_from_bio(c, ["github.com"]), "see https://github.com/me and https://me.org/.") == "https://me.org/"
     assert one(spark, T.user_of_post, "https://www.cnblogs.com/Ann/p/1.html") == "ann"
     assert one(spark, T.escape_html, "<a&'\">") == "&lt;a&amp;&#39;&quot;&gt;"

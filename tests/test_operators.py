@@ -210,7 +210,7 @@ def test_indexes(spark):
     assert {r["feed"] for r in discovery.markdown_feeds(df("see https://a.org/feed.xml, and https://github.com/x/feed and https://a.org/page")).collect()} == {"https://a.org/feed.xml"}
     got = {r["host"]: (r["origin"], r["feed"]) for r in discovery.site_list(df("https://www.a.org/x https://a.org/rss https://b.org/y")).collect()}
     assert got == {"a.org": ("https://www.a.org", "https://a.org/rss"), "b.org": ("https://b.org", None)}
-    assert {r["host"] for r in discovery.domain_list(df('["a.org","www.a.org","https://b.org",""]')).collect()} == {"a.org", "b.org"}
+    assert {r["host"] for r in discovery.domain_list(df('[{"domainName":"a.org","blogName":"A"},{"domainName":"www.a.org"},{"domainName":"https://b.org"},{"domainName":""},{"domainName":"www.zhihu.com"}]')).collect()} == {"a.org", "b.org"}
 
 
 def test_first_verified(spark):
