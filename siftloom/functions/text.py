@@ -88,13 +88,13 @@ def article_tail(text: Column, limit: int = 2000, tail: int = 400) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
-    return F.char_length(text) + F.regexp_count(text, F.lit("[\\x{10000}-\\x{10FFFF}]"))
+    return F.char_length(text) + F.when(F.octet_length(text) > F.char_length(text), F.regexp_count(text, F.lit("[\\x{10000}-\\x{10FFFF}]"))).otherwise(0)
 
 
 def cjk_ratio(text: Column) -> Column:
-    """Han characters among all that aren't white space; 0 for an empty text."""
+    """Han characters among all that isn't white space; 0 for an empty text."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
-    return F.when(bare == "", F.lit(0.0)).otherwise(F.regexp_count(bare, F.lit(HAN)) / utf16_length(bare))
+    return let(bare, lambda x: F.when(x == "", F.lit(0.0)).otherwise((F.char_length(x) - F.char_length(F.regexp_replace(x, HAN + "+", ""))) / utf16_length(x)))
 
 
 def title_key(title: Column) -> Column:

@@ -9,7 +9,7 @@ from siftloom.functions import text as T
 from siftloom.functions.vocab import Entry, Vocabulary, derived_queries
 from siftloom.operators import collect, scoring, triage as tri, views
 
-from .registry import query, table
+from .registry import query, table, texts
 
 #: What the driver's tables are scored by.
 TOOLS = Vocabulary((
@@ -24,8 +24,8 @@ PROMO, NEWS, ACADEMIC = ("!!",), (" | ",), ("%%%",)
 
 def latin_ratio(text: Column) -> Column:
     """Lower-case ASCII letters among all that isn't white space."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), T.WHITE, "")
-    return F.when(bare == "", F.lit(0.0)).otherwise(F.regexp_count(bare, F.lit("[a-z]")) / F.char_length(bare))
+    of = lambda pattern: F.char_length(F.regexp_replace(F.coalesce(text, F.lit("")), pattern, ""))
+    return T.let(F.struct(of(T.WHITE).alias("all"), of("[^a-z]++").alias("own")), lambda n: F.when(n["all"] == 0, F.lit(0.0)).otherwise(n["own"] / n["all"]))
 
 
 RULES = scoring.RuleSet(
@@ -36,8 +36,8 @@ RULES = scoring.RuleSet(
 
 def items(spark, sf_dir) -> DataFrame:
     """Documents as items, dated by the event of the same number."""
-    docs, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
-    title = F.substring(F.regexp_extract("text", "^[^\\n]*", 0), 1, 60)
+    docs, events = texts(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    title = F.regexp_extract("text", "^[^\\n]*", 0)
     cols = docs.select(
         F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), "source", "lang", title.alias("title"), F.substring("text", 1, 2500).alias("excerpt"), T.article_tail(F.col("text"), 2500, 400).alias("tail"),
         (F.col("lang") == "fr").alias("thread"), (F.col("lang") == "es").alias("summary_page"),
@@ -46,9 +46,9 @@ def items(spark, sf_dir) -> DataFrame:
     return dated.withColumns({"thin": T.thin(F.col("excerpt")), "title_key": T.title_key(F.col("title")), "views": F.coalesce((F.col("value") * 100).cast("long"), F.lit(0)), "comments": F.lit(0)})
 
 
-ITEMS = """items AS (SELECT d.doc_id AS ord, CAST(d.doc_id AS VARCHAR) AS id, d.source, d.lang, substr(regexp_extract(d.text, '^[^\\n]*', 0), 1, 60) AS title, substr(d.text, 1, 2500) AS excerpt,
+ITEMS = """items AS (SELECT d.doc_id AS ord, CAST(d.doc_id AS VARCHAR) AS id, d.source, d.lang, regexp_extract(d.text, '^[^\\n]*', 0) AS title, substr(d.text, 1, 2500) AS excerpt,
     CASE WHEN length(d.text) > 2500 THEN right(d.text, 400) ELSE '' END AS tail, d.lang = 'fr' AS thread, d.lang = 'es' AS summary_page, e.ts AS published_at, e.value, e.event_type,
-    length(substr(d.text, 1, 2500)) < 250 AS thin, regexp_replace(lower(substr(regexp_extract(d.text, '^[^\\n]*', 0), 1, 60)), '[^0-9a-z\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]+', '', 'g') AS title_key,
+    length(substr(d.text, 1, 2500)) < 250 AS thin, regexp_replace(lower(regexp_extract(d.text, '^[^\\n]*', 0)), '[^0-9a-z\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]+', '', 'g') AS title_key,
     coalesce(CAST(trunc(e.value * 100) AS BIGINT), 0) AS views FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id)"""
 
 
@@ -279,9 +279,9 @@ def pattern_probe(spark, sf_dir):
     return views.probe(items(spark, sf_dir).join(good, "ord", "left"), "licen[sc]e", F.coalesce("good", F.lit(False)))
 
 
-@query(f"WITH {ITEMS}, pub AS (SELECT DISTINCT regexp_replace(lower(substr(regexp_extract(text, '^[^\\n]*', 0), 1, 60)), '[^0-9a-z]+', '', 'g') AS k FROM benchmark) SELECT ord AS doc_id, title_key IN (SELECT k FROM pub) AS published FROM items WHERE title_key <> ''")
+@query(f"WITH {ITEMS}, pub AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(text, '^[^\\n]*', 0)), '[^0-9a-z]+', '', 'g') AS k FROM benchmark) SELECT ord AS doc_id, title_key IN (SELECT k FROM pub) AS published FROM items WHERE title_key <> ''")
 def published_title_semi(spark, sf_dir):
-    pub = table(spark, sf_dir, "benchmark").select(T.title_key(F.substring(F.regexp_extract("text", "^[^\\n]*", 0), 1, 60)).alias("title_key")).distinct().withColumn("p", F.lit(True))
+    pub = table(spark, sf_dir, "benchmark").select(T.title_key(F.regexp_extract("text", "^[^\\n]*", 0)).alias("title_key")).distinct().withColumn("p", F.lit(True))
     return items(spark, sf_dir).where("title_key <> ''").join(pub, "title_key", "left").select(F.col("ord").alias("doc_id"), F.coalesce("p", F.lit(False)).alias("published"))
 
 

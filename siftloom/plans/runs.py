@@ -72,8 +72,8 @@ def retry_recovery(spark, sf_dir):
     return ledger.recover(last.select("source", "round", (F.col("value") > 50).alias("ok"), F.lit("HTTP 503").alias("message")))
 
 
-_PLAN = f"""run AS (SELECT doc_id AS id, CASE WHEN n_chars < 250 THEN 'thin' WHEN n_chars > 4000 THEN 'cap' END AS gate, source = 'src0' AS muted FROM documents WHERE lang = 'en'),
-    led AS (SELECT event_id AS id, CAST(ts AS DATE) AS first, user_id % 4 AS attempts, user_id % 2 AS stalls, CASE WHEN event_type = 'click' THEN 'thin' ELSE 'quota' END AS g, (user_id % 3 + 1) AS gn FROM events WHERE event_id IN (SELECT doc_id FROM documents)),
+_PLAN = f"""run AS (SELECT doc_id AS id, CASE WHEN n_chars < 250 THEN 'thin' WHEN n_chars > 4000 THEN 'cap' END AS gate, source = 'src0' AS muted FROM documents),
+    led AS (SELECT event_id AS id, CAST(ts AS DATE) AS first, user_id % 4 AS attempts, user_id % 2 AS stalls, CASE WHEN event_type = 'click' THEN 'thin' ELSE 'quota' END AS g, (user_id % 3 + 1) AS gn FROM events),
     j AS (SELECT coalesce(run.id, led.id) AS id, run.id IS NOT NULL AS came, gate, coalesce(muted, false) AS muted, coalesce(led.first, DATE '{PLAN_DAY}') AS first, coalesce(attempts, 0) AS att, coalesce(stalls, 0) AS st, g, coalesce(gn, 0) AS gn FROM run FULL JOIN led ON run.id = led.id),
     k AS (SELECT *, came AND gate IS NOT NULL AS gated, coalesce(came AND gate = 'thin' AND muted AND first >= DATE '{PLAN_DAY}' - INTERVAL 21 DAY, false) AS stall FROM j),
     m AS (SELECT *, att + (gated AND NOT stall)::INT AS attempts2 FROM k),
@@ -83,10 +83,10 @@ _PLAN = f"""run AS (SELECT doc_id AS id, CASE WHEN n_chars < 250 THEN 'thin' WHE
 def planned(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     n = F.col("n_chars")
-    run = docs.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.when(n < 250, "thin").when(n > 4000, "cap").alias("gate"), (F.col("source") == "src0").alias("muted"))
+    run = docs.select(F.col("doc_id").alias("id"), F.when(n < 250, "thin").when(n > 4000, "cap").alias("gate"), (F.col("source") == "src0").alias("muted"))
     u = F.col("user_id")
     g = F.when(F.col("event_type") == "click", "thin").otherwise("quota")
-    led = events(spark, sf_dir).join(docs.select(F.col("doc_id").alias("event_id")), "event_id", "left_semi").select(
+    led = events(spark, sf_dir).select(
         F.col("event_id").alias("id"), F.to_date("ts").alias("first"), (u % 4).cast("int").alias("attempts"), (u % 2).cast("int").alias("stalls"), F.create_map(g, (u % 3 + 1).cast("int")).alias("gates"))
     return ledger.plan_seen(run, led, F.lit(PLAN_DAY).cast("date"))
 
@@ -99,7 +99,7 @@ def plan_seen(spark, sf_dir):
 
 @query(f"WITH {_PLAN} SELECT id, CAST(first AS VARCHAR) AS first FROM n WHERE state = 'wait' AND NOT came")
 def deferred_ttl(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     return planned(spark, sf_dir).where("state = 'wait'").join(docs, "id", "left_anti").select("id", F.col("first").cast("string").alias("first"))
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftloom.sources import files, landed
@@ -19,6 +20,10 @@ def test_days(spark, tmp_path):
     assert {r["id"] for r in files.items_of(days).collect()} == {"2026-09-07", "2026-09-05"}
     assert {(r["source"], r["message"]) for r in files.errors_of(days).collect()} == {("x", "m"), (None, "plain")}
     assert "2026-09-07" in files.page(days).first()["json"]
+    with pytest.raises(Exception, match="at most 1 days"):
+        files.page(days, 1).collect()
+    assert files.prune_days(spark, str(tmp_path), F.lit("2026-09-07").cast("date"), 30) == ["2026-08-01"]
+    assert sorted(p.name for p in tmp_path.glob("*.json")) == ["2026-09-05.json", "2026-09-06.json", "2026-09-07.json", "2026-09-09.json", "status.json"]
 
 
 def test_missing_state(spark, tmp_path):
@@ -67,6 +72,21 @@ def test_failures_stream(spark, tmp_path):
     assert [(r["source"], r["consecutive_failures"]) for r in spark.table("fails").collect()] == [("s", 2)]
 
 
+def test_failures_stream_takes_rows_in_any_order_and_many_chunks(spark, tmp_path):
+    n = 26
+    rows = [("s", i, i == 0) for i in range(n)][::-1] + [("t", i, i == 20) for i in range(n)]
+    spark.createDataFrame(rows, "source string, ord long, ok boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source string, ord long, ok boolean").parquet(str(tmp_path / "in"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 10)
+    try:
+        run(streams.failures(stream), "update", tmp_path, "chunked")
+    finally:
+        spark.conf.set(name, before)
+    assert {r["source"]: r["consecutive_failures"] for r in spark.table("chunked").collect()} == {"s": 25, "t": 5}
+
+
 def test_upsert_stream(spark, tmp_path):
     kind = "user_email string, seq long, item_id string, read boolean, starred boolean"
     spark.createDataFrame([("u", 1, "i", True, None), ("u", 2, "i", None, True)], kind).write.parquet(str(tmp_path / "in"))
@@ -74,3 +94,16 @@ def test_upsert_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert q.exception() is None
     assert [(r["is_read"], r["is_starred"]) for r in spark.read.parquet(str(tmp_path / "out" / "v=0")).collect()] == [(1, 1)]
+
+
+def test_snapshots_rewrite_only_what_a_batch_touches(spark, tmp_path):
+    kind = "user_email string, seq long, item_id string, read boolean, starred boolean"
+    out = str(tmp_path / "out")
+    write = streams.upsert_into(out, 8)
+    batches = [[("u", 1, "i", True, None), ("v", 2, "i", True, None)], [("u", 3, "i", None, True)], [("u", 4, "i", False, None)], [("u", 5, "j", True, None)]]
+    for i, rows in enumerate([*batches[:2], batches[1], *batches[2:]]):  # one batch comes twice
+        write(spark.createDataFrame(rows, kind), i - (i > 1))
+    got = {(r["user_email"], r["item_id"]): (r["is_read"], r["is_starred"], r["v"]) for r in streams.snapshot(spark, out).collect()}
+    assert got == {("u", "i"): (0, 1, 3), ("u", "j"): (1, 0, 3), ("v", "i"): (1, 0, 0)}
+    held = spark.read.parquet(out).select("bucket", "v").distinct().collect()
+    assert sorted(r["v"] for r in held) == [0, 2, 3]
