@@ -14,21 +14,27 @@ def best_copies(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def two_round_quota(df: DataFrame, quota: int, limit: int, group: str = "source", keys: tuple[str, ...] = ()) -> DataFrame:
-    """The limit best rows with at most quota a group, filled up with at most as many again; seat numbers them."""
+    """The limit best rows with at most quota a group, filled up with at most as many again; seat numbers them.
+
+    Without keys the best rows are taken by a limit before these few are numbered together.
+    """
     df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, group).orderBy(F.col("score").desc(), "ord"))).where(F.col("_rn") <= 2 * quota)
-    w = Window.partitionBy(*keys).orderBy(F.col("_rn") > quota, F.col("score").desc(), "ord")
-    return df.withColumn("seat", F.row_number().over(w)).where(F.col("seat") <= limit).drop("_rn")
+    best = (F.col("_rn") > quota, F.col("score").desc(), F.col("ord"))
+    if not keys:
+        df = df.orderBy(*best).limit(limit)
+    return df.withColumn("seat", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("seat") <= limit).drop("_rn")
 
 
 def triage(scored: DataFrame, cap: int = 60, quota: int = 8, forum_share: float = 0.4, thin_share: float = 0.25, run: str = "run", published: DataFrame | None = None) -> DataFrame:
-    """Each row of scored with outcome (shortlist or rejected), gate and seat, for each run by itself.
+    """(run, id, source, thread, thin, score, ord) of each row of scored with why, outcome (shortlist or rejected), gate and seat, for each
+    run by itself. Only these narrow columns are dealt out by run; join texts back by run and id.
 
     scored: run, id, source, thread, summary_page, thin, title_key, score, verdict, published_at, ord. A row is rejected for being a summary
     page, for a title already published, for its verdict, as a copy, then as thin beyond the share; the rest get seats: articles
     all but the forum's reserve, the forum its share of what articles took, each source quota and then as many again. Only
     thin, quota, forum-share and cap are gates. No row is lost. Windows are within a run, which is a day's items.
     """
-    df = scored
+    df = scored.select(run, "id", "source", "thread", "summary_page", "thin", "title_key", "score", "verdict", "published_at", "ord")
     if published is not None:
         df = df.join(published.select("title_key").distinct().withColumn("_published", F.lit(True)), "title_key", "left")
     else:
@@ -53,4 +59,4 @@ def triage(scored: DataFrame, cap: int = 60, quota: int = 8, forum_share: float
     df = df.withColumn("_used", F.sum(F.col("_chosen").cast("int")).over(ranked("source")))
     gate = F.when(F.col("_thin"), "thin").when(~F.col("_live") | F.col("_chosen"), None).when(F.col("_used") >= 2 * quota, "quota").when(F.col("thread"), "forum-share").otherwise("cap")
     df = df.withColumns({"seat": F.when(F.col("_chosen"), F.col("_seat")), "gate": gate, "outcome": F.when(F.col("_chosen"), "shortlist").otherwise("rejected")})
-    return df.drop("copy_rank", "_live", "_rd", "_tr", "_thin", "_rn", "_nf", "_reserve", "_in", "_seat", "_article", "_ta", "_chosen", "_used")
+    return df.drop("summary_page", "title_key", "verdict", "published_at", "copy_rank", "_live", "_rd", "_tr", "_thin", "_rn", "_nf", "_reserve", "_in", "_seat", "_article", "_ta", "_chosen", "_used")

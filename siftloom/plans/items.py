@@ -82,14 +82,15 @@ def sql_latin(x: str) -> str:
 
 _R = RULES
 SCORED = f"""
-    s1 AS (SELECT *, {sql_count('title', TOOLS)} + {sql_count('title', TOPICS)} AS th, {sql_count('excerpt', TOOLS)} + {sql_count('excerpt', TOPICS)} AS bh, {sql_needles("title || ' ' || excerpt", SOFT)} AS soft,
-        {sql_needles('title', EXPERIENCE)} AS te, {sql_needles('excerpt', EXPERIENCE)} AS be, {sql_needles("title || ' ' || excerpt", PROMO)} AS p, {sql_needles("title || ' ' || excerpt", NEWS)} AS n, {sql_needles("title || ' ' || excerpt", ACADEMIC)} AS a,
-        excerpt || chr(10) || tail AS bt, title || chr(10) || substr(excerpt, 1, 400) AS head, tail || chr(10) || right(excerpt, 400) AS tailend FROM items),
-    s2 AS (SELECT *, CASE WHEN {sql_latin('excerpt')} < 0.5 AND {sql_latin('title')} < 0.5 THEN 'language' WHEN {sql_patterns('bt', _R.job_headings)} >= 2 THEN 'job' WHEN regexp_matches(title, '{_R.hard_promo}') THEN 'promo' WHEN th + bh + soft = 0 THEN 'no-hit' END AS closed FROM s1),
+    s0 AS (SELECT *, title || chr(10) || excerpt AS body, excerpt || chr(10) || tail AS bt FROM items),
+    s1 AS (SELECT *, {sql_count('title', TOOLS)} + {sql_count('title', TOPICS)} AS th, {sql_count('body', TOOLS)} + {sql_count('body', TOPICS)} AS ah, {sql_needles('body', SOFT)} AS soft,
+        {sql_needles('title', EXPERIENCE)} AS te, {sql_needles('excerpt', EXPERIENCE)} AS be, {sql_needles('body', PROMO)} AS p, {sql_needles('body', NEWS)} AS n, {sql_needles('body', ACADEMIC)} AS a,
+        title || chr(10) || substr(excerpt, 1, 400) AS head, CASE WHEN tail <> '' THEN tail ELSE right(excerpt, 400) END AS tailend FROM s0),
+    s2 AS (SELECT *, CASE WHEN {sql_latin('body')} < 0.5 AND {sql_latin('title')} < 0.5 THEN 'language' WHEN {sql_patterns('bt', _R.job_headings)} >= 2 THEN 'job' WHEN regexp_matches(title, '{_R.hard_promo}') THEN 'promo' WHEN ah + soft = 0 THEN 'no-hit' END AS closed FROM s1),
     scored AS (SELECT *, CASE WHEN closed IS NOT NULL THEN 0 ELSE
-        CASE WHEN th >= 1 THEN 6 + least(th - 1, 2) ELSE least(bh, 2) END + least(soft, 2) + CASE WHEN regexp_matches(title, '{_R.first_person}') THEN 4 ELSE 0 END + CASE WHEN te > 0 THEN 3 ELSE 0 END + least(be, 3)
+        CASE WHEN th >= 1 THEN 6 + least(th - 1, 2) ELSE least(ah, 2) END + least(soft, 2) + CASE WHEN regexp_matches(title, '{_R.first_person}') THEN 4 ELSE 0 END + CASE WHEN te > 0 THEN 3 ELSE 0 END + least(be, 3)
         - CASE WHEN regexp_matches(title, '{_R.question}') THEN 3 ELSE 0 END - 4 * p - 2 * n - 2 * a
-        - CASE WHEN regexp_matches(head, '{_R.self_promo}') THEN 6 WHEN regexp_matches(tailend, '{_R.self_promo}') THEN 3 ELSE 0 END - CASE WHEN regexp_matches(excerpt, '{_R.coach_promo}') THEN 6 ELSE 0 END - CASE WHEN regexp_matches(bt, '{_R.machine_report}') THEN 6 ELSE 0 END
+        - CASE WHEN regexp_matches(head, '{_R.self_promo}') THEN 6 WHEN regexp_matches(tailend, '{_R.self_promo}') THEN 3 ELSE 0 END - CASE WHEN regexp_matches(body, '{_R.coach_promo}') THEN 6 ELSE 0 END - CASE WHEN regexp_matches(body, '{_R.machine_report}') OR regexp_matches(tail, '{_R.machine_report}') THEN 6 ELSE 0 END
         - CASE WHEN {sql_patterns('bt', _R.listicle_headings)} >= 2 THEN 8 ELSE 0 END - CASE WHEN regexp_matches(title, '{_R.serial_title}') THEN CASE WHEN be >= 4 THEN 2 ELSE 4 END ELSE 0 END
         + CASE WHEN thread AND length(excerpt) < 600 THEN -3 WHEN thread AND length(excerpt) >= 1800 THEN 1 ELSE 0 END + CASE WHEN views >= 2000 THEN 1 ELSE 0 END END AS score FROM s2),
     judged AS (SELECT *, CASE WHEN closed IS NULL AND score >= {_R.threshold} THEN 'shortlist' ELSE 'reject' END AS verdict FROM scored)"""

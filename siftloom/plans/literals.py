@@ -14,7 +14,7 @@ from siftloom.functions import dates as D
 from siftloom.functions import text as T
 from siftloom.functions import url as U
 from siftloom.functions.vocab import Entry, Vocabulary, queries_for_date, union_in_order
-from siftloom.operators import adapters, collect, discovery, feeds, ledger, state, views
+from siftloom.operators import adapters, collect, discovery, feeds, ledger, scoring, state, views
 
 from .registry import QUERIES, SQL
 
@@ -700,3 +700,57 @@ def queries_of_the_day(spark):
 @stated("query VARCHAR, ord INTEGER", [("b", 0), ("a", 1), ("c", 2)])
 def query_pools_in_order(spark):
     return union_in_order(table(spark, "query string, ord int", [("b", 0), ("a", 1)]), table(spark, "query string, ord int", [("a", 0), ("c", 1)]))
+
+
+# rules -----------------------------------------------------------------------------------------------------------------------------
+
+_AGENTS = Vocabulary((Entry("cc", "Claude Code"), Entry("cursor", "Cursor")))
+_TALK = Vocabulary((Entry("mcp", "MCP"), Entry("chat", "聊天", score=False)))
+_HAN = "这是一段中文正文，用来让比例够高。"
+_SCORED = [
+    # id, title, excerpt, tail, thread, views
+    ("title", "Claude Code 的写法", _HAN, "", False, 0),
+    ("two in title", "Claude Code 与 Cursor 与 MCP 的异同", _HAN, "", False, 0),
+    ("body", "一篇文章", _HAN + "Cursor 和 MCP", "", False, 0),
+    ("first person", "我把 Claude Code 换掉", _HAN, "", False, 0),
+    ("experience", "Claude Code 实测", _HAN + "记录 复盘 教训 翻车", "", False, 2000),
+    ("question", "Claude Code 怎么设置？", _HAN, "", False, 0),
+    ("promo words", "Claude Code 的写法", _HAN + "优惠 折扣", "", False, 0),
+    ("news words", "Claude Code 的写法", _HAN + "据悉 融资", "", False, 0),
+    ("academic words", "Claude Code 的写法", _HAN + "本文提出", "", False, 0),
+    ("self promo", "Claude Code 的写法", _HAN + "欢迎试用", "", False, 0),
+    ("self promo end", "Claude Code 的写法", _HAN, "项目地址，欢迎 star", False, 0),
+    ("coach", "Claude Code 的写法", _HAN + "歡迎按愛心", "", False, 0),
+    ("machine", "Claude Code 的写法", _HAN, "本文未执行任何代码", False, 0),
+    ("listicle", "Claude Code 的写法", _HAN + "适合谁：人 核心能力：多", "", False, 0),
+    ("serial", "第 3 章 Claude Code", _HAN, "", False, 0),
+    ("short thread", "Claude Code 的写法", _HAN, "", True, 0),
+    ("long thread", "Claude Code 的写法", "文" * 1800, "", True, 0),
+    ("soft only", "关于智能体", _HAN + "agentic 与编程助手", "", False, 0),
+    ("label only", "聊天", _HAN, "", False, 0),
+    ("latin", "Claude Code tips", "all in English here", "", False, 0),
+    ("job title", "招高级 Claude Code 工程师", _HAN, "", False, 0),
+    ("job pay", "后端 20-30k Claude Code", _HAN, "", False, 0),
+    ("job body", "Claude Code 的写法", _HAN + "岗位职责 任职要求", "", False, 0),
+    ("one heading", "Claude Code 的写法", _HAN + "岗位职责", "", False, 0),
+    ("hard promo", "Claude Code 三人车", _HAN, "", False, 0),
+]
+
+
+@stated("id VARCHAR, score INTEGER, verdict VARCHAR, closed VARCHAR", [
+    ("title", 6, "shortlist", None), ("two in title", 8, "shortlist", None), ("body", 2, "reject", None), ("first person", 13, "shortlist", None), ("experience", 13, "shortlist", None), ("question", 3, "reject", None),
+    ("promo words", -2, "reject", None), ("news words", 2, "reject", None), ("academic words", 4, "reject", None), ("self promo", 1, "reject", None), ("self promo end", 3, "reject", None), ("coach", 0, "reject", None), ("machine", 0, "reject", None),
+    ("listicle", -2, "reject", None), ("serial", 2, "reject", None), ("short thread", 3, "reject", None), ("long thread", 7, "shortlist", None), ("soft only", 2, "reject", None), ("label only", 0, "reject", "no-hit"), ("latin", 0, "reject", "language"),
+    ("job title", 0, "reject", "job"), ("job pay", 0, "reject", "job"), ("job body", 0, "reject", "job"), ("one heading", 6, "shortlist", None), ("hard promo", 0, "reject", "promo"),
+])
+def han_scores(spark):
+    """The rules for Han texts, one text for each."""
+    rows = table(spark, "id string, title string, excerpt string, tail string, thread boolean, views int", _SCORED).withColumn("comments", F.lit(0))
+    return scoring.score_items(rows, scoring.han_rules(_AGENTS, _TALK)).select("id", "score", "verdict", "closed")
+
+
+@stated("host VARCHAR, links BIGINT, example VARCHAR", [("c.org", 2, "a.org")])
+def inbound_hosts(spark):
+    """Hosts that at least two seeds link to."""
+    pages = [("https://a.org", '<a href="https://c.org/1">c</a><a href="https://c.org/2">c</a><a href="https://d.org/">d</a>'), ("https://b.org", '<a href="https://www.c.org/">c</a>')]
+    return views.inbound(discovery.outbound(table(spark, "url string, html string", pages)), 2)
