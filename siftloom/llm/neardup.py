@@ -120,6 +120,9 @@ def near_duplicates(
     """
     if n_bands * rows % 8:
         raise ValueError("n_bands * rows must be a multiple of 8")
+    # both sides are shuffled before adaptive execution sees how small one is; turning such joins into broadcasts then only costs
+    # the driver memory and threads, of which this many joins would keep hundreds
+    merge = lambda df: df.hint("merge")
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     kind = dict(base.dtypes)["id"]
@@ -128,51 +131,51 @@ def near_duplicates(
     classes = checkpoint(known.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("id", "digest")).alias("one"), F.first("bands").alias("bands"), F.first("low").alias("low")))
 
     cells = classes.select(F.explode("bands").alias("bucket"), "key", "n")
-    cells = cells.join(cells.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "bucket")
+    cells = cells.join(merge(cells.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")), "bucket")
     hubs = cells.groupBy("key").agg(F.sum("k").alias("hub"))
-    cells = checkpoint(cells.join(hubs, "key").select("bucket", "key", "n", "hub"))
-    wanted = classes.join(cells.select("key").distinct(), "key", "left_semi").select("one.id", "one.digest", "key")
-    texts = checkpoint(base.join(wanted, ["id", "digest"]).groupBy("key").agg(F.first("text").alias("text")))
+    cells = checkpoint(cells.join(merge(hubs), "key").select("bucket", "key", "n", "hub"))
+    wanted = classes.join(merge(cells.select("key").distinct()), "key", "left_semi").select("one.id", "one.digest", "key")
+    texts = checkpoint(base.join(merge(wanted), ["id", "digest"]).groupBy("key").agg(F.first("text").alias("text")))
     verify = _verify(size, percent)
 
     def linked(pairs: DataFrame) -> DataFrame:
         left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+        both = pairs.join(merge(left), "a").join(merge(right), "b").select("a", "b", "ta", "tb")
         return both.mapInArrow(verify, "a binary, b binary, linked boolean").where("linked").select("a", "b")
 
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  no link between sets of other sizes
     enough = lambda both, x, y: both * (100 + percent) >= (x + y) * percent  # noqa: E731  an intersection that makes a link
     lead = cells.groupBy("bucket").agg(F.max(F.struct("hub", "key", "n")).alias("lead")).select("bucket", F.col("lead.key").alias("leader"), F.col("lead.n").alias("leader_n"))
-    first = cells.join(lead, "bucket").where("key <> leader").where(near(F.col("n"), F.col("leader_n"))).select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
+    first = cells.join(merge(lead), "bucket").where("key <> leader").where(near(F.col("n"), F.col("leader_n"))).select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
     edges = checkpoint(linked(first))
     roots = checkpoint(components(edges))
 
     def rooted(some: DataFrame) -> DataFrame:
-        return some.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        return some.join(merge(roots.select(F.col("node").alias("key"), "root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
     def mixed(some: DataFrame) -> DataFrame:
         """Rows of buckets whose classes are in several components, under their roots of now."""
         now = rooted(some)
         several = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        return now.join(several, "bucket")
+        return now.join(merge(several), "bucket")
 
-    rest = checkpoint(mixed(cells.join(lead, "bucket").where("key <> leader").select("bucket", "key", "n", "hub")))
+    rest = checkpoint(mixed(cells.join(merge(lead), "bucket").where("key <> leader").select("bucket", "key", "n", "hub")))
     left = checkpoint(rest.select("key", "n", "root").distinct())
-    sets = checkpoint(texts.join(left, "key", "left_semi").select("key", "text").mapInArrow(_elements(size), "h long, key binary"))
+    sets = checkpoint(texts.join(merge(left), "key", "left_semi").select("key", "text").mapInArrow(_elements(size), "h long, key binary"))
     shared = checkpoint(sets.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
-    held = sets.join(shared, "h").groupBy("key").agg(F.count(F.when(F.col("k") > rare, 1)).alias("common"), F.count(F.when(F.col("k") <= rare, 1)).alias("few"))
-    left = left.join(held, "key").where((F.col("common") + F.col("few")) * 100 >= F.col("n") * percent)
+    held = sets.join(merge(shared), "h").groupBy("key").agg(F.count(F.when(F.col("k") > rare, 1)).alias("common"), F.count(F.when(F.col("k") <= rare, 1)).alias("few"))
+    left = left.join(merge(held), "key").where((F.col("common") + F.col("few")) * 100 >= F.col("n") * percent)
     left = checkpoint(left)
-    few = sets.join(shared.where(F.col("k") <= rare).select("h"), "h").join(left, "key").select("h", "key", "n", "root", "common")
+    few = sets.join(merge(shared.where(F.col("k") <= rare).select("h")), "h").join(merge(left), "key").select("h", "key", "n", "root", "common")
     side = lambda x: few.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "root", "common")])
-    pairs = side("a").join(side("b"), "h").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & near(F.col("n_a"), F.col("n_b")))
+    pairs = side("a").join(merge(side("b")), "h").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & near(F.col("n_a"), F.col("n_b")))
     pairs = pairs.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(F.count("*").alias("both"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"), F.first(F.least("common_a", "common_b")).alias("common"))
     edges = checkpoint(edges.unionByName(linked(pairs.where(enough(F.col("both") + F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"))))
     roots = checkpoint(components(edges))
 
     likely, more = _least_alike(n_bands * rows, percent / 100), leaders
-    ranked = mixed(rest.drop("root", "n").join(left.where(F.col("common") * 100 >= F.col("n") * percent).select("key", "n", "common"), "key"))
-    ranked = checkpoint(ranked.join(classes.select("key", "bands", "low"), "key"))
+    ranked = mixed(rest.drop("root", "n").join(merge(left.where(F.col("common") * 100 >= F.col("n") * percent).select("key", "n", "common")), "key"))
+    ranked = checkpoint(ranked.join(merge(classes.select("key", "bands", "low")), "key"))
     fields = ("key", "n", "hub", "common", "root", "bands", "low")
     while ranked.count():
         head = checkpoint(ranked.withColumn("rank", F.expr("row_number() over (partition by bucket order by hub desc, key desc)")).where(F.col("rank") <= more).drop("rank"))
@@ -180,14 +183,14 @@ def near_duplicates(
         after = (F.col("hub_a") > F.col("hub_b")) | ((F.col("hub_a") == F.col("hub_b")) & (F.col("key_a") > F.col("key_b")))
         fits = after & (F.col("root_a") != F.col("root_b")) & enough(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b")) & near(F.col("n_a"), F.col("n_b"))
         fits = fits & (_alike("low_a", "low_b", n_bands * rows) >= likely) & (_first_shared("bands_a", "bands_b", n_bands) == F.col("bucket"))
-        fresh = linked(one.join(two, "bucket").where(fits).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")))
+        fresh = linked(one.join(merge(two), "bucket").where(fits).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")))
         edges = checkpoint(edges.unionByName(fresh))
         roots = checkpoint(components(edges))
         more *= 32
-        ranked = checkpoint(mixed(ranked.join(head.select("bucket", "key"), ["bucket", "key"], "left_anti").drop("root")))
+        ranked = checkpoint(mixed(ranked.join(merge(head.select("bucket", "key")), ["bucket", "key"], "left_anti").drop("root")))
     named = rooted(classes.select("key", "one.id"))
     least = named.groupBy("root").agg(F.min("id").alias("component"))
-    found = named.select("key", "root").join(least, "root").select("key", "component")
-    return sig.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"), "n", "digest").join(found, "key", "left").select(
+    found = named.select("key", "root").join(merge(least), "root").select("key", "component")
+    return sig.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"), "n", "digest").join(merge(found), "key", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"), "digest"
     )
