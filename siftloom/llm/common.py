@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftloom.sources.files import spread
+
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package once, however the driver found it."""
@@ -26,8 +28,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table of fewer files than cores is dealt to all of them, larger ones are read as they are."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -89,3 +90,68 @@ def pieces(docs: list[tuple], tokenizer, size: int) -> dict:
             part = ids[k : k + size]
             out[d, k // size] = (k, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)))
     return out
+
+
+def spark_hash(*texts: str) -> int:
+    """Spark's xxhash64 of strings: each hash is the seed of the next."""
+    import xxhash
+
+    h = 42
+    for t in texts:
+        h = xxhash.xxh64(t.encode(), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def shard(key: str, weights: list[float], seed: int = 0) -> int:
+    scores = [(-w / math.log(((spark_hash(key, f"shard {seed} {i}") % (1 << 52)) + 0.5) / (1 << 52)), i) for i, w in enumerate(weights)]
+    return max(scores)[1]
+
+
+def syncmers(text: str, k: int = 3) -> list[tuple]:
+    """(run of word hashes, place) of the closed syncmers, with edge marks around the text."""
+    edge = [(1 << 63) - 1] * (k - 1)
+    h = edge + [spark_hash(w) for w in WORD.findall(text)] + edge
+    runs = [tuple(h[i : i + k]) for i in range(len(h) - k + 1)]
+    return [(r, i - (k - 1)) for i, r in enumerate(runs) if min(r) in (r[0], r[-1])]
+
+
+def likeness(a: str, b: str) -> float:
+    x, y = ({r for r, _ in syncmers(t)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def ratios(docs: list[tuple], trusted: set, buckets: int) -> dict:
+    """Mean log-likelihood ratio of each text's hashed words, word ends and pairs of words."""
+
+    def grams(text: str) -> list[int]:
+        w = WORD.findall(text or "")
+        each = [spark_hash(x) for x in w] + [spark_hash("end", x[-2:]) for x in w] + [spark_hash("pair", x, y) for x, y in zip(w, w[1:])]
+        return [g % buckets for g in each]
+
+    raw, target = Counter(), Counter()
+    for i, t in docs:
+        raw.update(grams(t))
+        if i in trusted:
+            target.update(grams(t))
+    a, b = sum(target.values()) + buckets, sum(raw.values()) + buckets
+    out = {}
+    for i, t in docs:
+        g = grams(t)
+        out[i] = sum(math.log((target[x] + 1) / a) - math.log((raw[x] + 1) / b) for x in g) / len(g) if g else 0.0
+    return out
+
+
+def license_labels(text: str | None, notices: list, share: float = 0.7) -> tuple[str, float]:
+    """Every notice at every place of a text: labels and the score."""
+    w = LICENSE_WORD.findall((text or "").translate(FOLD))
+    labels, best, base = set(), 0.0, False
+    for n in notices:
+        for b in range(-len(n.words) + 1, len(w)):
+            stands = lambda at, x: 0 <= b + at < len(w) and w[b + at] == x  # noqa: B023, E731
+            if all(stands(at + j, x) for at, key in n.spans for j, x in enumerate(key)):
+                value = sum(stands(j, x) for j, x in enumerate(n.words)) / len(n.words)
+                if value >= share:
+                    labels.add(n.label)
+                    base |= n.base
+                    best = max(best, value)
+    return ",".join(sorted(labels)), 1.0 if base else best
