@@ -226,6 +226,32 @@ def adapt(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, empty.select("source", F.when(unknown, F.concat(F.lit("unknown adapter "), F.col("adapter"))).otherwise("no entries found").alias("message"))
 
 
+#: Adapters whose entries need further pages, which were landed as (link, html).
+PAGED = ("sitemap", "gwern-newsletter", "alignment")
+
+
+def adapt_with_pages(payloads: DataFrame, pages: DataFrame, now: Column, include: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """adapt() for all adapters: payloads (source, adapter, body), with the pages that site maps, newsletters and notes lead to.
+
+    A site map's newest addresses take title, date and description from their pages, else what the map says; a page that
+    didn't come gives no entry. A newsletter's months are its pages. Notes are cut by age and dated by their pages.
+    """
+    plain, errors = adapt(payloads.where(~F.col("adapter").isin("sitemap", "gwern-newsletter")))
+    notes = payloads.where("adapter = 'alignment'").select("source").distinct()
+    dated = refine_dates(plain.join(notes, "source", "left_semi"), pages, now)
+    html = pages.select("link", "html")
+    maps = sitemap_targets(payloads.where("adapter = 'sitemap'"), now, include).join(html, "link")
+    maps = maps.select("source", F.col("rank").alias("ord"), article_meta(F.col("html"), F.col("link"), F.date_format("lastmod", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("e"))
+    letters = payloads.where("adapter = 'gwern-newsletter'").select("source", F.posexplode(newsletter_links(F.col("body"), now)).alias("ord", "link")).join(html, "link")
+    letters = letters.select("source", "ord", newsletter(F.col("html"), F.col("link")).alias("e"))
+    rows = maps.unionByName(letters).where("e is not null").select("source", "ord", "e.title", "e.link", parse(F.col("e.published")).alias("published_at"), F.col("e.content").alias("content_html"))
+    paged = first_by(rows.where("title <> '' and link is not null and published_at is not null"), ["source", "link"], "ord")
+    good = plain.join(notes, "source", "left_anti").unionByName(dated.select(*plain.columns)).unionByName(paged)
+    asked = payloads.where(F.col("adapter").isin(*PAGED)).select("source").distinct()
+    none = asked.join(good.select("source").distinct(), "source", "left_anti").join(errors.select("source"), "source", "left_anti")
+    return good, errors.unionByName(none.select("source", F.lit("no entries found").alias("message")))
+
+
 @dataclass(frozen=True)
 class Search:
     """A search interface's JSON as landed: its schema, the SQL of the results in it (p), and of an entry over one result (r).

@@ -142,7 +142,7 @@ _MASKED = Vocabulary((Entry("license", "license", (), ("public license", "apache
 
 @query(f"SELECT doc_id, {sql_any('text', _MASKED.entries[0])} AS found FROM documents")
 def vocab_masked(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", (F.size(_MASKED.matches(F.col("text"))) > 0).alias("found"))
+    return texts(spark, sf_dir, "documents").select("doc_id", (F.size(_MASKED.matches(F.col("text"))) > 0).alias("found"))
 
 
 @query(f"WITH {ITEMS} SELECT ord AS doc_id, {sql_latin('excerpt')} AS ratio FROM items")

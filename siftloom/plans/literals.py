@@ -754,3 +754,44 @@ def inbound_hosts(spark):
     """Hosts that at least two seeds link to."""
     pages = [("https://a.org", '<a href="https://c.org/1">c</a><a href="https://c.org/2">c</a><a href="https://d.org/">d</a>'), ("https://b.org", '<a href="https://www.c.org/">c</a>')]
     return views.inbound(discovery.outbound(table(spark, "url string, html string", pages)), 2)
+
+
+@stated("source VARCHAR, title VARCHAR, link VARCHAR, published_at VARCHAR", [
+    ("m", "B page", "https://m.org/blog/b", "2026-07-03 00:00:00"), ("m", "A", "https://m.org/blog/a?x=1&y=2", "2026-07-01 12:00:00"), ("g", "July 2026 News", "https://gwern.net/newsletter/2026/07", "2026-07-01 00:00:00"),
+    ("n", "N1", "https://alignment.anthropic.com/n1", "2026-07-05 00:00:00"), ("e", "One", "https://epoch.ai/p/one", "2026-07-03 00:00:00"),
+])
+def dispatched_entries(spark):
+    """All adapters by name, with the pages that some of them lead to; old notes go, and a page that didn't come gives nothing."""
+    notes = '<div class="date">July 2026</div><a href="/n1" class="note"><h3>N1</h3></a><div class="date">January 2026</div><a href="/old" class="note"><h3>Old</h3></a>'
+    payloads = [("m", "sitemap", _MAP), ("g", "gwern-newsletter", ""), ("n", "alignment", notes), ("e", "epoch", _ADAPTED[1][1].split("</div>")[0] + "</div>")]
+    pages = [
+        ("https://m.org/blog/b", "<title>B page</title>"), ("https://m.org/blog/a?x=1&y=2", '<meta property="og:title" content="A"><meta property="article:published_time" content="2026-07-01T12:00:00Z">'),
+        ("https://gwern.net/newsletter/2026/07", "<h1>July 2026 News</h1>"), ("https://alignment.anthropic.com/n1", "year={2026}, month={July}, day={5}"),
+    ]
+    rows = adapters.adapt_with_pages(table(spark, "source string, adapter string, body string", payloads), table(spark, "link string, html string", pages), F.to_timestamp(F.lit("2026-07-10 00:00:00")), "/blog/")[0]
+    return rows.select("source", "title", "link", at())
+
+
+@stated("id VARCHAR, author VARCHAR, views INTEGER, matched_query VARCHAR", [("new", "ann", 5, "q"), ("edge", None, None, None), ("undated", "bob", 1, "r")])
+def collected_items(spark):
+    """21 days for the topic pages: what is older, known, without a link or repeated goes, all other columns stay."""
+    rows = [
+        ("new", "l1", "2026-09-06 00:00:00", 0, "ann", 5, "q"), ("new", "l2", "2026-09-06 00:00:00", 1, "second", 9, "z"), ("old", "l3", "2026-08-16 23:59:59", 2, None, None, None), ("edge", "l4", "2026-08-17 00:00:00", 3, None, None, None),
+        ("undated", "l5", None, 4, "bob", 1, "r"), ("no link", "", "2026-09-06 00:00:00", 5, None, None, None), ("seen", "l6", "2026-09-06 00:00:00", 6, None, None, None),
+    ]
+    entries = table(spark, "id string, link string, at string, ord int, author string, views int, matched_query string", rows).withColumn("published_at", F.to_timestamp("at"))
+    return collect.collect_items(entries, table(spark, "id string", [("seen",)]), F.lit("2026-09-07").cast("date"), 21).select("id", "author", "views", "matched_query")
+
+
+@stated("id VARCHAR, place INTEGER", [("b", 1), ("a", 2), ("c", 3)])
+def newest_first(spark):
+    rows = table(spark, "id string, published_at string", [("a", "2026-07-01"), ("b", "2026-07-02"), ("c", None)])
+    return views.top(rows, 10, F.desc_nulls_last("published_at"), "id").select("id", "place")
+
+
+@stated("id VARCHAR, place INTEGER", [("c", 1), ("b", 2), ("a", 3)])
+def day_in_order(spark):
+    """A day's items by rating, then the newest first; what was dropped isn't there."""
+    decisions = table(spark, "url string, action string, rating int", [("ua", "keep", 3), ("ub", "keep", 5), ("uc", "keep", 5), ("ud", "drop", 5)])
+    shortlist = table(spark, "url string, id string, published_at string", [(f"u{x}", x, d) for x, d in (("a", "2026-07-09"), ("b", "2026-07-01"), ("c", "2026-07-02"), ("d", "2026-07-03"))])
+    return views.top(views.assemble(decisions, shortlist), 10, F.desc("rating"), F.desc("published_at")).select("id", "place")

@@ -8,7 +8,7 @@ from siftloom.functions import text as T
 from siftloom.functions import url as U
 from siftloom.operators import collect, views
 
-from .registry import query, table
+from .registry import query, texts
 
 WHITE = "[\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
 
@@ -62,46 +62,46 @@ ARTICLE = f"""
 
 @query(f"WITH {sql_canonical('url', 'pages')} SELECT page_id, canonical, substr(sha256(canonical), 1, 16) AS item_id FROM canon")
 def page_item_id(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.canonical(F.col("url")).alias("canonical"), U.item_id(F.col("url")).alias("item_id"))
+    return texts(spark, sf_dir, "pages").select("page_id", U.canonical(F.col("url")).alias("canonical"), U.item_id(F.col("url")).alias("item_id"))
 
 
 @query(f"WITH {sql_canonical('url', 'pages')} SELECT canonical, min(page_id) AS page_id, count(*) AS copies FROM canon GROUP BY canonical")
 def page_canonical_dedupe(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(U.canonical(F.col("url")).alias("canonical")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
+    return texts(spark, sf_dir, "pages").groupBy(U.canonical(F.col("url")).alias("canonical")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
 
 
 @query(f"WITH {sql_text('html', 'pages')} SELECT page_id, body AS text, length(body) AS n_chars FROM plain")
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return texts(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 @query(f"SELECT page_id, length({sql_article('html')}) AS n_chars, sha256({sql_article('html')}) AS digest FROM pages")
 def noise_stripped(spark, sf_dir):
     q = T.strip_noise(F.coalesce("html", F.lit("")))
-    return table(spark, sf_dir, "pages").select("page_id", q.alias("q")).select("page_id", F.char_length("q").cast("long").alias("n_chars"), F.sha2("q", 256).alias("digest"))
+    return texts(spark, sf_dir, "pages").select("page_id", q.alias("q")).select("page_id", F.char_length("q").cast("long").alias("n_chars"), F.sha2("q", 256).alias("digest"))
 
 
 @query(f"WITH {ARTICLE}, {sql_text('art', 'art')} SELECT page_id, body AS text FROM plain")
 def article_extract(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.article_text(F.col("html")).alias("text"))
+    return texts(spark, sf_dir, "pages").select("page_id", T.article_text(F.col("html")).alias("text"))
 
 
 @query(f"WITH {ARTICLE}, {sql_text('art', 'art', None)} SELECT page_id, substr(body, 1, 300) AS excerpt, CASE WHEN length(body) > 300 THEN right(body, 100) ELSE '' END AS tail FROM plain")
 def excerpt_tail(spark, sf_dir):
-    whole = table(spark, sf_dir, "pages").select("page_id", T.article_text(F.col("html"), None).alias("body"))
+    whole = texts(spark, sf_dir, "pages").select("page_id", T.article_text(F.col("html"), None).alias("body"))
     return whole.select("page_id", F.substring("body", 1, 300).alias("excerpt"), T.article_tail(F.col("body"), 300, 100).alias("tail"))
 
 
 @query("SELECT regexp_replace(lower(regexp_extract(url, '^(?i:https?)://([^/?#:]+)', 1)), '^www\\.', '') AS host, count(*) AS pages FROM pages GROUP BY 1")
 def page_host_counts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
+    return texts(spark, sf_dir, "pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
 
 
 @query("""WITH raw AS (SELECT regexp_replace(lower(regexp_extract(url, '^(?i:https?)://([^/?#:]+)', 1)), '^www\\.', '') AS seed, unnest(regexp_extract_all(html, 'href="(/[^"]+)"', 1)) AS host FROM pages)
     SELECT host, count(DISTINCT seed) AS links, min(seed) AS example FROM raw GROUP BY host HAVING count(DISTINCT seed) >= 2""")
 def inbound_links(spark, sf_dir):
     """What pages link to, by how many hosts link to it; here all links stay on their host, so their paths are counted."""
-    links = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("seed"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1))).alias("host"))
+    links = texts(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("seed"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1))).alias("host"))
     return views.inbound(links, 2)
 
 
@@ -110,20 +110,20 @@ def inbound_links(spark, sf_dir):
     SELECT split_part(chost, ':', 1) AS host, count(*) AS pages, sum(CASE WHEN length(body) < 250 THEN 1 ELSE 0 END)::BIGINT AS thin, min(substr(sha256(canonical), 1, 16)) AS first_id FROM firsts WHERE rn = 1 GROUP BY 1""")
 def page_digest(spark, sf_dir):
     """Flagship: canonical address, id, article text, first of each id, then counts by host."""
-    first = collect.first_by(table(spark, sf_dir, "pages").withColumn("canonical", U.canonical(F.col("url"))), ["canonical"], "page_id")
+    first = collect.first_by(texts(spark, sf_dir, "pages").withColumn("canonical", U.canonical(F.col("url"))), ["canonical"], "page_id")
     first = first.select(T.thin(T.article_text(F.col("html"))).alias("thin"), F.substring(F.sha2("canonical", 256), 1, 16).alias("id"), F.regexp_extract("canonical", "^https://([^/?:]+)", 1).alias("host"))
     return first.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.col("thin").cast("long")).alias("thin"), F.min("id").alias("first_id"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?:') THEN url ELSE '#' END AS safe, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
 def safe_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.safe_url(F.col("url")).alias("safe"), T.escape_html(F.col("url")).alias("escaped"))
+    return texts(spark, sf_dir, "pages").select("page_id", T.safe_url(F.col("url")).alias("safe"), T.escape_html(F.col("url")).alias("escaped"))
 
 
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, length(regexp_extract_all(html, '(?i)<p\\b')) AS paragraphs FROM pages")
 def page_meta(spark, sf_dir):
     title = F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1))
-    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), F.regexp_count("html", F.lit("(?i)<p\\b")).cast("long").alias("paragraphs"))
+    return texts(spark, sf_dir, "pages").select("page_id", title.alias("title"), F.regexp_count("html", F.lit("(?i)<p\\b")).cast("long").alias("paragraphs"))
 
 
 @query("""WITH known AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^(?i:https?)://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM pages WHERE regexp_matches(url, '(?i)^http:')),
@@ -132,6 +132,6 @@ def page_meta(spark, sf_dir):
 def exclude_known_hosts(spark, sf_dir):
     from siftloom.operators import discovery
 
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", U.host(F.col("url")).alias("host"))
+    pages = texts(spark, sf_dir, "pages").select("page_id", "url", U.host(F.col("url")).alias("host"))
     known = pages.where(F.col("url").rlike("(?i)^http:")).select("host")
     return discovery.new_hosts(pages, [known], "page_id").select("host", "page_id")

@@ -103,6 +103,14 @@ def write_days(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
+def write_run(path: str, raw: DataFrame, parts: dict[str, DataFrame] | None = None) -> None:
+    """A run's output as JSON lines: all items under _raw, and, unless it is a dry run (no parts), each part under _pending, such as
+    shortlist, rejected, stats, per_source, errors and queries."""
+    raw.write.mode("overwrite").json(f"{path}/_raw")
+    for name, part in (parts or {}).items():
+        part.write.mode("overwrite").json(f"{path}/_pending/{name}")
+
+
 def page(days: DataFrame, most: int = 400) -> DataFrame:
     """One row: the days as JSON that may stand in a page, and its size in bytes. A page holds a window of days: most of them at most."""
     one = days.limit(most + 1).agg(F.count("*").alias("n"), F.to_json(F.sort_array(F.collect_list(F.struct("date", "items")), asc=False)).alias("j"))

@@ -32,6 +32,15 @@ def test_missing_state(spark, tmp_path):
     assert [r["id"] for r in files.read_state(spark, str(tmp_path / "s.json"), "id string").collect()] == ["a"]
 
 
+def test_run_output(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "id string, n int")
+    files.write_run(str(tmp_path / "dry"), rows)
+    files.write_run(str(tmp_path / "run"), rows, {"stats": rows.select("n"), "errors": rows.where("false")})
+    assert not (tmp_path / "dry" / "_pending").exists()
+    assert [r["id"] for r in files.read_state(spark, str(tmp_path / "run" / "_raw"), "id string, n int").collect()] == ["a"]
+    assert [r["n"] for r in files.read_state(spark, str(tmp_path / "run" / "_pending" / "stats"), "n int").collect()] == [1]
+
+
 def test_dynamic_days(spark, tmp_path):
     write = lambda rows: files.write_days(spark.createDataFrame(rows, "date string, n int"), str(tmp_path / "d"))
     write([("a", 1), ("b", 2)])
