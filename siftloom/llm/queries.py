@@ -79,10 +79,11 @@ OP3 = f"""WITH {_WORDS.format(text="coalesce(text, '')")},
     a AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS kept FROM m GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
-OP6 = """WITH c AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT sum(n) * 1.0 / count(*) AS x FROM c), r AS (SELECT s, least(16.0, x / n) AS rate FROM c, t),
-    d AS (SELECT doc_id, source, text, rate, CAST('0x' || substr(md5('mix-1|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM documents JOIN r ON coalesce(source, '') = s),
-    k AS (SELECT *, len(list_filter(range(0, 64), lambda k: u >= list_sum(list_transform(range(0, k + 1), lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1.0)))))) AS copies FROM d),
-    x AS (SELECT doc_id, source, text, CAST(unnest(range(0, copies)) AS INTEGER) AS copy FROM k)
+_DRAW = "CAST('0x' || substr(md5('mix-1' || CASE WHEN i > 0 THEN '#' || i ELSE '' END || '|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0"
+OP6 = f"""WITH c AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT sum(n) * 1.0 / count(*) AS x FROM c), r AS (SELECT s, x / n AS rate, greatest(1, ceil(x / n / 16))::INTEGER AS parts FROM c, t),
+    d AS (SELECT doc_id, source, text, rate / parts AS part, list_transform(range(0, parts), lambda i: {_DRAW}) AS us FROM documents JOIN r ON coalesce(source, '') = s),
+    k AS (SELECT *, list_sum(list_transform(us, lambda u: len(list_filter(range(0, 64), lambda k: u >= list_sum(list_transform(range(0, k + 1), lambda j: exp(-part + j * ln(part) - lgamma(j + 1.0)))))))) AS copies FROM d),
+    x AS (SELECT doc_id, source, text, CAST(unnest(range(0, copies::BIGINT)) AS INTEGER) AS copy FROM k)
     SELECT doc_id, source, copy, md5('mix-1|' || doc_id || '|' || copy) AS shuffle_key, sha256(coalesce(text, '')) AS text_sha256 FROM x"""
 
 OP9 = f"""WITH RECURSIVE {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},

@@ -135,6 +135,19 @@ def test_repeated_ids_with_other_texts(spark):
     assert sorted((r["doc_id"], r["text"] == b) for r in kept) == [(1, False), (2, True)]
 
 
+def test_mixing_equals_its_sql_at_high_rates(spark, tmp_path):
+    """One source has 1 % of the rows, so its rate is 50 and drawn in parts."""
+    import duckdb
+
+    rows = [(i, f"text {i}", "en", "rare" if i % 100 == 0 else "rest", 6) for i in range(400)]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(queries.OP6).fetchall())
+    got = sorted(tuple(r) for r in queries.op6_poisson_mixing(spark, str(tmp_path)).collect())
+    assert got == want and sum(r[1] == "rare" for r in got) > 120
+
+
 def test_mixing_with_clashing_names(spark):
     df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).alias("mix_source"), F.lit(2).alias("mix_copies"), F.lit(3).alias("MIX_key"), F.lit("x").alias("Copy"))
     got = mixing.mix(df)
