@@ -44,7 +44,7 @@ def _elements(size: int):
             for c in K.chunks(batch.column(1)):
                 h, ptr = K.shingles(c.data, c.offs, size)
                 doc = np.repeat(np.arange(c.lo, c.hi), np.diff(ptr))
-                yield pa.RecordBatch.from_arrays([K.signed(h), batch.column(0).take(pa.array(doc))], names=["h", "key"])
+                yield pa.RecordBatch.from_arrays([K.signed(h), batch.column(0).take(pa.array(doc))], names=["h", "short"])
 
     return run
 
@@ -160,13 +160,13 @@ def near_duplicates(
         return now.join(merge(several), "bucket")
 
     rest = checkpoint(mixed(cells.join(merge(lead), "bucket").where("key <> leader").select("bucket", "key", "n", "hub")))
-    left = checkpoint(rest.select("key", "n", "root").distinct())
-    sets = checkpoint(texts.join(merge(left), "key", "left_semi").select("key", "text").mapInArrow(_elements(size), "h long, key binary"))
+    # short stands for a key among the shingles; should two keys have the same, both are compared
+    left = checkpoint(rest.select("key", "n", "root").distinct().withColumn("short", F.xxhash64("key")))
+    sets = checkpoint(texts.join(merge(left), "key").select("short", "text").mapInArrow(_elements(size), "h long, short long"))
     shared = checkpoint(sets.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
-    held = sets.join(merge(shared), "h").groupBy("key").agg(F.count(F.when(F.col("k") > rare, 1)).alias("common"), F.count(F.when(F.col("k") <= rare, 1)).alias("few"))
-    left = left.join(merge(held), "key").where((F.col("common") + F.col("few")) * 100 >= F.col("n") * percent)
-    left = checkpoint(left)
-    few = sets.join(merge(shared.where(F.col("k") <= rare).select("h")), "h").join(merge(left), "key").select("h", "key", "n", "root", "common")
+    held = sets.join(merge(shared), "h").groupBy("short").agg(F.count(F.when(F.col("k") > rare, 1)).alias("common"), F.count(F.when(F.col("k") <= rare, 1)).alias("few"))
+    left = checkpoint(left.join(merge(held), "short").where((F.col("common") + F.col("few")) * 100 >= F.col("n") * percent))
+    few = sets.join(merge(shared.where(F.col("k") <= rare).select("h")), "h").join(merge(left), "short").select("h", "key", "n", "root", "common")
     side = lambda x: few.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "root", "common")])
     pairs = side("a").join(merge(side("b")), "h").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & near(F.col("n_a"), F.col("n_b")))
     pairs = pairs.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(F.count("*").alias("both"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"), F.first(F.least("common_a", "common_b")).alias("common"))
@@ -174,12 +174,12 @@ def near_duplicates(
     roots = checkpoint(components(edges))
 
     likely, more = _least_alike(n_bands * rows, percent / 100), leaders
-    ranked = mixed(rest.drop("root", "n").join(merge(left.where(F.col("common") * 100 >= F.col("n") * percent).select("key", "n", "common")), "key"))
-    ranked = checkpoint(ranked.join(merge(classes.select("key", "bands", "low")), "key"))
+    ranked = checkpoint(mixed(rest.drop("root", "n").join(merge(left.where(F.col("common") * 100 >= F.col("n") * percent).select("key", "n", "common")), "key")))
+    sketches = checkpoint(classes.select("key", "bands", "low").join(merge(ranked.select("key").distinct()), "key", "left_semi"))
     fields = ("key", "n", "hub", "common", "root", "bands", "low")
     while ranked.count():
         head = checkpoint(ranked.withColumn("rank", F.expr("row_number() over (partition by bucket order by hub desc, key desc)")).where(F.col("rank") <= more).drop("rank"))
-        one, two = (x.select("bucket", *[F.col(c).alias(f"{c}_{y}") for c in fields]) for x, y in ((head, "a"), (ranked, "b")))
+        one, two = (x.join(merge(sketches), "key").select("bucket", *[F.col(c).alias(f"{c}_{y}") for c in fields]) for x, y in ((head, "a"), (ranked, "b")))
         after = (F.col("hub_a") > F.col("hub_b")) | ((F.col("hub_a") == F.col("hub_b")) & (F.col("key_a") > F.col("key_b")))
         fits = after & (F.col("root_a") != F.col("root_b")) & enough(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b")) & near(F.col("n_a"), F.col("n_b"))
         fits = fits & (_alike("low_a", "low_b", n_bands * rows) >= likely) & (_first_shared("bands_a", "bands_b", n_bands) == F.col("bucket"))
