@@ -14,7 +14,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5 stay, unchanged; nulls and texts without evidence are among them."""
+    """Documents scored below 0.5 stay, unchanged; nulls and empty texts have no evidence and stay, repeated rows are judged each by its text.
+    An empty table stays empty; other columns go."""
     ship(spark)
     model = toxicity.learn(docs, toxicity.fold(labels(spark, sf_dir)))
     return toxicity.score(docs, model, carry=True).where("score < 0.5").select(*COLUMNS)
@@ -29,7 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words that an earlier document has in a passage of 50; a text that loses every word goes."""
+    """Texts without the words that an earlier document has in a passage of 50; a text that loses every word goes. Nulls, empty texts and rows with
+    a null id stay as they are; repeated rows of one id don't count against each other. An empty table stays empty; other columns go."""
     ship(spark)
     cut = substring.dedup_substrings(docs, carry=("lang", "source", "n_chars")).where("n_removed = 0 or n_removed < n_words")
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
@@ -37,12 +39,14 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source with an equal share of about as many rows as come in, in a global random order; ids repeat with the copies."""
+    """Each source with an equal share of about as many rows as come in, in a global random order; ids repeat with the copies. A null source
+    is a source, a null id draws as the id ''; repeated rows draw the same number. An empty table stays empty; other columns go."""
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each copy: its sequence of 4096 tokens at most and its place there."""
+    """A row for each piece of each copy: its sequence of 4096 tokens at most and its place there. Null and empty texts are one end token; every
+    row is packed, also repeated ones and those with a null id. An empty table gives no rows; other columns are ignored."""
     ship(spark)
     return packing.pack(docs, tokenizer_path())
 
@@ -60,7 +64,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's rows are checkpointed before the next reads them."""
+    """All stages over the documents of sf_dir; each stage's rows are checkpointed before the next reads them. The cases that a stage
+    must bear are in its description; an empty table gives no rows."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
