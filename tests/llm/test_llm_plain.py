@@ -49,6 +49,7 @@ def test_fingerprints(real):
         edited = text[: len(text) - half] + nxt[:half]
         assert [x["place"] for x in got[i]["anchors"]] == [p for _, p in brute.syncmers(text)]
         assert abs(got[i]["near_next"] - brute.likeness(text, nxt)) < 1e-9
+        assert got[i]["in_place"] == len(set(brute.syncmers(text)) & set(brute.syncmers(edited)))
         assert abs(got[i]["near_edited"] - brute.likeness(text, edited)) < 1e-9
 
 
