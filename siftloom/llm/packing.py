@@ -16,14 +16,15 @@ from . import kernels as K
 from .common import checkpoint
 from .wordbpe import LONGEST, PLAIN, WordBpe
 
-#: Runs of text whose ids a task remembers: bytes of those met again, and of those met once of late, with what Python adds to each.
-OFTEN_BYTES, RECENT_BYTES = 16 << 20, 8 << 20
+#: Runs of text whose ids a Python worker remembers: bytes of those met again, and of those met once of late, with what Python adds to each.
+OFTEN_BYTES, RECENT_BYTES = 32 << 20, 16 << 20
 _ENTRY = 200
 _state: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a path, its fast way for plain words and whether it may read a text run by run; kept for the worker's life."""
+    """The tokenizer of a path, its fast way for plain words, whether it may read a text run by run, and what is remembered; kept for
+    the worker's life."""
     if path not in _state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -33,12 +34,12 @@ def _tokenizer(path: str) -> tuple:
         ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         by_runs = not any(c.split() != [c] for c in added) and ids(" the  cat\nsat don't ") == ids("the") + ids("cat") + ids("sat") + ids("don't")
         plain = by_runs and not any(PLAIN.fullmatch(c.lower()) for c in added)
-        _state[path] = (tokenizer, _word_bpe(path, tokenizer) if plain else None, by_runs)
+        _state[path] = (tokenizer, _word_bpe(path, tokenizer) if plain else None, by_runs, Memory())
     return _state[path]
 
 
 class Memory:
-    """Ids of runs for the length of one task, bounded by bytes."""
+    """Ids of runs, bounded by bytes."""
 
     def __init__(self):
         self.often: dict[bytes, bytes] = {}
@@ -47,7 +48,7 @@ class Memory:
         self.sizes = [0, 0]
 
     def get(self, run: bytes) -> bytes | None:
-        """A run that is met again is kept for the task as long as there is room, so runs that occur once don't push it out."""
+        """A run that is met again is kept for good as long as there is room, so runs that occur once don't push it out."""
         known = self.often.get(run)
         if known is None:
             known = self.recent.get(run)
@@ -106,13 +107,14 @@ def _encode_new(missing: list[bytes], tokenizer, bpe: WordBpe | None, marks: dic
     return new
 
 
-def encode(texts: list[bytes], path: str, memory: Memory) -> list[bytes]:
+def encode(texts: list[bytes], path: str, memory: Memory | None = None) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
     A tokenizer that drops white space never joins across it, so a text's ids are those of its runs of other bytes,
-    which repeat a lot. Each run is looked up once a call, and in what the task remembers.
+    which repeat a lot. Each run is looked up once a call, and in what the worker remembers.
     """
-    tokenizer, bpe, by_runs = _tokenizer(path)
+    tokenizer, bpe, by_runs, held = _tokenizer(path)
+    memory = memory or held
     if not by_runs:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
     runs = [x.split() for x in texts]
@@ -132,12 +134,12 @@ def encode(texts: list[bytes], path: str, memory: Memory) -> list[bytes]:
 
 def _pieces(path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, memory = int(end).to_bytes(4, "little"), Memory()
+        last = int(end).to_bytes(4, "little")
         for batch in batches:
-            for c in K.chunks(batch.column(1)):
+            for c in K.chunks(batch.column(1), 1 << 22):
                 raw, offs = c.data.tobytes(), c.offs.tolist()
                 rows: list[tuple] = []
-                ids = encode([raw[a:b] for a, b in zip(offs, offs[1:])], path, memory)
+                ids = encode([raw[a:b] for a, b in zip(offs, offs[1:])], path)
                 for key, tokens in zip(batch.column(0).slice(c.lo, c.hi - c.lo).to_pylist(), ids):
                     tokens += last
                     for k in range(0, len(tokens), 4 * size):
