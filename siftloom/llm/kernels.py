@@ -103,9 +103,14 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE) -> Words:
     return Words(starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, offs))
 
 
-def word_hashes(data: np.ndarray, w: Words, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (A-Z as a-z if fold), made in blocks so that memory stays small."""
+def word_hashes(data: np.ndarray, w: Words, fold: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes (A-Z as a-z if fold), made in blocks so that memory stays small.
+
+    Each byte counts by its place among 4096; a longer word is a chain of such pieces, each mixed with its number. Another seed
+    gives a hash that is independent of the others.
+    """
     out = np.empty(len(w.starts), U64)
+    table = _BYTE if not seed else mix64(_BYTE + U64(seed) * U64(0xA24BAED4963EE407))
     i = 0
     while i < len(out):
         j = max(i + 1, int(np.searchsorted(w.ends, w.starts[i] + _BLOCK, "right")))
@@ -116,7 +121,15 @@ def word_hashes(data: np.ndarray, w: Words, fold: bool = False) -> np.ndarray:
         byte = data[np.repeat(w.starts[i:j], lens) + place] if j - i > 1 else data[a : a + total]
         if fold:
             byte = LOWER[byte]
-        out[i:j] = np.add.reduceat(_BYTE[byte] * _PLACE[place & (_SPAN - 1)], first) + lens.astype(U64) * U64(0xA0761D6478BD642F)
+        pieces = first
+        if long := int(lens.max()) > _SPAN:
+            pieces = np.flatnonzero(place & (_SPAN - 1) == 0)
+        sums = np.add.reduceat(table[byte] * _PLACE[place & (_SPAN - 1)], pieces)
+        if long:
+            later = (place[pieces] // _SPAN).astype(U64)
+            chained = np.where(later > 0, mix64(sums + later * U64(0x9FB21C651E98DF25)), sums)
+            sums = np.add.reduceat(chained, np.searchsorted(pieces, first))
+        out[i:j] = sums + lens.astype(U64) * U64(0xA0761D6478BD642F)
         i = j
     return mix64(out)
 

@@ -56,7 +56,7 @@ def _windows(size: int, period: int):
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 w = K.words(c.data, c.offs)
-                h = K.window_hashes(K.word_hashes(c.data, w), size)
+                h, g = (K.window_hashes(K.word_hashes(c.data, w, seed=k), size) for k in (0, 1))
                 n = int(w.ptr[-1])
                 mark = np.zeros(n + 1, np.int32)
                 at, per = _own(batch, c)
@@ -67,7 +67,7 @@ def _windows(size: int, period: int):
                 near = np.cumsum(mark[:n])[: len(h)] > 0
                 i = np.flatnonzero(near & (w.left()[: len(h)] >= size))
                 doc = np.repeat(np.arange(c.lo, c.hi), w.counts)[i]
-                yield pa.RecordBatch.from_arrays([K.signed(h[i]), batch.column(0).take(pa.array(doc)), pa.array(w.place()[i] | _row(batch)[doc] << 32)], names=["h", "id", "pos"])
+                yield pa.RecordBatch.from_arrays([K.signed(h[i]), K.signed(g[i]), batch.column(0).take(pa.array(doc)), pa.array(w.place()[i] | _row(batch)[doc] << 32)], names=["h", "g", "id", "pos"])
 
     return run
 
@@ -122,7 +122,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     1. Windows of size - period + 1 words are hashed only where their place modulo period is in a difference cover.
        Two equal passages of size words, whatever their places, have an anchor of each at the same distance.
     2. Anchors seen in two documents (by smallest and largest id, partial aggregates) are extended: all windows of size
-       words that hold such an anchor are hashed, and the smallest id that has each is found, again by aggregation.
+       words that hold such an anchor are hashed, twice and independently, so that windows are told apart by 128 bits, and the
+       smallest id that has each is found, again by aggregation.
     3. Each document marks the words of the windows that a smaller id has.
     No pairs of documents are made at any point, so a passage that a third of the documents share costs its occurrences. All
     occurrences of one window do meet in one task, though, as (hash, id, place) rows that are sorted with spilling.
@@ -154,9 +155,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     anchors = dealt.mapInArrow(_anchors(size, period), f"h long, id {kind}, pos long")
     shared = anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
     near = anchors.join(shared, "h").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    windows = dealt.join(near, "id").select("id", "text", "copy", "row", "at", *rest).mapInArrow(_windows(size, period), f"h long, id {kind}, pos long")
-    first = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo")
-    doubled = windows.join(first, "h").where("id > lo").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    windows = dealt.join(near, "id").select("id", "text", "copy", "row", "at", *rest).mapInArrow(_windows(size, period), f"h long, g long, id {kind}, pos long")
+    first = windows.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "g", "lo")
+    doubled = windows.join(first, ["h", "g"]).where("id > lo").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     out = dealt.join(doubled, "id", "left").select("id", "text", "copy", "row", F.coalesce("at", F.array().cast("array<long>")).alias("at"), *rest)
     out = out.unionByName(base.where("id is null").select("id", "text", F.lit(False).alias("copy"), F.lit(0).alias("row"), F.array().cast("array<long>").alias("at"), *rest))
     kinds = "".join(f", {c} {dict(base.dtypes)[c]}" for c in rest)

@@ -328,9 +328,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     rest = docs.drop("score") if carry else docs.select(F.col(id_col).alias("doc_id"))
     names = rest.columns
-    text = F.col(text_col).cast("string").alias("scored_text")
+    free = "scored_text"
+    while free in names:
+        free += "_"
+    text = F.col(text_col).cast("string").alias(free)
     base = docs.select(text, *[F.col(c) for c in names]) if carry else docs.select(text, F.col(id_col).alias("doc_id"))
-    schema = base.drop("scored_text").schema.add("score", "double")
+    schema = base.drop(free).schema.add("score", "double")
     return base.mapInArrow(_score(model), schema)
 
 
