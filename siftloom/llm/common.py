@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,16 +41,28 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the folder of spark.checkpoint.dir, which all executors share.
 
-    A folder of this machine is taken only where the session names none and runs on this machine alone, as in tests.
+    Spark removes them once nothing refers to them if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for files that all executors see: that of checkpoints."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "siftloom-checkpoints"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "siftloom-checkpoints"))  # a session on this machine alone, as the bench's
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, which cuts the lineage: columns are compressed there, and later reads take only those they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, mixing, neardup, packing, quality, sharding, substring, toxicity
+from . import alignment, fingerprints, langid, lexical, licenses, mixing, neardup, packing, quality, sharding, substring, toxicity, warc
 from .common import documents, labels, remainder
 
 SHARDS = 24
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +62,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("intact")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n_docs = lexical.build_index(documents(spark, sf_dir))
+    return lexical.search(index, n_docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_best_fit_packing, op2_syncmer_fingerprints, op3_substring_dedup, op4_rendezvous_sharding, op5_toxicity,
-        op6_poisson_mixing, op7_language_id, op8_quality_rules, op9_minhash_near_dedup, op10_license_scan,
+        op6_poisson_mixing, op7_language_id, op8_quality_rules, op9_minhash_near_dedup, op10_license_scan, op11_warc_packages, op12_tokenizer_alignment, op13_block_max_wand,
     )
     return {f.__name__: f for f in found}
 
@@ -97,6 +110,21 @@ OP9 = f"""WITH RECURSIVE {_WORDS.format(text="translate(coalesce(text, ''), 'ABC
     SELECT d.doc_id, coalesce(cnt.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN cnt ON cnt.doc_id = d.doc_id LEFT JOIN comp ON comp.node = d.doc_id"""
 
 
+OP11 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages), k AS (SELECT html, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY html)
+    SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM p LEFT JOIN k ON p.html = k.html"""
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13 = f"""WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+    c AS (SELECT count(*) AS all_docs, sum(len(ws))::BIGINT AS all_terms FROM d WHERE len(ws) > 0),
+    p AS (SELECT doc_id, len(ws) AS n, term, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS term FROM d) GROUP BY ALL),
+    f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    w AS (SELECT item_id, term, floor(1000 * ln((2 * all_docs + 2) / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM q JOIN f USING (term), c),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * all_docs) // all_terms))))::BIGINT AS score FROM w JOIN p USING (term), c GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others need a tokenizer, xxHash, CRC-32 or a fitted model; tests hold them against plain versions."""
-    return {"op3_substring_dedup": OP3, "op6_poisson_mixing": OP6, "op9_minhash_near_dedup": OP9}
+    return {"op3_substring_dedup": OP3, "op6_poisson_mixing": OP6, "op9_minhash_near_dedup": OP9, "op11_warc_packages": OP11, "op13_block_max_wand": OP13}
