@@ -6,20 +6,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ZONE = "Asia/Shanghai"
-_PATTERNS = ("d MMM yyyy HH:mm:ss[ xx][ z]", "d MMM yyyy HH:mm[ xx][ z]", "MMM d, yyyy[ z]", "MMMM d, yyyy[ z]", "MMMM d yyyy[ z]", "d MMMM yyyy[ z]", "yyyy/M/d")
+#: A time that says its zone; one that doesn't is of UTC.
+_ZONED = "(?:Z|UTC|GMT|[+-]\\d\\d(?::?\\d\\d)?|[ \\d][A-Z]{2,4})$"
+_PATTERNS = ("d MMM yyyy HH:mm:ss[ xx][ z]", "d MMM yyyy HH:mm[ xx][ z]", "MMM d, yyyy[ z]", "MMMM d, yyyy[ z]", "MMMM d yyyy[ z]", "d MMMM yyyy[ z]", "yyyy/M/d[ z]")
+
+
+def utc(wall: Column) -> Column:
+    """The instant of a time without a zone, read as UTC whatever the session's zone."""
+    return F.try_to_timestamp(F.concat(wall.cast("timestamp_ntz").cast("string"), F.lit("Z")))
+
+
+def midnight(date: Column) -> Column:
+    """The first instant of a UTC day."""
+    return F.timestamp_seconds(F.unix_date(date) * F.lit(86_400).cast("long"))
+
+
+def iso(text: Column) -> Column:
+    """The instant of an ISO 8601 text; without a zone it is of UTC, and a bare date is its midnight there."""
+    bare = F.trim(text)
+    return F.try_to_timestamp(F.when(bare.rlike("^\\d{4}-\\d\\d-\\d\\d$"), F.concat(bare, F.lit("T00:00:00Z"))).when(bare.rlike(_ZONED), bare).otherwise(F.concat(bare, F.lit("Z"))))
 
 
 def parse(text: Column) -> Column:
-    """A timestamp from ISO 8601, mail and long English forms; the day of the week isn't looked at; null if none fits."""
+    """A timestamp from ISO 8601, mail and long English forms, of UTC without a zone; the day of the week isn't looked at; null if none fits."""
     bare = F.trim(F.regexp_replace(text, "^[A-Za-z]{3,9},\\s*", ""))
     named = F.regexp_replace(bare, "\\b(GMT|UT|Z)$", "UTC")
-    tries = [F.try_to_timestamp(F.when(bare.rlike("^\\d{4}-\\d\\d-\\d\\d"), bare))]
+    named = F.when(named.rlike(_ZONED), named).otherwise(F.concat(named, F.lit(" UTC")))
+    tries = [iso(F.when(bare.rlike("^\\d{4}-\\d\\d-\\d\\d"), bare))]
     tries += [F.try_to_timestamp(F.when(~bare.rlike("^\\d{4}-"), named), F.lit(p)) for p in _PATTERNS]
     return F.coalesce(*tries)
 
 
 def day(ts: Column, zone: str = ZONE) -> Column:
-    return F.to_date(F.from_utc_timestamp(ts, zone))
+    """The day of an instant in a zone, whatever the session's."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(F.from_utc_timestamp(ts, zone)) / 86_400_000_000).cast("int"))
 
 
 def days_between(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftloom.functions.dates import parse
+from siftloom.functions.dates import iso, parse
 from siftloom.functions.text import decode_entities, html_to_text
 
 from .collect import first_by
@@ -154,7 +154,7 @@ def monthly_notes(html: Column) -> Column:
 
 def refine_dates(entries: DataFrame, pages: DataFrame, now: Column, days: int = 75) -> DataFrame:
     """Entries of the last days, dated by the citation on their page where pages (link, html) has one."""
-    fresh = entries.where(F.col("published_at") >= now - F.expr(f"interval {days} days"))
+    fresh = entries.where(F.col("published_at") >= now - F.expr(f"interval {24 * days} hours"))
     cited = pages.select("link", citation_date(F.col("html")).alias("_cited"))
     return fresh.join(cited, "link", "left").withColumn("published_at", F.coalesce("_cited", "published_at")).drop("_cited")
 
@@ -177,7 +177,7 @@ def sitemap(xml: Column, include: str | None = None) -> Column:
 def sitemap_targets(payloads: DataFrame, now: Column, include: str | None = None, days: int = 45, most: int = 40) -> DataFrame:
     """The newest addresses of each sitemap to fetch: not older than days, undated ones kept, most at most, newest first."""
     rows = payloads.select("source", F.posexplode(sitemap(F.col("body"), include)).alias("pos", "u")).select("source", "pos", "u.link", "u.lastmod")
-    rows = rows.where(F.col("lastmod").isNull() | (F.col("lastmod") >= now - F.expr(f"interval {days} days")))
+    rows = rows.where(F.col("lastmod").isNull() | (F.col("lastmod") >= now - F.expr(f"interval {24 * days} hours")))
     w = Window.partitionBy("source").orderBy(F.desc_nulls_last("lastmod"), "pos")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
@@ -262,11 +262,15 @@ class Search:
     schema: str
     results: str
     missing: str
-    fields: dict[str, str]
+    fields: dict[str, str | Callable[[], Column]]
     failed: str = "false"
     prepare: Callable[[Column], Column] = lambda body: body
 
 
+def _iso(path: str) -> Callable[[], Column]:
+    return lambda: iso(F.expr(path))
+
+
 SEARCHES = {
     "juejin": Search(
         "err_no int, data array<struct<result_model:struct<article_info:struct<article_id:string,title:string,brief_content:string,ctime:string,view_count:bigint,comment_count:bigint>,author_user_info:struct<user_name:string>>>>",
@@ -277,11 +281,11 @@ SEARCHES = {
     ),
     "v2ex": Search(
         "hits array<struct<_source:struct<id:bigint,title:string,content:string,created:string,member:string,replies:bigint>>>", "p.hits", "p.hits is null",
-        {"title": "r._source.title", "link": "concat('https://www.v2ex.com/t/', r._source.id)", "published_at": "try_to_timestamp(r._source.created)", "body": "r._source.content", "author": "r._source.member", "views": "cast(null as bigint)", "comments": "r._source.replies"},
+        {"title": "r._source.title", "link": "concat('https://www.v2ex.com/t/', r._source.id)", "published_at": _iso("r._source.created"), "body": "r._source.content", "author": "r._source.member", "views": "cast(null as bigint)", "comments": "r._source.replies"},
     ),
     "discourse": Search(
         "topics array<struct<id:bigint,title:string,slug:string,created_at:string,posts_count:bigint>>, posts array<struct<topic_id:bigint,post_number:int,blurb:string,username:string>>", "p.topics", "p.topics is null",
-        {"title": "r.title", "link": "concat(base, '/t/', r.slug, '/', r.id)", "published_at": "try_to_timestamp(r.created_at)", "body": "get(filter(p.posts, x -> x.topic_id = r.id), 0).blurb", "author": "get(filter(p.posts, x -> x.topic_id = r.id), 0).username", "views": "cast(null as bigint)", "comments": "r.posts_count - 1"},
+        {"title": "r.title", "link": "concat(base, '/t/', r.slug, '/', r.id)", "published_at": _iso("r.created_at"), "body": "get(filter(p.posts, x -> x.topic_id = r.id), 0).blurb", "author": "get(filter(p.posts, x -> x.topic_id = r.id), 0).username", "views": "cast(null as bigint)", "comments": "r.posts_count - 1"},
     ),
     "segmentfault": Search(
         "props struct<pageProps:struct<initialState:struct<search:struct<result:struct<rows:array<struct<type:string,contents:struct<url:string,title:string,excerpt:string,created:string,comments:string>>>>>>>>",
@@ -292,7 +296,7 @@ SEARCHES = {
     "vocus": Search(
         "contents array<struct<contentId:string,_id:string,title:string,publishAt:string,isPay:boolean,pageview:bigint,commentCount:bigint,article:struct<abstract:string,isPay:boolean>>>",
         "filter(p.contents, x -> coalesce(x.contentId, x._id) is not null and x.title <> '' and not coalesce(x.isPay, false) and not coalesce(x.article.isPay, false))", "p.contents is null",
-        {"title": "r.title", "link": "concat('https://vocus.cc/article/', coalesce(r.contentId, r._id))", "published_at": "try_to_timestamp(r.publishAt)", "body": "r.article.abstract", "author": "cast(null as string)", "views": "r.pageview", "comments": "r.commentCount"},
+        {"title": "r.title", "link": "concat('https://vocus.cc/article/', coalesce(r.contentId, r._id))", "published_at": _iso("r.publishAt"), "body": "r.article.abstract", "author": "cast(null as string)", "views": "r.pageview", "comments": "r.commentCount"},
     ),
 }
 
@@ -313,7 +317,7 @@ def search_results(payloads: DataFrame, kind: str, body_limit: int = 2000) -> tu
     got = payloads.withColumn("p", F.from_json(s.prepare(F.col("body")), s.schema))
     got = got.withColumn("bad", F.expr(f"p is null or {s.missing} or {s.failed}"))
     rows = got.where("not bad").select("source", "query", "query_ord", "base", "p", F.expr(f"posexplode({s.results}) as (pos, r)"))
-    rows = rows.select("source", "query", "query_ord", "pos", *[F.expr(e).alias(c) for c, e in s.fields.items() if c != "body"], html_to_text(F.expr(s.fields["body"]), body_limit).alias("excerpt"))
+    rows = rows.select("source", "query", "query_ord", "pos", *[(F.expr(e) if isinstance(e, str) else e()).alias(c) for c, e in s.fields.items() if c != "body"], html_to_text(F.expr(s.fields["body"]), body_limit).alias("excerpt"))
     tries = got.groupBy("source").agg(F.count("*").alias("attempted"), F.sum(F.col("bad").cast("int")).alias("failed")).where("failed > 0")
     return first_by(rows, ["source", "link"], "query_ord", "pos"), tries.select("source", F.concat("failed", F.lit(" of "), "attempted", F.lit(" searches failed")).alias("message"), (F.col("failed") < F.col("attempted")).alias("partial"))
 

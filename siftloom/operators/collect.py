@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftloom.functions.dates import midnight
 from siftloom.functions.text import utf16_length
 
 
@@ -15,11 +16,11 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
 
 
 def collect_items(entries: DataFrame, seen: DataFrame, today: Column, max_age_days: int, ord_col: str = "ord") -> DataFrame:
-    """Entries with a link, not older than max_age_days before today's first second, whose id isn't in seen, first of each id.
+    """Entries with a link, not older than max_age_days before today's first second in UTC, whose id isn't in seen, first of each id.
 
     entries has id, link and published_at; a missing time counts as now and always passes.
     """
-    cut = F.date_sub(today, max_age_days).cast("timestamp")
+    cut = midnight(F.date_sub(today, max_age_days))
     fresh = entries.where((F.col("link").isNotNull()) & (F.col("link") != "")).where(F.col("published_at").isNull() | (F.col("published_at") >= cut))
     return first_by(fresh.join(seen.select("id"), "id", "left_anti"), ["id"], ord_col)
 

@@ -26,8 +26,8 @@ def events(spark, sf_dir) -> DataFrame:
 @query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id AS ord, ts FROM events WHERE ts >= TIMESTAMP '2024-01-14' AND CAST(user_id AS VARCHAR) NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE ts < TIMESTAMP '2024-01-05' AND event_type = 'purchase'))
     SELECT id, min(ord) AS first_event FROM e GROUP BY id""")
 def collect_window(spark, sf_dir):
-    e = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("ord"), F.col("ts").cast("timestamp").alias("published_at"), F.lit("x").alias("link"), "event_type")
-    seen = e.where((F.col("published_at") < F.lit("2024-01-05").cast("timestamp")) & (F.col("event_type") == "purchase")).select("id").distinct()
+    e = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("ord"), D.utc(F.col("ts")).alias("published_at"), F.lit("x").alias("link"), "event_type")
+    seen = e.where((F.col("published_at") < D.midnight(F.lit("2024-01-05").cast("date"))) & (F.col("event_type") == "purchase")).select("id").distinct()
     return collect.collect_items(e, seen, today(), 14).select("id", F.col("ord").alias("first_event"))
 
 

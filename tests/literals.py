@@ -1,6 +1,6 @@
-"""Queries over literal payloads: feeds, pages, index files and answers of search interfaces, which the generated tables don't have.
+"""Operators over literal payloads: feeds, pages, index files and answers of search interfaces, which the generated tables don't have.
 
-Each runs an operator over a few written rows. Its SQL states the rows that must come out, worked out by hand.
+Each case runs an operator over a few written rows and states the rows that must come out, worked out by hand.
 """
 
 from __future__ import annotations
@@ -16,29 +16,16 @@ from siftloom.functions import url as U
 from siftloom.functions.vocab import Entry, Vocabulary, queries_for_date, union_in_order
 from siftloom.operators import adapters, collect, discovery, feeds, ledger, scoring, state, views
 
-from .registry import QUERIES, SQL
-
 Kind = Callable[[SparkSession], DataFrame]
-
-
-def _literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, (int, float)):
-        return str(v)
-    return "'" + v.replace("'", "''") + "'"
+CASES: dict[str, tuple[Kind, list[str], list[tuple]]] = {}
 
 
 def stated(columns: str, rows: list[tuple]) -> Callable[[Kind], Kind]:
-    """Register a query without tables; columns are 'name type, ...' in the types of SQL, rows what it must give."""
-    kinds = [c.split() for c in columns.split(", ")]
+    """A case; columns are 'name type, ...', rows what it must give."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def add(f: Kind) -> Kind:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark)
-        values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-        SQL[f.__name__] = f"SELECT {', '.join(f'CAST({n} AS {k}) AS {n}' for n, k in kinds)} FROM (VALUES {values}) v({', '.join(n for n, _ in kinds)})"
+        CASES[f.__name__] = (f, names, rows)
         return f
 
     return add
@@ -48,8 +35,13 @@ def table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def stamp(instant: F.Column) -> F.Column:
+    """An instant as text in UTC."""
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), instant.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")
+
+
 def at(column: str = "published_at") -> F.Column:
-    return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
+    return stamp(F.col(column)).alias(column)
 
 
 # feeds ------------------------------------------------------------------------------------------------------------------
@@ -124,9 +116,9 @@ _NOTES = [("a", "New", "https://n.org/1", "2026-07-01 00:00:00"), ("a", "Old", "
 @stated("title VARCHAR, published_at VARCHAR", [("New", "2026-07-01 00:00:00"), ("Dated by its page", "2026-06-17 00:00:00")])
 def monthly_note_dates(spark):
     """Notes of the last 75 days, with the day that their page cites instead of the first of the month."""
-    entries = table(spark, "source string, title string, link string, published string", _NOTES).withColumn("published_at", F.to_timestamp("published"))
+    entries = table(spark, "source string, title string, link string, published string", _NOTES).withColumn("published_at", D.iso(F.col("published")))
     pages = table(spark, "link string, html string", [("https://n.org/3", "@misc{x, year={2026}, month={June}, day={17}}"), ("https://n.org/1", "<p>no citation</p>")])
-    return adapters.refine_dates(entries, pages, F.to_timestamp(F.lit("2026-07-10 00:00:00"))).select("title", at())
+    return adapters.refine_dates(entries, pages, D.iso(F.lit("2026-07-10 00:00:00"))).select("title", at())
 
 
 _MAP = "".join(f"<url><loc>https://m.org/{p}</loc>{f'<lastmod>{d}</lastmod>' if d else ''}</url>" for p, d in (("blog/a?x=1&amp;y=2", "2026-07-01"), ("blog/b", "2026-07-03"), ("blog/c", ""), ("blog/old", "2026-01-01"), ("about", "2026-07-04")))
@@ -135,7 +127,7 @@ _MAP = "".join(f"<url><loc>https://m.org/{p}</loc>{f'<lastmod>{d}</lastmod>' if
 @stated("link VARCHAR, lastmod VARCHAR, rank INTEGER", [("https://m.org/blog/b", "2026-07-03 00:00:00", 1), ("https://m.org/blog/a?x=1&y=2", "2026-07-01 00:00:00", 2)])
 def sitemap_targets(spark):
     """The newest addresses of a site map that fit a pattern: 45 days, undated ones kept, here two at most."""
-    rows = adapters.sitemap_targets(table(spark, "source string, body string", [("m", _MAP)]), F.to_timestamp(F.lit("2026-07-10 00:00:00")), "/blog/", 45, 2)
+    rows = adapters.sitemap_targets(table(spark, "source string, body string", [("m", _MAP)]), D.iso(F.lit("2026-07-10 00:00:00")), "/blog/", 45, 2)
     return rows.select("link", at("lastmod"), "rank")
 
 
@@ -512,12 +504,12 @@ def display_names(spark):
 ])
 def dates_parsed(spark):
     """ISO, mail and long forms; the weekday may be wrong; no zone means UTC."""
-    return _on(spark, lambda c: F.date_format(D.parse(c), "yyyy-MM-dd HH:mm:ss"), "Sat, 26 Jul 2026 08:00:00 GMT", "Mon, 03 Aug 2026 08:00:00 +0800", "2026-07-26T10:00:00+08:00", "2026-07-26T10:00:00", "July 4, 2026", "nonsense")
+    return _on(spark, lambda c: stamp(D.parse(c)), "Sat, 26 Jul 2026 08:00:00 GMT", "Mon, 03 Aug 2026 08:00:00 +0800", "2026-07-26T10:00:00+08:00", "2026-07-26T10:00:00", "July 4, 2026", "nonsense")
 
 
 @stated("x VARCHAR, y VARCHAR", [("2026-07-26 15:59:59", "2026-07-26"), ("2026-07-26 16:00:00", "2026-07-27"), (None, None)])
 def days_in_zone(spark):
-    return _on(spark, lambda c: D.day(c.cast("timestamp")).cast("string"), "2026-07-26 15:59:59", "2026-07-26 16:00:00", None)
+    return _on(spark, lambda c: D.day(D.iso(c)).cast("string"), "2026-07-26 15:59:59", "2026-07-26 16:00:00", None)
 
 
 @stated("x VARCHAR, y VARCHAR", [("2026-07-26", "今天"), ("2026-07-25", "昨天"), ("2026-07-24", "7月24日 周五"), ("2026-07-27", "7月27日 周一")])
@@ -624,7 +616,7 @@ def merged_excerpts(spark):
 @stated("id VARCHAR", [("a",), ("c",)])
 def published_on(spark):
     items = table(spark, "id string, at string", [("a", "2026-07-25 17:00:00"), ("b", "2026-07-25 15:00:00"), ("c", None)])
-    day = F.coalesce(D.day(F.col("at").cast("timestamp")), F.lit("2026-07-26").cast("date"))
+    day = F.coalesce(D.day(D.iso(F.col("at"))), F.lit("2026-07-26").cast("date"))
     return collect.by_published_dates(items, table(spark, "date string", [("2026-07-26",)]).select(F.col("date").cast("date").alias("date")), day).select("id")
 
 
@@ -768,7 +760,7 @@ def dispatched_entries(spark):
         ("https://m.org/blog/b", "<title>B page</title>"), ("https://m.org/blog/a?x=1&y=2", '<meta property="og:title" content="A"><meta property="article:published_time" content="2026-07-01T12:00:00Z">'),
         ("https://gwern.net/newsletter/2026/07", "<h1>July 2026 News</h1>"), ("https://alignment.anthropic.com/n1", "year={2026}, month={July}, day={5}"),
     ]
-    rows = adapters.adapt_with_pages(table(spark, "source string, adapter string, body string", payloads), table(spark, "link string, html string", pages), F.to_timestamp(F.lit("2026-07-10 00:00:00")), "/blog/")[0]
+    rows = adapters.adapt_with_pages(table(spark, "source string, adapter string, body string", payloads), table(spark, "link string, html string", pages), D.iso(F.lit("2026-07-10 00:00:00")), "/blog/")[0]
     return rows.select("source", "title", "link", at())
 
 
@@ -779,7 +771,7 @@ def collected_items(spark):
         ("new", "l1", "2026-09-06 00:00:00", 0, "ann", 5, "q"), ("new", "l2", "2026-09-06 00:00:00", 1, "second", 9, "z"), ("old", "l3", "2026-08-16 23:59:59", 2, None, None, None), ("edge", "l4", "2026-08-17 00:00:00", 3, None, None, None),
         ("undated", "l5", None, 4, "bob", 1, "r"), ("no link", "", "2026-09-06 00:00:00", 5, None, None, None), ("seen", "l6", "2026-09-06 00:00:00", 6, None, None, None),
     ]
-    entries = table(spark, "id string, link string, at string, ord int, author string, views int, matched_query string", rows).withColumn("published_at", F.to_timestamp("at"))
+    entries = table(spark, "id string, link string, at string, ord int, author string, views int, matched_query string", rows).withColumn("published_at", D.iso(F.col("at")))
     return collect.collect_items(entries, table(spark, "id string", [("seen",)]), F.lit("2026-09-07").cast("date"), 21).select("id", "author", "views", "matched_query")
 
 
