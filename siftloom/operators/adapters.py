@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftloom.functions.dates import iso, parse
 from siftloom.functions.text import decode_entities, html_to_text
 
+from . import matching
 from .collect import first_by
 
 #: What the pages look like.
@@ -323,7 +324,9 @@ def search_results(payloads: DataFrame, kind: str, body_limit: int = 2000) -> tu
 
 
 def tags_for(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(query, tag): the longest name that a query holds, and the same without spaces."""
-    held = queries.join(names, F.contains(F.lower(queries["query"]), F.lower(names["name"])))
+    """(query, tag): the longest name that a query holds anywhere, and the same without spaces. Names are found by an index of their pairs of characters."""
+    asked = queries.select("query").distinct()
+    indexed = matching.index(matching.entries(names, "name"), anywhere=True)
+    held = matching.matched_ids(matching.match(asked, indexed, "query", "query", anywhere=True), "query", "name")
     best = held.groupBy("query").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))
     return best.select("query", F.explode(F.array_distinct(F.array("name", F.replace("name", F.lit(" "), F.lit(""))))).alias("tag"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftloom.functions import text as T
 from siftloom.functions.vocab import Entry, Vocabulary, derived_queries
-from siftloom.operators import collect, scoring, triage as tri, views
+from siftloom.operators import collect, matching, scoring, triage as tri, views
 
 from .registry import query, table, texts
 
@@ -137,6 +137,43 @@ def vocab_hits(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.array_join(TOOLS.matches(x), ",").alias("tools"), F.array_join(TOPICS.matches(x), ",").alias("topics"))
 
 
+def as_table(spark, vocabulary: Vocabulary) -> DataFrame:
+    rows = [(e.id, n, list(e.not_)) for e in vocabulary.entries for n in e.needles()]
+    return matching.entries(spark.createDataFrame(rows, "id string, name string, masks array<string>"), masks="masks")
+
+
+@query(f"WITH {ITEMS}, f AS (SELECT ord, unnest(string_split({sql_ids('excerpt', TOOLS)}, ',')) AS entry FROM items UNION ALL SELECT ord, unnest(string_split({sql_ids('excerpt', TOPICS)}, ',')) FROM items) SELECT ord AS doc_id, entry FROM f WHERE entry <> ''")
+def vocab_hits_indexed(spark, sf_dir):
+    """The rows of vocab_hits, with the vocabularies as a table."""
+    found = matching.match(items(spark, sf_dir), matching.index(as_table(spark, TOOLS).unionByName(as_table(spark, TOPICS))), "ord", "excerpt")
+    return matching.matched_ids(found, "ord").withColumnRenamed("ord", "doc_id")
+
+
+_HOLDS = "contains(low, needle) AND (regexp_matches(needle, '[^\x00-\x7F]') OR regexp_matches(low, '(^|[^a-z0-9&])' || regexp_escape(needle) || '($|[^a-z0-9])'))"
+
+
+@query(f"""WITH v AS (SELECT item_id AS entry, lower(regexp_extract(text, '^[^ \n]+ [^ \n]+ [^ \n]+')) AS needle FROM benchmark UNION SELECT item_id, lower(regexp_extract(text, '[^ \n]+ [^ \n]+$')) FROM benchmark),
+    d AS (SELECT doc_id, lower(text) AS low FROM documents) SELECT DISTINCT doc_id, entry FROM d, v WHERE needle <> '' AND {_HOLDS}""")
+def phrase_hits(spark, sf_dir):
+    """A vocabulary made of the first three and last two words of each benchmark item, in all documents."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.regexp_extract("text", "^[^ \n]+ [^ \n]+ [^ \n]+", 0).alias("name"), F.array(F.regexp_extract("text", "[^ \n]+ [^ \n]+$", 0)).alias("aka"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
+    return matching.matched_ids(matching.match(docs, matching.index(matching.entries(b, aka="aka")), "doc_id"), "doc_id")
+
+
+@query(f"""WITH v AS (SELECT DISTINCT lower(p_name) AS needle FROM part), d AS (SELECT lower(text) AS low FROM documents), p AS (SELECT lower(html) AS low FROM pages)
+    SELECT needle, (SELECT count(*) FROM d WHERE {_HOLDS}) AS in_documents, (SELECT count(*) FROM p WHERE {_HOLDS}) AS in_pages FROM v""")
+def part_name_counts(spark, sf_dir):
+    """How many documents and pages hold each part's name, also for names that none holds."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("id"), F.col("p_name").alias("name")).distinct()
+    indexed = matching.index(matching.entries(names))
+    out = names.select(F.lower("name").alias("needle")).distinct()
+    for name, key, text in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
+        found = matching.match(texts(spark, sf_dir, name).select(key, text), indexed, key, text).groupBy("needle").agg(F.count("*").alias(f"in_{name}"))
+        out = out.join(found, "needle", "left").withColumn(f"in_{name}", F.coalesce(f"in_{name}", F.lit(0)))
+    return out
+
+
 _MASKED = Vocabulary((Entry("license", "license", (), ("public license", "apache license")),))
 
 
