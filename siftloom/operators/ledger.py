@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import CHUNK_ROWS, Running, chunk_bounds, scan
+
 SEEN_DAYS = 45
 DEFER_DAYS = 21
 ROUNDS = 3
@@ -96,15 +98,17 @@ def plan_seen(run: DataFrame, ledger: DataFrame, today: Column, rounds: int = RO
     return both.select("id", "state", "first", "attempts", "stalls", "gates", ((F.col("state") == "seen") & F.col("_gated")).alias("promoted"), F.col("_stall").alias("stalled"))
 
 
-def breaker(attempts: DataFrame, keys: tuple[str, ...] = ("source",), probe: int = 40, least_yield: float = 0.05) -> DataFrame:
+def breaker(attempts: DataFrame, keys: tuple[str, ...] = ("source",), probe: int = 40, least_yield: float = 0.05, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """attempts (keys, ord, ok) with skipped: whether the source had been given up before this one, after probe tries of
-    which under least_yield worked. Other sources are not affected."""
-    w = Window.partitionBy(*keys).orderBy("ord")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    tries, good = F.coalesce(F.count("*").over(before), F.lit(0)), F.coalesce(F.sum(F.col("ok").cast("int")).over(before), F.lit(0))
-    trip = (tries >= probe) & (good < least_yield * tries)
-    marked = attempts.withColumn("_trip", trip.cast("int"))
-    return marked.withColumn("skipped", F.max("_trip").over(w) == 1).drop("_trip")
+    which under least_yield worked. Other sources are not affected.
+
+    Tries, successes and the first trip are prefix scans, so a source may have any number of attempts.
+    """
+    bounds = chunk_bounds(attempts, "ord", chunk_rows)
+    counted = scan(attempts, list(keys), "ord", {"_tries": Running("sum", F.lit(1), True), "_good": Running("sum", F.col("ok").cast("int"), True)}, bounds=bounds)
+    tries, good = F.coalesce("_tries", F.lit(0)), F.coalesce("_good", F.lit(0))
+    marked = counted.withColumn("_trip", ((tries >= probe) & (good < least_yield * tries)).cast("int")).drop("_tries", "_good")
+    return scan(marked, list(keys), "ord", {"_tripped": Running("max", F.col("_trip"))}, bounds=bounds).withColumn("skipped", F.col("_tripped") == 1).drop("_trip", "_tripped")
 
 
 def recover(attempts: DataFrame, transient: str = "50[0234]|fetch failed|timeout|reset") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import CHUNK_ROWS, Running, scan
+
 CHANGES_AT_ONCE = 500
 CHUNK = 200
 
@@ -33,16 +35,17 @@ def read_lists(state: DataFrame) -> DataFrame:
 
 
 def violations(changes: DataFrame, most: int = CHANGES_AT_ONCE) -> DataFrame:
-    """Changes that are not acceptable, and why: too many at once, bad ids, no flag at all."""
-    n = F.count("*").over(Window.partitionBy("user_email"))
-    why = F.when(n > most, "too-many").when(F.coalesce(F.length("item_id"), F.lit(0)).between(1, 512) == F.lit(False), "bad-id").when(F.col("read").isNull() & F.col("starred").isNull(), "no-flag")
-    return changes.withColumn("why", why).where("why is not null")
+    """Changes that are not acceptable, and why: too many at once, bad ids, no flag at all. A user's changes are counted by partial
+    aggregation and looked up, not gathered."""
+    many = changes.groupBy("user_email").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("user_email", F.lit(True).alias("_many"))
+    why = F.when(F.col("_many"), "too-many").when(F.coalesce(F.length("item_id"), F.lit(0)).between(1, 512) == F.lit(False), "bad-id").when(F.col("read").isNull() & F.col("starred").isNull(), "no-flag")
+    return changes.join(many, "user_email", "left").withColumn("why", why).where("why is not null").drop("_many")
 
 
-def chunks(pending: DataFrame, size: int = CHUNK) -> DataFrame:
-    """pending with the chunk that each change is sent in, by user."""
-    w = Window.partitionBy("user_email").orderBy("seq", "item_id")
-    return pending.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+def chunks(pending: DataFrame, size: int = CHUNK, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """pending with the chunk that each change is sent in, by user; seq tells a user's changes apart."""
+    placed = scan(pending, ["user_email"], "seq", {"_place": Running("sum", F.lit(1), True)}, chunk_rows)
+    return placed.withColumn("chunk", F.floor(F.coalesce("_place", F.lit(0)) / size).cast("int")).drop("_place")
 
 
 def acknowledge(pending: DataFrame, sent: DataFrame) -> DataFrame:

@@ -109,11 +109,12 @@ def facets(items: DataFrame, column: str, top: int | None = None) -> DataFrame:
 def breakdown(items: DataFrame, top: int = 5, pinned: tuple[str, ...] = (), column: str = "source", other: str = OTHER) -> DataFrame:
     """Counts by source: the top ones and the pinned by themselves, the rest in one row that is left out if empty.
 
-    Only the counts, one for each source, are ranked together.
+    The top ones are found by a limit, task by task, and looked up; nothing ranks all sources together.
     """
     counts = items.groupBy(column).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("n"), column)))
-    own = (F.col("_rank") <= top) | (F.col(column).isin(*pinned) if pinned else F.lit(False))
+    best = counts.orderBy(F.desc("n"), column).limit(top).select(F.col(column).alias("_best"), F.lit(True).alias("_top"))
+    ranked = counts.join(F.broadcast(best), F.col(column).eqNullSafe(F.col("_best")), "left")  # top rows
+    own = F.coalesce("_top", F.lit(False)) | (F.coalesce(F.col(column).isin(*pinned), F.lit(False)) if pinned else F.lit(False))
     named = ranked.select(F.when(own, F.col(column)).otherwise(F.lit(other)).alias("name"), "n")
     return named.groupBy("name").agg(F.sum("n").alias("n"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siftloom.functions import dates as D
 from siftloom.functions.vocab import derived_queries, rotation
-from siftloom.operators import collect, ledger, state, views
+from siftloom.operators import collect, ledger, pools, state, views
+from siftloom.operators.scan import Running, numbered, scan
 
 from .registry import query, table
 
@@ -239,3 +240,45 @@ def query_pool_union(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     hand = nation.join(region.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select(F.concat("r_name", F.lit(" "), "n_name").alias("query"))
     return hand.unionByName(derived_queries(nation, ["%s review"], "n_name").select("query")).distinct()
+
+
+@query("""SELECT event_id, CAST(last_value(CASE WHEN event_type = 'purchase' THEN CAST(ts AS DATE) END IGNORE NULLS) OVER w AS VARCHAR) AS last_purchase, coalesce(sum((event_type = 'error')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS errors_before, max(value) OVER w AS best
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""".replace("OVER (w ROWS BETWEEN", "OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN"))
+def carry_forward(spark, sf_dir):
+    """Each event with the day of its user's last purchase so far, the errors before it and the best value up to it."""
+    kind = F.col("event_type")
+    running = {
+        "last_purchase": Running("last", F.when(kind == "purchase", F.to_date("ts"))), "errors_before": Running("sum", (kind == "error").cast("int"), True), "best": Running("max", F.col("value")),
+    }
+    out = scan(events(spark, sf_dir), ["user_id"], "event_id", running, chunk_rows=2000)
+    return out.select("event_id", F.col("last_purchase").cast("string").alias("last_purchase"), F.coalesce("errors_before", F.lit(0)).alias("errors_before"), "best")
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY value DESC, event_id) - 1) AS place FROM events")
+def dense_places(spark, sf_dir):
+    """All events in one order, numbered from 0."""
+    return numbered(events(spark, sf_dir).select("event_id", "value"), F.desc("value"), F.asc("event_id"), name="place").select("event_id", "place")
+
+
+_POOL = """p AS (SELECT p_name || ' ' || p_brand AS query, 0 AS pool, p_partkey AS ord FROM part UNION ALL SELECT lower(n_name), 1, n_nationkey FROM nation UNION ALL SELECT lower(p_name), 2, p_partkey FROM part),
+    f AS (SELECT query, min({'pool': pool, 'ord': ord}) AS place FROM p GROUP BY query), o AS (SELECT query, row_number() OVER (ORDER BY place, query) - 1 AS ord FROM f)"""
+
+
+def pool(spark, sf_dir):
+    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    return pools.union_in_order(
+        part.select(F.concat("p_name", F.lit(" "), "p_brand").alias("query"), F.col("p_partkey").alias("ord")), nation.select(F.lower("n_name").alias("query"), F.col("n_nationkey").alias("ord")),
+        part.select(F.lower("p_name").alias("query"), F.col("p_partkey").alias("ord")),
+    )
+
+
+@query(f"WITH {_POOL} SELECT * FROM o")
+def pool_in_order(spark, sf_dir):
+    """All part names with their brands, nations and part names as one pool."""
+    return pool(spark, sf_dir)
+
+
+@query(f"WITH {_POOL}, c AS (SELECT greatest(1, ceil(count(*) / 24.0))::BIGINT AS cycle FROM o) SELECT query, ord FROM o, c WHERE ord % cycle = (DATE '{TODAY}' - DATE '1970-01-01') % cycle")
+def pool_of_the_day(spark, sf_dir):
+    rows = pool(spark, sf_dir)
+    return rotation(rows, today(), 24, rows.count())

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from siftloom.functions import dates as D
 from siftloom.functions import text as T
 from siftloom.functions import url as U
-from siftloom.functions.vocab import Entry, Vocabulary, queries_for_date, union_in_order
+from siftloom.functions.vocab import Entry, Vocabulary
+from siftloom.operators.pools import queries_for_date, union_in_order
 from siftloom.operators import adapters, collect, discovery, feeds, ledger, scoring, state, views
 
 Kind = Callable[[SparkSession], DataFrame]
