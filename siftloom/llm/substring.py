@@ -152,14 +152,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digest = F.xxhash64(text)
     row = F.greatest(F.coalesce(F.array_position("several", digest), F.lit(0)) - 1, F.lit(0)).cast("int").alias("row")
     dealt = named.join(marks, "id", "left").select("id", "text", F.coalesce(F.array_contains("copied", digest), F.lit(False)).alias("copy"), row, *rest)
-    # dealt out by hash once, and both counted and looked up from there: the counts take every column, as else the exchanges would differ
+    # dealt out by hash once, and both counted and looked up from there. The exchanges of both uses are the same one only if these have
+    # the same filters and columns: so nulls are ruled out here, not where the planner infers it, and the counts take every column
     ids = [F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("pos").alias("pos")]
-    anchors = dealt.mapInArrow(_anchors(size, period), f"h long, id {kind}, pos long").repartition("h")
+    anchors = dealt.mapInArrow(_anchors(size, period), f"h long, id {kind}, pos long").where("h is not null and id is not null").repartition("h")
     shared = anchors.groupBy("h").agg(*ids).where("lo < hi and pos is not null").select("h")
     near = anchors.join(shared, "h").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    windows = dealt.join(near, "id").select("id", "text", "copy", "row", "at", *rest).mapInArrow(_windows(size, period), f"h long, g long, id {kind}, pos long").repartition("h")
-    first = windows.groupBy("h", "g").agg(*ids).where("lo < hi and pos is not null").select("h", F.col("g").alias("other"), "lo")
-    doubled = windows.join(first, "h").where("g = other and id > lo").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    windows = dealt.join(near, "id").select("id", "text", "copy", "row", "at", *rest).mapInArrow(_windows(size, period), f"h long, g long, id {kind}, pos long").where("h is not null and g is not null and id is not null").repartition("h", "g")
+    first = windows.groupBy("h", "g").agg(*ids).where("lo < hi and pos is not null").select("h", "g", "lo")
+    doubled = windows.join(first, ["h", "g"]).where("id > lo").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     out = dealt.join(doubled, "id", "left").select("id", "text", "copy", "row", F.coalesce("at", F.array().cast("array<long>")).alias("at"), *rest)
     out = out.unionByName(base.where("id is null").select("id", "text", F.lit(False).alias("copy"), F.lit(0).alias("row"), F.array().cast("array<long>").alias("at"), *rest))
     kinds = "".join(f", {c} {dict(base.dtypes)[c]}" for c in rest)
