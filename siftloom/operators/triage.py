@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftloom.sources.shared import written
+
+from .scan import Running, scan
+
 
 def best_copies(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """copy_rank: 1 for the best row of a title_key: readable, then score, then time, then order. Empty keys all get 1."""
@@ -25,14 +29,48 @@ def two_round_quota(df: DataFrame, quota: int, limit: int, group: str = "source"
     return df.withColumn("seat", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("seat") <= limit).drop("_rn")
 
 
+def _thin_share(live: DataFrame, run: str, share: float) -> DataFrame:
+    """(run, score, _out, _edge, _left): for each score of live thin rows whether rows of it are beyond the share of thin rows, or some of them
+    are: all but the _left first in order.
+
+    Rows are counted by score. A score is a small whole number, so there are few of them.
+    """
+    thin = live.where("thin").groupBy(run, "score").agg(F.count("*").alias("_n"))
+    above = F.coalesce(F.sum("_n").over(Window.partitionBy(run).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    most = live.groupBy(run).agg(F.greatest(F.lit(3), F.round(F.count(F.when(~F.col("thin"), 1)) * share / (1 - share))).cast("long").alias("_most"))
+    placed = thin.withColumn("_above", above).join(most, run)
+    left = F.col("_most") - F.col("_above")
+    return placed.select(run, "score", (left <= 0).alias("_out"), ((left > 0) & (left < F.col("_n"))).alias("_edge"), left.alias("_left"))
+
+
+def _seats(live: DataFrame, run: str, cap: int, quota: int, forum_share: float) -> DataFrame:
+    """(run, ord, source, seat) of the rows that get seats.
+
+    Only the 2 * quota best of each source, and of these the cap best articles and cap best threads of a run, are ever ranked together: both ranks
+    are filters, which tasks apply before rows move.
+    """
+    of_source = Window.partitionBy(run, "source").orderBy(F.col("score").desc(), "ord")
+    best = live.select(run, "source", "thread", "score", "ord").withColumn("_rn", F.row_number().over(of_source)).where(F.col("_rn") <= 2 * quota)
+    of_kind = Window.partitionBy(run, "thread").orderBy(F.col("_rn") > quota, F.col("score").desc(), "ord")
+    best = best.withColumn("seat", F.row_number().over(of_kind)).where(F.col("seat") <= cap)
+    forum = live.groupBy(run).agg(F.least(F.count(F.when(F.col("thread"), 1)), F.greatest(F.lit(6), F.round(F.lit(cap * forum_share)))).alias("_reserve"))
+    few = best.join(forum, run).withColumn("_article", ~F.col("thread") & (F.col("seat") <= cap - F.col("_reserve")))
+    few = few.withColumn("_ta", F.sum(F.col("_article").cast("int")).over(Window.partitionBy(run)))  # 2 * cap rows of a run at most
+    budget = F.least(F.greatest(F.lit(6), F.least(F.col("_reserve"), F.round(F.col("_ta") * forum_share / (1 - forum_share)))), F.lit(cap) - F.col("_ta"))
+    return few.where(F.col("_article") | (F.col("thread") & (F.col("seat") <= budget))).select(run, "ord", "source", "seat")
+
+
 def triage(scored: DataFrame, cap: int = 60, quota: int = 8, forum_share: float = 0.4, thin_share: float = 0.25, run: str = "run", published: DataFrame | None = None) -> DataFrame:
     """(run, id, source, thread, thin, score, ord) of each row of scored with why, outcome (shortlist or rejected), gate and seat, for each
-    run by itself. Only these narrow columns are dealt out by run; join texts back by run and id.
+    run by itself. Only these narrow columns are dealt out, and they are written once, so that items are scored once; join texts back by run and id.
+
+    scored: run, id, source, thread, summary_page, thin, title_key, score, verdict, published_at, ord (a number, one row each in a run). A row is
+    rejected for being a summary page, for a title already published, for its verdict, as a copy, then as thin beyond the share; the rest
+    get seats: articles all but the forum's reserve, the forum its share of what articles took, each source quota and then as many again. Only
+    thin, quota, forum-share and cap are gates. No row is lost.
 
-    scored: run, id, source, thread, summary_page, thin, title_key, score, verdict, published_at, ord. A row is rejected for being a summary
-    page, for a title already published, for its verdict, as a copy, then as thin beyond the share; the rest get seats: articles
-    all but the forum's reserve, the forum its share of what articles took, each source quota and then as many again. Only
-    thin, quota, forum-share and cap are gates. No row is lost. Windows are within a run, which is a day's items.
+    A run may have any number of rows: copies are told by the best row of each title, thin rows by counts of their scores, seats by rank filters, and
+    the gates of those without a seat by what their source got. Each is an aggregation or a filter, joined back to the rows.
     """
     df = scored.select(run, "id", "source", "thread", "summary_page", "thin", "title_key", "score", "verdict", "published_at", "ord")
     if published is not None:
@@ -40,23 +78,26 @@ def triage(scored: DataFrame, cap: int = 60, quota: int = 8, forum_share: float
     else:
         df = df.withColumn("_published", F.lit(None).cast("boolean"))
     early = F.when(F.coalesce("summary_page", F.lit(False)), "summary-page").when((F.col("title_key") != "") & F.coalesce("_published", F.lit(False)), "published").when(F.col("verdict") != "shortlist", "verdict")
-    # one shuffle by run; every window below is within a run and reuses it
-    df = df.withColumn("why", early).withColumn("_live", F.col("why").isNull()).drop("_published").repartition(run)
-    df = best_copies(df, (run, "_live")).withColumn("why", F.when(F.col("_live") & (F.col("copy_rank") > 1), "copy").otherwise(F.col("why"))).withColumn("_live", F.col("why").isNull())
-
-    of_run = Window.partitionBy(run)
-    ranked = lambda *by: Window.partitionBy(run, "_live", *by)
-    df = df.withColumn("_rd", F.sum(F.when(F.col("_live") & ~F.col("thin"), 1).otherwise(0)).over(of_run)).withColumn("_tr", F.row_number().over(ranked("thin").orderBy(F.col("score").desc(), "ord")))
-    thin_gate = F.col("_live") & F.col("thin") & (F.col("_tr") > F.greatest(F.lit(3), F.round(F.col("_rd") * thin_share / (1 - thin_share))))
-    df = df.withColumn("_thin", thin_gate).withColumn("_live", F.col("_live") & ~F.col("_thin"))
-
-    df = df.withColumn("_rn", F.row_number().over(ranked("source").orderBy(F.col("score").desc(), "ord"))).withColumn("_nf", F.sum(F.when(F.col("_live") & F.col("thread"), 1).otherwise(0)).over(of_run))
-    df = df.withColumns({"_reserve": F.least(F.col("_nf"), F.greatest(F.lit(6), F.round(F.lit(cap * forum_share)))), "_in": F.col("_live") & (F.col("_rn") <= 2 * quota)})
-    df = df.withColumn("_seat", F.row_number().over(ranked("_in", "thread").orderBy(F.col("_rn") > quota, F.col("score").desc(), "ord")))
-    df = df.withColumn("_article", F.col("_in") & ~F.col("thread") & (F.col("_seat") <= cap - F.col("_reserve"))).withColumn("_ta", F.sum(F.col("_article").cast("int")).over(of_run))
-    budget = F.least(F.greatest(F.lit(6), F.least(F.col("_reserve"), F.round(F.col("_ta") * forum_share / (1 - forum_share)))), F.lit(cap) - F.col("_ta"))
-    df = df.withColumn("_chosen", F.col("_article") | (F.col("_in") & F.col("thread") & (F.col("_seat") <= budget)))
-    df = df.withColumn("_used", F.sum(F.col("_chosen").cast("int")).over(ranked("source")))
-    gate = F.when(F.col("_thin"), "thin").when(~F.col("_live") | F.col("_chosen"), None).when(F.col("_used") >= 2 * quota, "quota").when(F.col("thread"), "forum-share").otherwise("cap")
-    df = df.withColumns({"seat": F.when(F.col("_chosen"), F.col("_seat")), "gate": gate, "outcome": F.when(F.col("_chosen"), "shortlist").otherwise("rejected")})
-    return df.drop("summary_page", "title_key", "verdict", "published_at", "copy_rank", "_live", "_rd", "_tr", "_thin", "_rn", "_nf", "_reserve", "_in", "_seat", "_article", "_ta", "_chosen", "_used")
+    rows = written(df.withColumn("why", early).drop("_published", "summary_page", "verdict"))
+
+    # of each title readable rows first, then score, time and order; a missing time is the oldest
+    best = F.max(F.struct(~F.col("thin"), "score", "published_at", -F.col("ord")))
+    titled = rows.where((F.col("title_key") != "") & F.col("why").isNull()).groupBy(run, "title_key").agg(best["col4"].alias("_best"))
+    copy = F.col("why").isNull() & (F.col("ord") != -F.col("_best"))
+    rows = rows.join(titled, [run, "title_key"], "left").withColumn("why", F.when(copy, "copy").otherwise(F.col("why")))
+    rows = written(rows.select(run, "id", "source", "thread", "thin", "score", "ord", "why"))
+
+    live = rows.where("why is null")
+    shares = _thin_share(live, run, thin_share)
+    edge = live.where("thin").join(shares.where("_edge"), [run, "score"])
+    late = scan(edge, [run], "ord", {"_place": Running("sum", F.lit(1), True)}).where(F.coalesce("_place", F.lit(0)) >= F.col("_left")).select(run, "ord", F.lit(True).alias("_late"))
+    rows = rows.join(shares.select(run, "score", "_out"), [run, "score"], "left").join(late, [run, "ord"], "left")
+    thin = F.col("why").isNull() & F.col("thin") & (F.coalesce("_out", F.lit(False)) | F.coalesce("_late", F.lit(False)))
+    rows = written(rows.select(run, "id", "source", "thread", "thin", "score", "ord", "why", thin.alias("_thin")))
+
+    seats = written(_seats(rows.where("why is null and not _thin"), run, cap, quota, forum_share))
+    used = seats.groupBy(run, "source").agg(F.count("*").alias("_used"))
+    out = rows.join(seats.select(run, "ord", "seat"), [run, "ord"], "left").join(used, [run, "source"], "left")
+    chosen = F.col("seat").isNotNull()
+    gate = F.when(F.col("_thin"), "thin").when(F.col("why").isNotNull() | chosen, None).when(F.coalesce("_used", F.lit(0)) >= 2 * quota, "quota").when(F.col("thread"), "forum-share").otherwise("cap")
+    return out.select(run, "id", "source", "thread", "thin", "score", "ord", "why", "seat", gate.alias("gate"), F.when(chosen, "shortlist").otherwise("rejected").alias("outcome"))

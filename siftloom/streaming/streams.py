@@ -1,4 +1,4 @@
-"""The batch operators as streams: dedup with a time to live, upserts by micro-batch, deferral as a state machine."""
+"""The batch operators as streams: dedup within a watermark, counts, upserts by micro-batch, failures by source."""
 
 from __future__ import annotations
 
