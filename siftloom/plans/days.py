@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions import dates as D
 from siftloom.operators import deferral, ledger
+from siftloom.sources.clustered import SeenTable
 from siftloom.sources.shared import folder
+from siftloom.sources.versions import Versions
 from siftloom.streaming import stateful
 
 from .registry import query, table
@@ -73,3 +77,39 @@ def deferral_stream(spark, sf_dir):
     end = F.lit(LAST).cast("date")
     alive = (F.col("state") == "seen") | ((F.col("state") == "wait") & ((F.col("last") == end) | (F.greatest(F.date_add("first", TTL + 1), F.date_add("last", 1)) > end)))
     return last.where(alive).select("id", "state", F.col("first").cast("string").alias("first"), "attempts", "stalls", "gates", "promoted", "stalled")
+
+
+#: Days whose runs are saved one after the other.
+SAVED = ("2024-01-08", "2024-01-09", "2024-01-10")
+
+
+@query("""WITH e AS (SELECT *, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-10'),
+    s AS (SELECT user_id, min(day) AS first_date FROM e GROUP BY user_id), d AS (SELECT user_id, day, bool_or(event_type <> 'error') AS ok FROM e GROUP BY 1, 2), l AS (SELECT user_id, max(CASE WHEN ok THEN day END) AS last_ok FROM d GROUP BY 1),
+    f AS (SELECT d.user_id, sum(CASE WHEN NOT ok AND day > coalesce(last_ok, DATE '1970-01-01') THEN 1 ELSE 0 END) AS n FROM d JOIN l USING (user_id) GROUP BY 1),
+    y AS (SELECT event_type, count(DISTINCT day) AS runs, count(*) AS items, sum((value > 90)::INT) AS shortlisted FROM e GROUP BY 1)
+    SELECT 'seen' AS part, CAST(user_id AS VARCHAR) AS key, CAST(first_date AS VARCHAR) AS value FROM s UNION ALL SELECT 'status', CAST(user_id AS VARCHAR), CAST(n AS VARCHAR) FROM f UNION ALL SELECT 'yields', event_type, runs || '/' || items || '/' || shortlisted FROM y""")
+def saved_state(spark, sf_dir):
+    """Seen ids, status and yields of three daily runs over events, each made from the version before and published with one manifest; the last day
+    is run twice."""
+    store = Versions(spark, folder(spark, "state"))
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    empty = {"seen": "id string, first_date date", "status": "source string, last_success timestamp, last_error timestamp, last_error_message string, consecutive_failures int", "yields": "query string, runs int, items int, shortlisted int, last_run date, last_shortlist date"}
+    for text in (*SAVED, SAVED[-1]):
+        date = F.lit(text).cast("date")
+        rows = e.where(F.col("day") == date)
+        old = {n: held if (held := store.read(n)) is not None else spark.createDataFrame([], kind) for n, kind in empty.items()}
+        run = rows.groupBy(F.col("user_id").cast("string").alias("source")).agg(F.max(F.col("event_type") != "error").alias("ok")).withColumns({"at": D.midnight(date), "message": F.lit("failed")})
+        ran = rows.groupBy(F.col("event_type").alias("query")).agg(F.count("*").alias("items"), F.sum((F.col("value") > 90).cast("int")).alias("shortlisted"))
+        fresh = rows.select(F.col("user_id").cast("string").alias("id")).distinct()
+        store.commit(dt.date.fromisoformat(text).toordinal(), {"seen": ledger.save_seen(old["seen"], fresh, date), "status": ledger.update_status(old["status"], run), "yields": ledger.record_yield(old["yields"], ran, date)})
+    part = lambda n, key, value: store.read(n).select(F.lit(n).alias("part"), F.col(key).alias("key"), value.alias("value"))
+    yields = F.concat_ws("/", *[F.col(c).cast("string") for c in ("runs", "items", "shortlisted")])
+    return part("seen", "id", F.col("first_date").cast("string")).unionByName(part("status", "source", F.col("consecutive_failures").cast("string"))).unionByName(part("yields", "query", yields))
+
+
+@query("SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.event_id)")
+def anti_seen(spark, sf_dir):
+    """Events whose number isn't the id of a document, by a clustered ledger of the documents' ids."""
+    seen = SeenTable(spark, folder(spark, "seen"), buckets=8, bits=1 << 20)
+    seen.add(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id")), dt.date(2024, 1, 1))
+    return seen.unseen(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), "event_id")).select("event_id")

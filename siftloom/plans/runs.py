@@ -32,11 +32,6 @@ def collect_window(spark, sf_dir):
     return collect.collect_items(e, seen, today(), 14).select("id", F.col("ord").alias("first_event"))
 
 
-@query("SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.event_id)")
-def anti_seen(spark, sf_dir):
-    return events(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id")), "event_id", "left_anti").select("event_id")
-
-
 @query(f"SELECT CAST(user_id AS VARCHAR) AS id, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS first_date FROM events GROUP BY user_id HAVING date_diff('day', min(CAST(ts AS DATE)), DATE '{TODAY}') <= 26")
 def seen_ledger(spark, sf_dir):
     e = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("id"), F.to_date("ts").alias("first_date"))

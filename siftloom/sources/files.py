@@ -24,20 +24,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     """A path and its file system, whichever it is on."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _path(spark, path)
+    p, fs = hadoop_path(spark, path)
     return fs.exists(p)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a file or folder and what is in it; nothing happens if it is gone."""
-    p, fs = _path(spark, path)
+    p, fs = hadoop_path(spark, path)
     fs.delete(p, True)
 
 
@@ -94,7 +94,7 @@ def candidate_urls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Replace a table; the commit protocol publishes all of it or nothing."""
+    """Replace a table that nobody reads meanwhile, and that df isn't read from; versions.Versions has neither limit."""
     df.write.mode("overwrite").parquet(path)
 
 
@@ -103,16 +103,9 @@ def write_days(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
-def write_run(path: str, raw: DataFrame, parts: dict[str, DataFrame] | None = None) -> None:
-    """A run's output as JSON lines: all items under _raw, and, unless it is a dry run (no parts), each part under _pending, such as
-    shortlist, rejected, stats, per_source, errors and queries."""
-    raw.write.mode("overwrite").json(f"{path}/_raw")
-    for name, part in (parts or {}).items():
-        part.write.mode("overwrite").json(f"{path}/_pending/{name}")
-
-
 def page(days: DataFrame, most: int = 400) -> DataFrame:
-    """One row: the days as JSON that may stand in a page, and its size in bytes. A page holds a window of days: most of them at most."""
-    one = days.limit(most + 1).agg(F.count("*").alias("n"), F.to_json(F.sort_array(F.collect_list(F.struct("date", "items")), asc=False)).alias("j"))
+    """One row: the days as JSON that may stand in a page, its size in bytes, and how many days and items it has. A page holds a window of days: most of them at most."""
+    items = F.coalesce(F.sum(F.when(F.col("items").isNotNull(), F.size("items"))), F.lit(0))
+    one = days.limit(most + 1).agg(F.count("*").alias("n"), items.alias("item_count"), F.to_json(F.sort_array(F.collect_list(F.struct("date", "items")), asc=False)).alias("j"))
     checked = F.when(F.col("n") <= most, F.col("j")).otherwise(F.raise_error(F.lit(f"a page holds at most {most} days")))
-    return one.select(json_island(checked).alias("json")).withColumn("bytes", F.octet_length("json"))
+    return one.select(json_island(checked).alias("json"), F.col("n").alias("day_count"), "item_count").withColumn("bytes", F.octet_length("json"))

@@ -19,7 +19,8 @@ def test_days(spark, tmp_path):
     assert [str(r["date"]) for r in days.collect()] == ["2026-09-07", "2026-09-05"]
     assert {r["id"] for r in files.items_of(days).collect()} == {"2026-09-07", "2026-09-05"}
     assert {(r["source"], r["message"]) for r in files.errors_of(days).collect()} == {("x", "m"), (None, "plain")}
-    assert "2026-09-07" in files.page(days).first()["json"]
+    page = files.page(days).first()
+    assert "2026-09-07" in page["json"] and (page["day_count"], page["item_count"]) == (2, 2) and page["bytes"] == len(page["json"].encode())
     with pytest.raises(Exception, match="at most 1 days"):
         files.page(days, 1).collect()
     assert files.prune_days(spark, str(tmp_path), F.lit("2026-09-07").cast("date"), 30) == ["2026-08-01"]
@@ -32,15 +33,6 @@ def test_missing_state(spark, tmp_path):
     assert [r["id"] for r in files.read_state(spark, str(tmp_path / "s.json"), "id string").collect()] == ["a"]
 
 
-def test_run_output(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1)], "id string, n int")
-    files.write_run(str(tmp_path / "dry"), rows)
-    files.write_run(str(tmp_path / "run"), rows, {"stats": rows.select("n"), "errors": rows.where("false")})
-    assert not (tmp_path / "dry" / "_pending").exists()
-    assert [r["id"] for r in files.read_state(spark, str(tmp_path / "run" / "_raw"), "id string, n int").collect()] == ["a"]
-    assert [r["n"] for r in files.read_state(spark, str(tmp_path / "run" / "_pending" / "stats"), "n int").collect()] == [1]
-
-
 def test_dynamic_days(spark, tmp_path):
     write = lambda rows: files.write_days(spark.createDataFrame(rows, "date string, n int"), str(tmp_path / "d"))
     write([("a", 1), ("b", 2)])
