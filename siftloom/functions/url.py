@@ -13,6 +13,97 @@ _PARTS = "^(?i:(https?)):[/\\\\]*([^/\\\\?#@]*@)?([^/\\\\?#:]+)(?::(\\d*))?([^?#
 _PATH_ESCAPES = "[^\\x21-\\x7E]|[\"<>`{}^]"
 
 
+_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: Full stops of other scripts, which part a host's labels too.
+_STOPS = "[\u3002\uFF0E\uFF61]"
+
+
+def characters(text: Column) -> Column:
+    """The characters of a text that isn't empty, also those beyond the basic plane."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)))
+
+
+def _digits(delta: Column, bias: Column) -> Column:
+    """A number as a run of base-36 digits whose weights depend on the bias; a number below 2^31 has seven at most."""
+
+    def step(a: Column, k: Column) -> Column:
+        t = F.greatest(F.lit(1), F.least(F.lit(26), F.lit(36) * k - bias)).cast("long")
+        last = a["q"] < t
+        digit = F.when(last, a["q"]).otherwise(t + (a["q"] - t) % (F.lit(36) - t))
+        more = F.struct(F.when(last, a["q"]).otherwise(F.floor((a["q"] - t) / (F.lit(36) - t))).cast("long").alias("q"), F.concat(a["out"], F.substring(F.lit(_DIGITS), (digit + 1).cast("int"), F.lit(1))).alias("out"), last.alias("done"))
+        return F.when(a["done"], a).otherwise(more)
+
+    start = F.struct(delta.cast("long").alias("q"), F.lit("").alias("out"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, step, lambda a: a["out"])
+
+
+def _adapted(delta: Column, points: Column, first: Column) -> Column:
+    """The bias after a number was written."""
+    halved = let(F.floor(delta / F.when(first, 700).otherwise(2)).cast("long"), lambda d: (d + F.floor(d / points)).cast("long"))
+    start = lambda d: F.struct(d.alias("d"), F.lit(0).cast("long").alias("k"))
+    step = lambda a, _: F.when(a["d"] > 455, F.struct(F.floor(a["d"] / 35).cast("long").alias("d"), (a["k"] + 36).alias("k"))).otherwise(a)
+    return let(halved, lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(7)), start(d), step, lambda a: (a["k"] + F.floor(36 * a["d"] / (a["d"] + 38))).cast("long")))
+
+
+def punycode(label: Column) -> Column:
+    """A host's label with characters beyond ASCII as RFC 3492 writes it, xn-- before it; others as they are.
+
+    One fold over the pairs of a code point that is to be written, in ascending order, and a character of the label.
+    """
+    chars = F.transform(characters(label), lambda c: F.struct(c.alias("c"), F.ascii(c).cast("long").alias("p")))
+
+    def encoded(cs: Column) -> Column:
+        plain = F.filter(cs, lambda x: x["p"] < 128)
+        points = F.array_sort(F.array_distinct(F.transform(F.filter(cs, lambda x: x["p"] >= 128), lambda x: x["p"])))
+        pairs = F.flatten(F.transform(points, lambda m: F.transform(cs, lambda x, i: F.struct(m.alias("m"), x["p"].alias("p"), i.alias("i")))))
+        basic = F.array_join(F.transform(plain, lambda x: x["c"]), "")
+        b = F.size(plain).cast("long")
+        begun = F.struct(F.lit(128).cast("long").alias("n"), F.lit(0).cast("long").alias("delta"), F.lit(72).cast("long").alias("bias"), b.alias("h"), F.lit("").alias("out"))
+
+        def step(a: Column, x: Column) -> Column:
+            up = F.when(x["i"] == 0, a["delta"] + (x["m"] - a["n"]) * (a["h"] + 1)).otherwise(a["delta"]) + (x["p"] < x["m"]).cast("long")
+            here = x["p"] == x["m"]
+            wrote = let(up, lambda d: F.struct(
+                x["m"].alias("n"), F.when(here, F.lit(0).cast("long")).otherwise(d).alias("delta"), F.when(here, _adapted(d, a["h"] + 1, a["h"] == b)).otherwise(a["bias"]).alias("bias"),
+                (a["h"] + here.cast("long")).alias("h"), F.when(here, F.concat(a["out"], _digits(d, a["bias"]))).otherwise(a["out"]).alias("out"),
+            ))
+            # after the label's last character the next code point is the least that may come
+            return F.when(x["i"] == F.size(cs) - 1, let(wrote, lambda w: F.struct((w["n"] + 1).alias("n"), (w["delta"] + 1).alias("delta"), w["bias"].alias("bias"), w["h"].alias("h"), w["out"].alias("out")))).otherwise(wrote)
+
+        return F.concat(F.lit("xn--"), basic, F.when(b > 0, "-").otherwise(""), F.aggregate(pairs, begun, step, lambda a: a["out"]))
+
+    return F.when(label.rlike("[^\\x00-\\x7F]"), let(chars, encoded)).otherwise(label)
+
+
+def ipv4(host: Column) -> Column:
+    """A host whose last label is a number, as four decimal bytes: parts may be decimal, octal after 0 or hexadecimal after 0x, and the last part fills
+    the bytes that are left. Null if it is no such address."""
+    number = lambda p: (
+        F.when(p.rlike("(?i)^0x[0-9a-f]{0,15}$"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 20)), 16, 10)).when(p.rlike("^0[0-7]{1,20}$"), F.conv(p, 8, 10)).when(p.rlike("^(0|[1-9][0-9]{0,17})$"), p)
+    ).try_cast("long")
+    parts = F.transform(F.split(F.regexp_replace(host, "\\.$", ""), "\\."), number)
+
+    def address(ps: Column) -> Column:
+        n, last = F.size(ps), F.element_at(ps, -1)
+        front = F.slice(ps, F.lit(1), n - 1)
+        good = (n <= 4) & F.forall(front, lambda p: F.coalesce(p <= 255, F.lit(False))) & F.coalesce(last < F.pow(F.lit(256), F.lit(5) - n), F.lit(False))
+        value = F.aggregate(front, F.lit(0).cast("long"), lambda a, p: a * 256 + p) * F.pow(F.lit(256), F.lit(5) - n).cast("long") + last
+        return F.when(good, let(value, lambda v: F.concat_ws(".", *[(F.shiftright(v, s) % 256).cast("string") for s in (24, 16, 8, 0)])))
+
+    return let(parts, address)
+
+
+def ascii_host(host: Column) -> Column:
+    """A host as an address parser writes it: lower case, labels beyond ASCII in Punycode, numbers as IPv4 addresses. Null for numbers that are none.
+
+    Letters are taken as they are composed in the text; no other compatibility mapping is made than that of full stops.
+    """
+    plain = F.when(F.contains(host, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)).otherwise(host)
+    low = F.lower(F.when(plain.rlike(_STOPS), F.regexp_replace(plain, _STOPS, ".")).otherwise(plain))
+    named = F.when(low.rlike("[^\\x00-\\x7F]"), F.array_join(F.transform(F.split(low, "\\."), punycode), ".")).otherwise(low)
+    return let(named, lambda h: F.when(h.rlike("(^|\\.)([0-9]+|0x[0-9a-f]*)\\.?$"), ipv4(h)).otherwise(h))
+
+
 def _path(raw: Column) -> Column:
     """A path with forward slashes, without . and .. segments, escaped where it must be, and without a slash at its end but for the root."""
     slashes = F.regexp_replace(raw, "\\\\", "/")
@@ -23,7 +114,7 @@ def _path(raw: Column) -> Column:
     )
     plain = F.when(slashes.rlike("/\\.{1,2}(/|$)"), dotted).otherwise(slashes)
     escape = lambda c: F.when(c.rlike(_PATH_ESCAPES), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)
-    escaped = let(plain, lambda p: F.when(p.rlike(_PATH_ESCAPES), F.array_join(F.transform(F.split(p, "(?!^)"), escape), "")).otherwise(p))
+    escaped = let(plain, lambda p: F.when(p.rlike(_PATH_ESCAPES), F.array_join(F.transform(characters(p), escape), "")).otherwise(p))
     return let(F.when(escaped == "", F.lit("/")).otherwise(escaped), lambda p: F.when(p == "/", p).otherwise(F.regexp_replace(p, "/$", "")))
 
 
@@ -39,15 +130,15 @@ def canonical(url: Column) -> Column:
     """https, no www., lower-case host, no default port, no fragment, no tracking parameters, the rest decoded, sorted by key and
     encoded again, no slash at the end but for the root.
 
-    What isn't an http address stays as it is. Hosts beyond ASCII aren't turned into their ASCII form.
+    What isn't an http address stays as it is, and so does one whose host is a number but no IPv4 address.
     """
     clean = F.regexp_replace(F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\\t\\n\\r]", "")
     part = lambda i: F.regexp_extract(clean, _PARTS, i)
-    host = F.regexp_replace(F.lower(part(3)), "^www\\.", "")
+    host = F.regexp_replace(ascii_host(part(3)), "^www\\.", "")
     port = F.regexp_replace(part(4), "^0+(?=\\d)", "")
     default = (port == "") | (port == "443") | ((port == "80") & (F.lower(part(1)) == "http"))
     whole = F.concat(F.lit("https://"), part(2), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), _path(part(5)), let(_query(part(6)), lambda q: F.when(q == "", q).otherwise(F.concat(F.lit("?"), q))))
-    return F.when(part(3) == "", url).otherwise(whole)
+    return F.when(part(3) == "", url).otherwise(F.coalesce(whole, url))
 
 
 def item_id(url: Column) -> Column:

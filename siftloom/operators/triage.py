@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from siftloom.sources.shared import written
 
 from .scan import Running, scan
 
+#: Why a row that could have had a seat has none.
+GATES = ("thin", "quota", "forum-share", "cap")
+
 
 def best_copies(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """copy_rank: 1 for the best row of a title_key: readable, then score, then time, then order. Empty keys all get 1."""
@@ -101,3 +104,28 @@ def triage(scored: DataFrame, cap: int = 60, quota: int = 8, forum_share: float
     chosen = F.col("seat").isNotNull()
     gate = F.when(F.col("_thin"), "thin").when(F.col("why").isNotNull() | chosen, None).when(F.coalesce("_used", F.lit(0)) >= 2 * quota, "quota").when(F.col("thread"), "forum-share").otherwise("cap")
     return out.select(run, "id", "source", "thread", "thin", "score", "ord", "why", "seat", gate.alias("gate"), F.when(chosen, "shortlist").otherwise("rejected").alias("outcome"))
+
+
+def observed(triaged: DataFrame) -> tuple[DataFrame, Observation]:
+    """What triage gave, with counts of it that are collected while an action on it runs, without a second pass."""
+    seen = Observation("triage")
+    n = lambda test: F.count(F.when(test, 1))
+    told = F.col("seat").isNotNull().cast("int") + F.col("gate").isNotNull().cast("int") + F.col("why").isNotNull().cast("int")
+    counts = {
+        "fetched": F.count(F.lit(1)), "shortlisted": n(F.col("outcome") == "shortlist"), "rejected": n(F.col("outcome") == "rejected"), "thin": n(F.col("thin")), "unexplained": n(told != 1),
+        "unseated": n((F.col("outcome") == "shortlist") & F.col("seat").isNull()), **{f"gate_{g.replace('-', '_')}": n(F.col("gate") == g) for g in GATES},
+    }
+    return triaged.observe(seen, *[c.alias(k) for k, c in counts.items()]), seen
+
+
+def conserved(seen: Observation, fetched: int | None = None) -> dict[str, int]:
+    """The counts, once an action has run; an error if a row is neither shortlisted nor rejected, is told no reason or more than one, sits without
+    a seat, or if other rows came out than fetched ones went in."""
+    got = dict(seen.get)
+    wrong = {
+        "rows that are neither shortlisted nor rejected": got["fetched"] - got["shortlisted"] - got["rejected"], "rows without one reason": got["unexplained"], "rows without a seat": got["unseated"],
+        "rows lost or added": 0 if fetched is None else got["fetched"] - fetched,
+    }
+    if any(wrong.values()):
+        raise ValueError("triage lost its balance: " + ", ".join(f"{n} {what}" for what, n in wrong.items() if n))
+    return got

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions import dates as D
-from siftloom.operators import deferral, ledger
+from siftloom.operators import deferral, ledger, properties
 from siftloom.sources.clustered import SeenTable
 from siftloom.sources.shared import folder
 from siftloom.sources.versions import Versions
@@ -113,3 +113,32 @@ def anti_seen(spark, sf_dir):
     seen = SeenTable(spark, folder(spark, "seen"), buckets=8, bits=1 << 20)
     seen.add(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id")), dt.date(2024, 1, 1))
     return seen.unseen(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), "event_id")).select("event_id")
+
+
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS value, count(*) AS n, sum(value) AS total, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY 1, 2")
+def property_facets(spark, sf_dir):
+    """Events by type and the last digit of the number in their properties, with sums."""
+    rows = properties.parsed(table(spark, sf_dir, "events"), "props")
+    digit = rows.withColumn("digit", properties.value("v", "$.k", "long") % 10)
+    return digit.groupBy("event_type", F.col("digit").alias("value")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(properties.value("v", "$.k", "long")).alias("k"))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value, count(*) AS n, max(value) AS best FROM events GROUP BY 1")
+def property_values(spark, sf_dir):
+    rows = properties.parsed(table(spark, sf_dir, "events"), "props")
+    return properties.facet(rows, "$.k", keys=()).join(rows.groupBy(properties.value("v", "$.k", "string").alias("value")).agg(F.max("value").alias("best")), "value")
+
+
+@query("""WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN left(props, length(props) - 1) WHEN 1 THEN NULL ELSE props END AS props FROM events)
+    SELECT count(*) AS rows, sum((props IS NOT NULL AND NOT json_valid(props))::INT)::BIGINT AS bad, sum((props IS NULL)::INT)::BIGINT AS missing, 'OBJECT<k: BIGINT>' AS schema FROM t""")
+def property_quality(spark, sf_dir):
+    """Every fourth text of properties cut short, every fourth taken away: both are counted."""
+    m = F.col("event_id") % 4
+    rows = table(spark, sf_dir, "events").select(F.when(m == 0, F.expr("left(props, length(props) - 1)")).when(m != 1, F.col("props")).alias("props"))
+    return properties.quality(properties.parsed(rows, "props"))
+
+
+@query("SELECT event_id, k AS key, CAST(json_extract(props, '$.' || k) AS BIGINT) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def property_rows(spark, sf_dir):
+    rows = properties.unnested(properties.parsed(table(spark, sf_dir, "events"), "props"), "$", ("event_id",))
+    return rows.select("event_id", "key", properties.value(F.col("value"), "$", "long").alias("value"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftloom.functions import text as T
 from siftloom.functions.vocab import Entry, Vocabulary, derived_queries
 from siftloom.operators import collect, matching, scoring, triage as tri, views
+from siftloom.sources.shared import written
 
 from .registry import query, table, texts
 
@@ -233,6 +234,16 @@ def triage_rejected_gates(spark, sf_dir):
     return triaged(spark, sf_dir).groupBy("run", "outcome", "gate", "why").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {TRIAGE} SELECT count(*) AS fetched, count(CASE WHEN outcome = 'shortlist' THEN 1 END) AS shortlisted, count(CASE WHEN outcome = 'rejected' THEN 1 END) AS rejected, count(CASE WHEN gate = 'thin' THEN 1 END) AS gate_thin, count(CASE WHEN gate = 'quota' THEN 1 END) AS gate_quota, count(CASE WHEN gate = 'forum-share' THEN 1 END) AS gate_forum_share, count(CASE WHEN gate = 'cap' THEN 1 END) AS gate_cap FROM final")
+def triage_metrics(spark, sf_dir):
+    """Counts of a triage as its rows were written, checked against its laws."""
+    df, seen = tri.observed(triaged(spark, sf_dir))
+    written(df)
+    got = tri.conserved(seen)
+    names = ["fetched", "shortlisted", "rejected", "gate_thin", "gate_quota", "gate_forum_share", "gate_cap"]
+    return spark.createDataFrame([tuple(got[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 @query("""WITH r AS (SELECT c_custkey, c_nationkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer),
     s AS (SELECT *, row_number() OVER (ORDER BY rn > 4, c_acctbal DESC, c_custkey) AS seat FROM r WHERE rn <= 8) SELECT c_custkey, c_nationkey, seat::INTEGER AS seat FROM s WHERE seat <= 60""")
 def quota_two_round(spark, sf_dir):

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftloom.operators import adapters, collect, discovery, feeds, ledger, scoring, state, triage, views
@@ -72,6 +73,36 @@ def test_triage_equals_the_model_and_loses_nothing(spark):
     assert set(want.values()) >= {"seat", "verdict", "copy", "thin", "quota", "forum-share", "cap"}
 
 
+def test_triage_counts_itself_and_tells_what_breaks_its_laws(spark):
+    rows = [{"run": 1, "id": str(i), "source": f"s{i % 4}", "thread": i % 3 == 0, "summary_page": i % 11 == 0, "thin": i % 5 == 0, "title_key": f"t{i % 90}", "score": i % 9, "verdict": "shortlist", "published_at": dt.datetime(2026, 1, 1), "ord": i} for i in range(120)]
+    out = triage.triage(spark.createDataFrame(rows), 20, 3)
+    df, seen = triage.observed(out)
+    df.write.format("noop").mode("overwrite").save()
+    got = triage.conserved(seen, 120)
+    plain = out.collect()
+    assert got["fetched"] == 120 == got["shortlisted"] + got["rejected"] and got["shortlisted"] == sum(r["outcome"] == "shortlist" for r in plain)
+    assert all(got[f"gate_{g.replace('-', '_')}"] == sum(r["gate"] == g for r in plain) for g in triage.GATES)
+    df, seen = triage.observed(out.withColumn("outcome", F.when(F.col("id") == "7", "lost").otherwise(F.col("outcome"))))
+    df.collect()
+    with pytest.raises(ValueError, match="1 rows that are neither"):
+        triage.conserved(seen)
+    df, seen = triage.observed(out.where("id <> '7'"))
+    df.collect()
+    with pytest.raises(ValueError, match="lost or added"):
+        triage.conserved(seen, 120)
+
+
+def test_triage_of_one_large_run(spark):
+    n = 60_000
+    df = spark.range(n).select(
+        F.lit("r").alias("run"), F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 500)).alias("source"), ((F.col("id") % 3 != 0) & (F.col("id") % 500 < 60)).alias("thread"), F.lit(False).alias("summary_page"),
+        (F.col("id") % 4 == 0).alias("thin"), F.when(F.col("id") % 5 == 0, "the same").otherwise(F.concat(F.lit("t"), "id")).alias("title_key"), (F.xxhash64("id") % 12).cast("int").alias("score"), F.lit("shortlist").alias("verdict"), F.lit(dt.datetime(2026, 1, 1)).alias("published_at"), F.col("id").alias("ord"),
+    )
+    rows = [r.asDict() for r in df.collect()]
+    got = triage.triage(df).collect()
+    assert {r["id"]: "seat" if r["outcome"] == "shortlist" else r["gate"] or r["why"] for r in got} == model_triage(rows)
+
+
 def test_two_round_quota(spark):
     rows = [("a", 100 - i, i) for i in range(30)] + [("b", 1, 100 + i) for i in range(3)]
     got = triage.two_round_quota(spark.createDataFrame(rows, "source string, score int, ord int"), 4, 10).collect()
