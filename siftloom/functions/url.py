@@ -147,9 +147,10 @@ def item_id(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Host without www.; a bare domain counts as https; null if there is none."""
-    full = F.when(url.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), url).otherwise(F.concat(F.lit("https://"), url))
-    return F.regexp_replace(F.lower(F.try_parse_url(F.trim(full), F.lit("HOST"))), "^www\\.", "")
+    """Host as an address parser has it, without www.; a bare domain counts as https; null if there is none."""
+    full = F.when(url.rlike("^\\s*[a-zA-Z][a-zA-Z0-9+.-]*://"), F.trim(url)).otherwise(F.concat(F.lit("https://"), F.trim(url)))
+    found = F.regexp_extract(full, "^[a-zA-Z][a-zA-Z0-9+.-]*:[/\\\\]{2}(?:[^/\\\\?#@]*@)?([^/\\\\?#:@\\s<>\\[\\]^|]+)(?=[/\\\\?#:]|$)", 1)
+    return F.regexp_replace(ascii_host(F.nullif(found, F.lit(""))), "^www\\.", "")
 
 
 def origin(url: Column) -> Column:

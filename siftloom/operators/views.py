@@ -197,8 +197,13 @@ def calendar(items: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def authors(items: DataFrame) -> DataFrame:
-    """Of each author: posts, last day, the first post's id, and the best rating."""
-    return items.groupBy("author").agg(F.count("*").alias("posts"), F.max("date").alias("last_day"), F.min_by("id", "ord").alias("first_id"), F.max("rating").alias("best"))
+    """Of each author: posts, last day, the first post's id, the best rating, and all titles and ratings in order, most posts first.
+
+    An author's titles are what a person has published, so they make one row.
+    """
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c])
+    found = items.groupBy("author").agg(F.count("*").alias("posts"), F.max("date").alias("last_day"), F.min_by("id", "ord").alias("first_id"), F.max("rating").alias("best"), in_order("title").alias("titles"), in_order("rating").alias("ratings"))
+    return found.orderBy(F.desc("posts"), "author")
 
 
 def inbound(links: DataFrame, least: int = 2, top: int | None = None) -> DataFrame:

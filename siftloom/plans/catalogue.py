@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import days, items, pages, runs  # noqa: F401  they register their queries
+from . import days, given, items, pages, runs  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 

@@ -183,11 +183,6 @@ def vocab_masked(spark, sf_dir):
     return texts(spark, sf_dir, "documents").select("doc_id", (F.size(_MASKED.matches(F.col("text"))) > 0).alias("found"))
 
 
-@query(f"WITH {ITEMS} SELECT ord AS doc_id, {sql_latin('excerpt')} AS ratio FROM items")
-def script_ratio(spark, sf_dir):
-    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), latin_ratio(F.col("excerpt")).cast("double").alias("ratio"))
-
-
 @query(f"WITH {ITEMS}, {SCORED} SELECT closed, count(*) AS n FROM judged WHERE closed IS NOT NULL GROUP BY closed")
 def gate_tally(spark, sf_dir):
     return scored(spark, sf_dir).where("closed is not null").groupBy("closed").agg(F.count("*").alias("n"))

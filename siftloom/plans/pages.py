@@ -97,14 +97,6 @@ def page_host_counts(spark, sf_dir):
     return texts(spark, sf_dir, "pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
 
 
-@query("""WITH raw AS (SELECT regexp_replace(lower(regexp_extract(url, '^(?i:https?)://([^/?#:]+)', 1)), '^www\\.', '') AS seed, unnest(regexp_extract_all(html, 'href="(/[^"]+)"', 1)) AS host FROM pages)
-    SELECT host, count(DISTINCT seed) AS links, min(seed) AS example FROM raw GROUP BY host HAVING count(DISTINCT seed) >= 2""")
-def inbound_links(spark, sf_dir):
-    """What pages link to, by how many hosts link to it; here all links stay on their host, so their paths are counted."""
-    links = texts(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("seed"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1))).alias("host"))
-    return views.inbound(links, 2)
-
-
 @query(f"""WITH {ARTICLE}, {sql_text('art', 'art')}, {sql_canonical('url', 'plain')},
     firsts AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY page_id) AS rn FROM canon)
     SELECT split_part(chost, ':', 1) AS host, count(*) AS pages, sum(CASE WHEN length(body) < 250 THEN 1 ELSE 0 END)::BIGINT AS thin, min(substr(sha256(canonical), 1, 16)) AS first_id FROM firsts WHERE rn = 1 GROUP BY 1""")

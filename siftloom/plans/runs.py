@@ -183,14 +183,6 @@ def import_union(spark, sf_dir):
     return state.merge_import(current, old_state(spark, sf_dir).select("user_email", "item_id", F.lit("read").alias("flag")))
 
 
-@query("WITH f AS (SELECT conv_id, text AS question FROM conversations WHERE turn = 0), n AS (SELECT conv_id, count(*) AS replies FROM conversations WHERE turn > 0 GROUP BY conv_id) SELECT f.conv_id, length(question) AS n_chars, coalesce(replies, 0) AS replies FROM f LEFT JOIN n USING (conv_id)")
-def first_post_join(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    first = c.where("turn = 0").select("conv_id", F.char_length("text").cast("long").alias("n_chars"))
-    replies = c.where("turn > 0").groupBy("conv_id").agg(F.count("*").alias("replies"))
-    return first.join(replies, "conv_id", "left").select("conv_id", "n_chars", F.coalesce("replies", F.lit(0)).alias("replies"))
-
-
 _DAYS = "d AS (SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1)"
 
 
@@ -216,10 +208,11 @@ def calendar_counts(spark, sf_dir):
     return views.calendar(rows, dates).withColumn("date", F.col("date").cast("string"))
 
 
-@query("SELECT CAST(o_custkey AS VARCHAR) AS author, count(*) AS posts, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_day, min(o_orderkey) AS first_id, max(o_totalprice) AS best FROM orders GROUP BY 1")
+@query("SELECT CAST(o_custkey AS VARCHAR) AS author, count(*) AS posts, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_day, min(o_orderkey) AS first_id, max(o_totalprice) AS best, string_agg('order ' || o_orderkey, ',' ORDER BY o_orderkey) AS titles, list(o_totalprice ORDER BY o_orderkey) AS ratings FROM orders GROUP BY 1")
 def author_rollup(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("author"), F.to_date("o_orderdate").alias("date"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").alias("rating"))
-    return views.authors(rows).withColumn("last_day", F.col("last_day").cast("string"))
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("author"), F.to_date("o_orderdate").alias("date"), key.alias("id"), key.alias("ord"), F.concat(F.lit("order "), key.cast("string")).alias("title"), F.col("o_totalprice").alias("rating"))
+    return views.authors(rows).withColumns({"last_day": F.col("last_day").cast("string"), "titles": F.array_join("titles", ",")})
 
 
 @query("""WITH s AS (SELECT 'u' || doc_id AS url, doc_id AS id FROM documents), dec AS (SELECT 'u' || doc_id AS url, CASE WHEN quality = 1 THEN 'keep' ELSE 'drop' END AS action, toxic AS rating FROM labels) SELECT s.id, dec.rating FROM dec JOIN s USING (url) WHERE action <> 'drop'""")
