@@ -23,6 +23,11 @@ def characters(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)))
 
 
+def _record(**fields: Column) -> Column:
+    """A struct whose names stand in the expression itself, so they hold wherever it is put."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
 def _digits(delta: Column, bias: Column) -> Column:
     """A number as a run of base-36 digits whose weights depend on the bias; a number below 2^31 has seven at most."""
 
@@ -30,18 +35,18 @@ def _digits(delta: Column, bias: Column) -> Column:
         t = F.greatest(F.lit(1), F.least(F.lit(26), F.lit(36) * k - bias)).cast("long")
         last = a["q"] < t
         digit = F.when(last, a["q"]).otherwise(t + (a["q"] - t) % (F.lit(36) - t))
-        more = F.struct(F.when(last, a["q"]).otherwise(F.floor((a["q"] - t) / (F.lit(36) - t))).cast("long").alias("q"), F.concat(a["out"], F.substring(F.lit(_DIGITS), (digit + 1).cast("int"), F.lit(1))).alias("out"), last.alias("done"))
+        more = _record(q=F.when(last, a["q"]).otherwise(F.floor((a["q"] - t) / (F.lit(36) - t))).cast("long"), out=F.concat(a["out"], F.substring(F.lit(_DIGITS), (digit + 1).cast("int"), F.lit(1))), done=last)
         return F.when(a["done"], a).otherwise(more)
 
-    start = F.struct(delta.cast("long").alias("q"), F.lit("").alias("out"), F.lit(False).alias("done"))
+    start = _record(q=delta.cast("long"), out=F.lit(""), done=F.lit(False))
     return F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, step, lambda a: a["out"])
 
 
 def _adapted(delta: Column, points: Column, first: Column) -> Column:
     """The bias after a number was written."""
     halved = let(F.floor(delta / F.when(first, 700).otherwise(2)).cast("long"), lambda d: (d + F.floor(d / points)).cast("long"))
-    start = lambda d: F.struct(d.alias("d"), F.lit(0).cast("long").alias("k"))
-    step = lambda a, _: F.when(a["d"] > 455, F.struct(F.floor(a["d"] / 35).cast("long").alias("d"), (a["k"] + 36).alias("k"))).otherwise(a)
+    start = lambda d: _record(d=d, k=F.lit(0).cast("long"))
+    step = lambda a, _: F.when(a["d"] > 455, _record(d=F.floor(a["d"] / 35).cast("long"), k=(a["k"] + 36))).otherwise(a)
     return let(halved, lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(7)), start(d), step, lambda a: (a["k"] + F.floor(36 * a["d"] / (a["d"] + 38))).cast("long")))
 
 
@@ -50,25 +55,22 @@ def punycode(label: Column) -> Column:
 
     One fold over the pairs of a code point that is to be written, in ascending order, and a character of the label.
     """
-    chars = F.transform(characters(label), lambda c: F.struct(c.alias("c"), F.ascii(c).cast("long").alias("p")))
+    chars = F.transform(characters(label), lambda c: _record(c=c, p=F.ascii(c).cast("long")))
 
     def encoded(cs: Column) -> Column:
         plain = F.filter(cs, lambda x: x["p"] < 128)
         points = F.array_sort(F.array_distinct(F.transform(F.filter(cs, lambda x: x["p"] >= 128), lambda x: x["p"])))
-        pairs = F.flatten(F.transform(points, lambda m: F.transform(cs, lambda x, i: F.struct(m.alias("m"), x["p"].alias("p"), i.alias("i")))))
+        pairs = F.flatten(F.transform(points, lambda m: F.transform(cs, lambda x, i: _record(m=m, p=x["p"], i=i))))
         basic = F.array_join(F.transform(plain, lambda x: x["c"]), "")
         b = F.size(plain).cast("long")
-        begun = F.struct(F.lit(128).cast("long").alias("n"), F.lit(0).cast("long").alias("delta"), F.lit(72).cast("long").alias("bias"), b.alias("h"), F.lit("").alias("out"))
+        begun = _record(n=F.lit(128).cast("long"), delta=F.lit(0).cast("long"), bias=F.lit(72).cast("long"), h=b, out=F.lit(""))
 
         def step(a: Column, x: Column) -> Column:
             up = F.when(x["i"] == 0, a["delta"] + (x["m"] - a["n"]) * (a["h"] + 1)).otherwise(a["delta"]) + (x["p"] < x["m"]).cast("long")
             here = x["p"] == x["m"]
-            wrote = let(up, lambda d: F.struct(
-                x["m"].alias("n"), F.when(here, F.lit(0).cast("long")).otherwise(d).alias("delta"), F.when(here, _adapted(d, a["h"] + 1, a["h"] == b)).otherwise(a["bias"]).alias("bias"),
-                (a["h"] + here.cast("long")).alias("h"), F.when(here, F.concat(a["out"], _digits(d, a["bias"]))).otherwise(a["out"]).alias("out"),
-            ))
+            wrote = let(up, lambda d: _record(n=x["m"], delta=F.when(here, F.lit(0).cast("long")).otherwise(d), bias=F.when(here, _adapted(d, a["h"] + 1, a["h"] == b)).otherwise(a["bias"]), h=(a["h"] + here.cast("long")), out=F.when(here, F.concat(a["out"], _digits(d, a["bias"]))).otherwise(a["out"])))
             # after the label's last character the next code point is the least that may come
-            return F.when(x["i"] == F.size(cs) - 1, let(wrote, lambda w: F.struct((w["n"] + 1).alias("n"), (w["delta"] + 1).alias("delta"), w["bias"].alias("bias"), w["h"].alias("h"), w["out"].alias("out")))).otherwise(wrote)
+            return F.when(x["i"] == F.size(cs) - 1, let(wrote, lambda w: _record(n=(w["n"] + 1), delta=(w["delta"] + 1), bias=w["bias"], h=w["h"], out=w["out"]))).otherwise(wrote)
 
         return F.concat(F.lit("xn--"), basic, F.when(b > 0, "-").otherwise(""), F.aggregate(pairs, begun, step, lambda a: a["out"]))
 
