@@ -220,7 +220,8 @@ def test_fingerprints_keep_all_anchors_and_places(spark):
     late = ["before"] * 40 + base[300:900]
     rows = list(enumerate([" ".join(base), " ".join(changed), " ".join(late)]))
     got = {r["doc_id"]: r for r in fingerprints.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    at = {i: [(x["hash"], x["place"]) for x in r["anchors"]] for i, r in got.items()}
+    parsed = lambda f: [(int(x[:8], 16), int(x[8:])) for x in f.split(" ")]
+    at = {i: parsed(r["fingerprint"]) for i, r in got.items()}
     assert got[0]["fingerprint"] != got[1]["fingerprint"]
     runs = spark.createDataFrame([(" ".join(base),)], "text string").select(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h")).first()["h"]
     h = [(1 << 63) - 1] * 2 + runs + [(1 << 63) - 1] * 2
@@ -231,10 +232,24 @@ def test_fingerprints_keep_all_anchors_and_places(spark):
     assert len(inside) > 300 and inside <= set(at[2])
     sets = {i: {x for x, _ in a} for i, a in at.items()}
     for i, r in got.items():
-        own, nxt, edited = sets[i], sets[(i + 1) % 3], {x["hash"] for x in r["edited_anchors"]}
+        own, nxt, edited = sets[i], sets[(i + 1) % 3], {x for x, _ in parsed(r["edited_fingerprint"])}
         assert abs(r["near_next"] - len(own & nxt) / len(own | nxt)) < 1e-12 and abs(r["near_edited"] - len(own & edited) / len(own | edited)) < 1e-12
 
 
+def test_fingerprints_match_under_a_shift(spark):
+    """A word put in front, a passage from further behind, and texts of which only the fingerprints are left."""
+    base = words(random.Random(2), 400).split()
+    texts = [" ".join(base), " ".join(["first", *base]), " ".join(["x"] * 7 + base[100:300]), "other words altogether", ""]
+    df = fingerprints.fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", fingerprints.written(F.col("anchors")).alias("f"))
+    a, b = df.where("doc_id = 0").select(F.col("f").alias("a")), df.select("doc_id", F.col("f").alias("b"))
+    got = {r["doc_id"]: r for r in a.crossJoin(b).select("doc_id", fingerprints.likeness_of(F.col("a"), F.col("b")).alias("near"), fingerprints.aligned(fingerprints.read(F.col("a")), fingerprints.read(F.col("b"))).alias("m"), F.size(fingerprints.read(F.col("a"))).alias("all")).collect()}
+    n = got[0]["all"]
+    assert got[0]["near"] == 1 and tuple(got[0]["m"]) == (0, n)
+    assert got[1]["near"] > 0.97 and got[1]["m"]["shift"] == 1 and got[1]["m"]["n"] >= n - 3
+    assert got[2]["m"]["shift"] == -93 and 90 < got[2]["m"]["n"] < 0.6 * n
+    assert got[3]["near"] < 0.02 and got[3]["m"]["n"] <= 2 and got[4]["near"] < 0.02
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard(docs, [1.0] * 6, chunk=3).collect()
     by: dict = {}
@@ -356,11 +371,11 @@ def test_queries_return_their_contracts(spark):
     want = {
         "op1": "doc_id piece start length ids_crc32 sequence_id offset", "op2": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op3": "doc_id n_words n_removed kept_sha256", "op4": "doc_id size text_crc32 law shard slot grown_shard",
         "op5": "doc_id held_out score predicted", "op7": "doc_id held_out lang_pred score", "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op9": "doc_id n_shingles component_id kept",
-        "op10": "doc_id n_words n_base first_word last_word base_labels labels score",
+        "op10": "doc_id n_words n_base first_word last_word base_labels labels score", "op11": "page_id payload_bytes payload_digest record_type refers_to", "op12": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "op13": "item_id rank doc_id score",
     }
-    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    n, pages = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages"))
     for name, q in queries.queries().items():
         df = q(spark, SF)
         assert set(want.get(name.split("_")[0], "").split()) <= set(df.columns), name
         rows = df.count()
-        assert rows > 0 if name.startswith(("op1_", "op6")) else rows == n, name
+        assert rows > 0 if name.startswith(("op1_", "op6", "op13")) else rows == (pages if name.startswith("op11") else n), name

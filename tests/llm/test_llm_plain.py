@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -47,9 +48,13 @@ def test_fingerprints(real):
         nxt = rows[(k + 1) % len(rows)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + nxt[:half]
-        assert [x["place"] for x in got[i]["anchors"]] == [p for _, p in brute.syncmers(text)]
+        assert [int(x[8:]) for x in got[i]["fingerprint"].split(" ")] == [p for _, p in brute.syncmers(text)]
         assert abs(got[i]["near_next"] - brute.likeness(text, nxt)) < 1e-9
-        assert got[i]["in_place"] == len(set(brute.syncmers(text)) & set(brute.syncmers(edited)))
+        own, other = brute.syncmers(text), brute.syncmers(edited)
+        once = [{h for h, n in Counter(h for h, _ in x).items() if n == 1} for x in (own, other)]
+        votes = Counter(q - p for h, p in own for g, q in other if h == g and h in once[0] & once[1])
+        shift = min(votes, key=lambda d: (-votes[d], d), default=0)
+        assert (got[i]["shift"], got[i]["aligned"]) == (shift, len({(h, p + shift) for h, p in own} & set(other)))
         assert abs(got[i]["near_edited"] - brute.likeness(text, edited)) < 1e-9
 
 
@@ -73,6 +78,21 @@ def test_quality_keeps_good_texts_it_never_saw(spark):
     assert n[1][0] >= 0.98 * n[1][1] > 40 and n[0][0] <= 0.2 * n[0][1]
 
 
+WORDINGS = {
+    "Redistribution and use of this product in source and binary forms": "", "Redistribution and use in source and binary forms, of this product, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+    "Permission is hereby granted, free of charge, without any limitation and to any person obtaining a copy of this software and associated documentation files": "mit",
+    "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "lgpl", "// SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0", "# SPDX-License-Identifier: BSD-3-Clause": "bsd", "SPDX-License-Identifier: MIT": "mit",
+    "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa-4.0", "Unless required by applicable law or agreed to in writing, software is distributed on an \"AS IS\" basis, WITHOUT WARRANTIES OR CONDITIONS of any kind, either express or implied.": "apache-2.0",
+    "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication": "cc0", "the license of a driver": "", "identifier: MIT": "",
+}
+
+
+def test_wordings_of_licenses(spark):
+    rows = list(enumerate(WORDINGS))
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(i, f"some text before {t} and behind") for i, t in rows], "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == WORDINGS
+
+
 def test_license_labels(spark, real):
     rng = random.Random(7)
     some = real[1][:40]
