@@ -41,8 +41,23 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("lgpl", "gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
+    ("agpl", "gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
+    ("cc-by-sa-4.0", "creative commons attribution sharealike 4 0 international", ("creative commons attribution sharealike 4 0",)),
+    ("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0 international", ("creative commons attribution noncommercial 4 0",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("nor the names of its contributors may be used to endorse or promote products",)),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("unless required by applicable law or agreed to in writing", "on an as is basis")),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("copy modify merge publish distribute sublicense",)),
 )
 
+#: Identifiers that stand behind an SPDX tag, and their labels.
+SPDX = {
+    "GPL-2.0-only": "gpl-2.0", "GPL-2.0-or-later": "gpl-2.0", "GPL-3.0-only": "gpl-3.0", "GPL-3.0-or-later": "gpl-3.0", "LGPL-2.1-only": "lgpl", "LGPL-2.1-or-later": "lgpl", "LGPL-3.0-only": "lgpl", "LGPL-3.0-or-later": "lgpl", "AGPL-3.0-only": "agpl",
+    "AGPL-3.0-or-later": "agpl", "Apache-2.0": "apache-2.0", "MIT": "mit", "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd", "ISC": "isc", "MPL-2.0": "mpl-2.0", "CC0-1.0": "cc0", "CC-BY-4.0": "cc-by-4.0", "CC-BY-SA-4.0": "cc-by-sa-4.0", "CC-BY-NC-4.0": "cc-by-nc-4.0", "Unlicense": "unlicense",
+}
+#: Words that may be put into a notice, or left out of it, before it's another one.
+BAND = 6
+
 
 def words_of(text: Column) -> Column:
     """Words with A-Z as a-z. lower() folds other letters too, which no word of a license has; the one letter beyond ASCII that it
@@ -52,7 +67,7 @@ def words_of(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Notice:
-    """words, and spans (place, words) of its mandatory phrases. A base phrase is one whole mandatory phrase."""
+    """words, and spans (place, words) of its mandatory phrases, the longest first. A base phrase is one whole mandatory phrase."""
 
     label: str
     words: tuple[str, ...]
@@ -62,12 +77,13 @@ class Notice:
 
 def notices() -> list[Notice]:
     out = [Notice(label, tuple(p.split()), ((0, tuple(p.split())),), True) for p, label in PHRASES.items()]
-    for label, text, keys in TEMPLATES:
+    tags = [(label, " ".join(f"spdx license identifier {name}".lower().replace("-", " ").replace(".", " ").split())) for name, label in SPDX.items()]
+    for label, text, keys in (*TEMPLATES, *((label, tag, (tag,)) for label, tag in tags)):
         words = tuple(text.split())
         spans = []
         for key in (tuple(k.split()) for k in keys):
             spans.append((next(i for i in range(len(words)) if words[i : i + len(key)] == key), key))
-        out.append(Notice(label, words, tuple(spans)))
+        out.append(Notice(label, words, tuple(sorted(spans, key=lambda s: -len(s[1])))))
     return out
 
 
@@ -83,13 +99,14 @@ def frequencies(texts: DataFrame) -> dict[str, int]:
 
 
 def index(all_: list[Notice], df: dict[str, int], keep: int, votes: int) -> dict[str, list[tuple[int, int]]]:
-    """Postings (notice, place) of each indexed word: a notice is posted under the words of highest IDF in its mandatory phrases,
+    """Postings (notice, place) of each indexed word: a notice is posted under the words of highest IDF in its longest mandatory phrase,
     keep of them, or more where one word stands there twice, as at least votes postings must agree."""
     postings: dict[str, list[tuple[int, int]]] = {}
     for n, notice in enumerate(all_):
-        places = [at + j for at, key in notice.spans for j in range(len(key))]
+        at, key = notice.spans[0]
+        places = [at + j for j in range(len(key))]
         if len(places) < votes:
-            raise ValueError(f"{' '.join(notice.words)}: its mandatory phrases need {votes} words")
+            raise ValueError(f"{' '.join(notice.words)}: a mandatory phrase needs {votes} words")
         for place in sorted(places, key=lambda i: (df.get(notice.words[i], 0), i))[: max(keep, votes)]:
             postings.setdefault(notice.words[place], []).append((n, place))
     return postings
@@ -101,10 +118,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
     Document frequencies of all license words are counted over the whole corpus. Each phrase and each template is posted, with
     the place, under the keep words of highest IDF in its mandatory phrases. A text's words of highest IDF are so looked up,
     each giving postings (notice, where that would begin), and postings are intersected by relative position: where votes
-    of them name the same notice and beginning, it is verified. As mandatory phrases stand whole in every match, each match
-    has all its postings. A phrase counts where all its words stand there. A template gives its label where its
-    mandatory phrases stand whole and at least share of its words stand at their relative places; the best share is the
-    score (1 if only a phrase is found, 0 if nothing is). A text of any length costs one pass, a sort of its postings and a
+    of them name the same notice and beginning, it is verified. As the longest mandatory phrase stands whole in every match, each match
+    has all its postings. A phrase counts where all its words stand there. A template gives its label where all its mandatory phrases stand
+    whole, the others up to BAND words from their places, and at least share of its words stand within BAND words of where it would
+    stand: so words may have been put in or left out. The best share is the score (1 if only a phrase is found, 0 if nothing is). A text of any length costs one pass, a sort of its postings and a
     check for each agreement.
 
     Defined cases: null and empty texts have no words, labels '' and score 0. Rows that repeat an id are scanned each by
@@ -126,13 +143,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
 
     def verified(words: Column, begin: Column, n: Notice) -> Column:
         """The share of a notice's words that stand at their places; 0 if a mandatory phrase doesn't stand whole."""
-        keys = F.lit(True)
-        for at, key in n.spans:
-            keys = keys & stands(words, begin + at, key)
+        keys = stands(words, begin + n.spans[0][0], n.spans[0][1])
         if n.base:
             return F.when(keys, 1.0).otherwise(0.0)
-        same = sum((F.when(F.get(words, begin + j) == w, 1).otherwise(0) for j, w in enumerate(n.words)), F.lit(0))
-        return F.when(keys, same / len(n.words)).otherwise(0.0)
+        around = lambda at, length: F.slice(words, F.greatest(begin + (at - BAND), F.lit(0)) + 1, F.lit(length + 2 * BAND))
+        for at, key in n.spans[1:]:
+            keys = keys & F.contains(F.concat(F.lit(" "), F.array_join(around(at, len(key)), " "), F.lit(" ")), F.lit(f" {' '.join(key)} "))
+        own = sorted(set(n.words))
+        same = F.size(F.array_intersect(F.array(*[F.lit(w) for w in own]), around(0, len(n.words))))
+        return F.when(keys, same / len(own)).otherwise(0.0)
 
     def agreed(hits: Column) -> Column:
         """Where votes postings name the same notice and beginning, once each: (notice, begin), sorted."""

@@ -141,17 +141,23 @@ def ratios(docs: list[tuple], trusted: set, buckets: int) -> dict:
     return out
 
 
-def license_labels(text: str | None, notices: list, share: float = 0.7) -> tuple[str, float]:
-    """Every notice at every place of a text: labels and the score."""
+def license_labels(text: str | None, notices: list, share: float = 0.7, band: int = 6) -> tuple[str, float]:
+    """Every notice at every place of a text where its longest mandatory phrase stands: labels and the score."""
     w = LICENSE_WORD.findall((text or "").translate(FOLD))
     labels, best, base = set(), 0.0, False
     for n in notices:
-        for b in range(-len(n.words) + 1, len(w)):
-            stands = lambda at, x: 0 <= b + at < len(w) and w[b + at] == x  # noqa: B023, E731
-            if all(stands(at + j, x) for at, key in n.spans for j, x in enumerate(key)):
-                value = sum(stands(j, x) for j, x in enumerate(n.words)) / len(n.words)
-                if value >= share:
-                    labels.add(n.label)
-                    base |= n.base
-                    best = max(best, value)
+        own = max(n.spans, key=lambda s: len(s[1]))
+        for i in range(len(w) - len(own[1]) + 1):
+            if tuple(w[i : i + len(own[1])]) != own[1]:
+                continue
+            b = i - own[0]
+            around = lambda at, k: w[(lo := max(0, b + at - band)) : lo + k + 2 * band]  # noqa: B023, E731
+            phrase = lambda some, key: any(tuple(some[x : x + len(key)]) == key for x in range(len(some)))
+            if not all(phrase(around(at, len(key)), key) for at, key in n.spans if (at, key) != own):
+                continue
+            value = 1.0 if n.base else len(set(n.words) & set(around(0, len(n.words)))) / len(set(n.words))
+            if value >= share:
+                labels.add(n.label)
+                base |= n.base
+                best = max(best, value)
     return ",".join(sorted(labels)), 1.0 if base else best
