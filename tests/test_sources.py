@@ -50,6 +50,30 @@ def test_landed(spark, tmp_path):
     assert [r["body"] for r in df.where("source = 'b'").collect()] == ["<rss>b</rss>"]
 
 
+def test_landed_files_are_dealt_to_tasks(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for i in range(7):
+        (tmp_path / "a" / f"{i}.txt").write_text(str(i))
+    landed.register(spark)
+    df = spark.read.format("landed").option("filesPerTask", 3).load(f"file://{tmp_path}")
+    assert sorted(r["body"] for r in df.collect()) == list("0123456") and len({r["p"] for r in df.select(F.spark_partition_id().alias("p")).collect()}) == 3
+    (tmp_path / "b").mkdir()
+    assert spark.read.format("landed").load(str(tmp_path)).where("source = 'b'").count() == 0
+
+
+def test_landed_stream(spark, tmp_path):
+    landed.register(spark)
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    for n, names in enumerate((["1", "2"], ["3"], [])):
+        for x in names:
+            (tmp_path / "in" / "a" / x).write_text(f"body {x}")
+        q = spark.readStream.format("landed").load(str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["source"], r["name"], r["body"]) for r in got) == [("a", x, f"body {x}") for x in "123"]
+
+
 def run(df, mode, tmp_path, name):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"c_{name}")).trigger(availableNow=True).start()
     q.awaitTermination(120)
