@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from siftloom.operators.ledger import DEFER_DAYS, ROUNDS, SEEN_DAYS
 
 DAY_MS = 86_400_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _seen_processor(keep: int):
@@ -137,12 +138,17 @@ def run_in_periods(arrivals: list[DataFrame], operator: Callable[[DataFrame], Da
     left. A batch that is run again replaces what it had written.
     """
     spark = arrivals[0].sparkSession
+    provider, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
 
-    for rows in arrivals:
-        rows.write.mode("append").parquet(f"{path}/in")
-        landed = spark.readStream.schema(arrivals[0].schema).parquet(f"{path}/in")
-        operator(landed).writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    spark.conf.set(provider, ROCKSDB)  # the one that has timers and maps
+    try:
+        for rows in arrivals:
+            rows.write.mode("append").parquet(f"{path}/in")
+            landed = spark.readStream.schema(arrivals[0].schema).parquet(f"{path}/in")
+            operator(landed).writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.parquet(f"{path}/out")
