@@ -169,7 +169,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), text.alias("text")).withColumns({"size": F.octet_length("text").cast("long"), "digest": F.sha1("text"), "hash": F.xxhash64("text")})
     same = ["digest", "size", "hash"]
     several = rows.where(F.col("size") >= least).groupBy(*same).agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select(*same, "keeper")
-    marked = rows.join(several, same, "left").select(
+    # the narrow side is hashed, so that pages stream past it and are never sorted
+    marked = rows.join(several.hint("shuffle_hash"), same, "left").select(
         F.col("id").cast("string").alias("id"), "url", F.when(F.col("keeper").isNull() | F.col("id").eqNullSafe(F.col("keeper")), F.col("text")).alias("text"), "size", "digest",
         F.when(~F.col("id").eqNullSafe(F.col("keeper")), F.col("keeper").cast("string")).alias("refers_to"),
     )
