@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from siftloom.functions import dates as D
 from siftloom.functions import text as T
 from siftloom.functions import url as U
-from siftloom.operators import adapters, collect, discovery, feeds, ledger, state, views
+from siftloom.functions.vocab import Entry, Vocabulary
+from siftloom.operators import adapters, collect, discovery, feeds, ledger, scoring, state, views
 
 from .registry import query, table, texts
 from .runs import _UPSERT, events, state_upsert, today
@@ -320,10 +321,10 @@ def of_namespace(spark, sf_dir):
     return state.of_namespace(state_upsert(spark, sf_dir), "c")
 
 
-@query(f"WITH {_UPSERT} SELECT user_email, item_id, is_read = 1 AS read, is_starred = 1 AS starred FROM st WHERE (is_read = 1 OR is_starred = 1) AND (user_email, item_id) NOT IN (SELECT CAST(user_id AS VARCHAR), event_type FROM events WHERE value > 50)")
+@query(f"WITH {_UPSERT} SELECT user_email, item_id, is_read = 1 AS read, is_starred = 1 AS starred FROM st WHERE (is_read = 1 OR is_starred = 1) AND (user_email, item_id) NOT IN (SELECT CAST(user_id AS VARCHAR), event_type FROM events WHERE value > 95)")
 def flags_to_migrate(spark, sf_dir):
     local = state_upsert(spark, sf_dir).select("user_email", "item_id", (F.col("is_read") == 1).alias("read"), (F.col("is_starred") == 1).alias("starred"))
-    pending = events(spark, sf_dir).where("value > 50").select(F.col("user_id").cast("string").alias("user_email"), F.col("event_type").alias("item_id"))
+    pending = events(spark, sf_dir).where("value > 95").select(F.col("user_id").cast("string").alias("user_email"), F.col("event_type").alias("item_id"))
     return state.migrate(local, pending)
 
 
@@ -387,3 +388,32 @@ def source_panel(spark, sf_dir):
 def sources_without_yield(spark, sf_dir):
     sources = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"))
     return views.zero_yield(views.per_source(sources, table(spark, sf_dir, "orders").where("o_totalprice > 150000").select(F.col("o_custkey").cast("string").alias("source"))))
+
+
+#: Tools and topics that titles and texts below speak of.
+AGENTS = Vocabulary((Entry("claude-code", "Claude Code", ("claudecode",)), Entry("cursor", "Cursor"), Entry("mcp", "MCP", (), (), True, False)))
+TALK = Vocabulary((Entry("prompt", "提示词"), Entry("agent", "agent", (), ("user agent",))))
+#: Titles, of which each document gets one before its own first words.
+TITLES = (
+    "我用 Claude Code 改造了项目", "Claude Code 求助 怎么办", "Cursor 踩坑记录", "招高级 Claude Code 工程师", "后端 20-30k", "三人车 上车", "[分享创造] 一个 agent", "第 3 章 Cursor 入门", "提示词 的写法？", "MCP 配置", "普通的一天", "user agent 是什么", "Claude Code 和 Cursor 对比 提示词",
+)
+
+
+def han_items(spark, sf_dir) -> DataFrame:
+    """Documents whose vowels became Han characters, each with a title and with words of the rules here and there."""
+    i = F.col("doc_id")
+    pick = lambda words, k: F.when(i % k == 0, F.element_at(F.array(*[F.lit(w) for w in words]), (F.floor(i / k) % len(words) + 1).cast("int"))).otherwise("")
+    own = F.translate(F.coalesce("text", F.lit("")), "aeiou", "一二三四五")
+    some = [pick(scoring.HAN_EXPERIENCE, 2), pick(scoring.HAN_EXPERIENCE[7:], 3), pick(scoring.HAN_PROMO, 5), pick(scoring.HAN_NEWS, 7), pick(scoring.HAN_ACADEMIC, 11), pick(scoring.HAN_SOFT, 4), pick(("岗位职责 任职要求", "适合谁：你 核心能力：快", "欢迎 Star", "本文未执行", "AI 賦能"), 6), pick(("claudecode", "提示词", "cursor"), 3)]
+    excerpt = F.concat_ws(" ", F.substring(own, 1, 500), *some, F.when(i % 4 == 1, F.substring(own, 501, 1500)).otherwise(""))
+    title = F.concat_ws(" ", F.element_at(F.array(*[F.lit(t) for t in TITLES]), (i % len(TITLES) + 1).cast("int")), F.when(i % 2 == 0, F.substring(F.regexp_extract(own, "^[^\\n]*", 0), 1, 12)).otherwise(""))
+    return texts(spark, sf_dir, "documents").select(
+        i.alias("id"), title.alias("title"), excerpt.alias("excerpt"), F.when(i % 9 == 0, F.concat(F.substring(own, -100, 100), F.lit(" 欢迎试用"))).otherwise("").alias("tail"), (i % 5 == 0).alias("thread"), (i % 2500).alias("views"), (i % 17).alias("comments"),
+    )
+
+
+@query()
+def han_score_rules(spark, sf_dir):
+    """The rules for Han texts over all documents. SQL would only restate them; tests hold the rows against a plain version."""
+    got = scoring.score_items(han_items(spark, sf_dir), scoring.han_rules(AGENTS, TALK))
+    return got.select("id", "score", "verdict", "closed", F.array_join("tools", ",").alias("tools"), F.array_join("topics", ",").alias("topics"))
