@@ -384,10 +384,10 @@ def source_panel(spark, sf_dir):
     return views.panel(sources, e.where("event_type <> 'signup'").select(name.alias("source")), failed).select("name", "n", "state", "note")
 
 
-@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS source FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
+@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS source FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)")
 def sources_without_yield(spark, sf_dir):
     sources = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"))
-    return views.zero_yield(views.per_source(sources, table(spark, sf_dir, "orders").where("o_totalprice > 150000").select(F.col("o_custkey").cast("string").alias("source"))))
+    return views.zero_yield(views.per_source(sources, table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").cast("string").alias("source"))))
 
 
 #: Tools and topics that titles and texts below speak of.
