@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftloom.functions.text import let
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -36,17 +38,17 @@ class Vocabulary:
         return spark.createDataFrame(rows, "id string, name string, needle string, ascii boolean, scored boolean")
 
     def matches(self, text: Column) -> Column:
-        """Ids found in a text, in the vocabulary's order.
+        """Ids found in a text, in the vocabulary's order. A text is lower-cased once, not for each needle."""
+        return let(F.lower(F.coalesce(text, F.lit(""))), self.matches_in_lower)
+
+    def matches_in_lower(self, low: Column) -> Column:
+        """Ids found in a text that is in lower case already, in the vocabulary's order.
 
         An ASCII needle must not touch a letter or digit, nor follow &; another is found anywhere. Each pattern is guarded by
         a plain search, which is far cheaper than the pattern.
         """
-        low = F.lower(F.coalesce(text, F.lit("")))
-        found = []
-        for e in self.entries:
-            own = low
-            for phrase in e.not_:
-                own = F.replace(own, F.lit(phrase.lower()), F.lit(" " * len(phrase)))
+
+        def has(e: Entry, own: Column) -> Column:
             plain = [n for n in e.needles() if n.isascii()]
             tests = [F.contains(own, F.lit(n)) for n in e.needles() if not n.isascii()]
             if plain:
@@ -57,7 +59,15 @@ class Vocabulary:
             any_ = F.lit(False)
             for t in tests:
                 any_ = any_ | t
-            found.append(F.when(any_, F.lit(e.id)))
+            return any_
+
+        def test(e: Entry) -> Column:
+            own = low
+            for phrase in e.not_:
+                own = F.replace(own, F.lit(phrase.lower()), F.lit(" " * len(phrase)))
+            return let(own, lambda x: has(e, x)) if e.not_ else has(e, low)
+
+        found = [F.when(test(e), F.lit(e.id)) for e in self.entries]
         return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
     def scoring(self, ids: Column) -> Column:

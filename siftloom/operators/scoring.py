@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.functions.text import cjk_ratio, hits, utf16_length
+from siftloom.functions.text import cjk_ratio, hits, hits_in_lower, utf16_length
 from siftloom.functions.vocab import Vocabulary
 
 
@@ -59,6 +59,8 @@ HAN_PATTERNS = {
     "serial_title": "(^\\s*第\\s*\\d+\\s*[章篇讲课]|^\\s*[Dd][Aa][Yy]\\s*\\d+|系列教程|系列文章第)",
     "machine_report": "(本文未执行|本文基于[^。]{0,40}(源码|原始碼)快照|本文结论类型|未执行项目构建|静态(扫描|观察)得到)",
 }
+#: What each of the many wordings of self_promo begins with. They are tried only there.
+HAN_SELF_PROMO_STARTS = "求欢歡点點给请銳锐提开送注免敬已新上来[【重開核主功在立線註"
 #: Headings of job descriptions and of tool lists.
 HAN_JOB_HEADINGS = ("岗位职责|崗位職責", "任职要求|任職要求", "职位描述|職位描述", "岗位要求|崗位要求", "投递简历|投遞履歷|简历投递|履歷投遞", "薪资范围|薪資範圍", "福利待遇")
 HAN_LISTICLE_HEADINGS = ("适合谁\\s*[:：]|適合誰\\s*[:：]", "解决什么问题\\s*[:：]|解決什麼問題\\s*[:：]", "核心能力\\s*[:：]", "使用边界\\s*[:：]|使用邊界\\s*[:：]", "实际场景\\s*[:：]|實際場景\\s*[:：]", "适用人群\\s*[:：]|適用人群\\s*[:：]", "更新日期\\s*[:：]", "维度对比|維度對比")
@@ -82,7 +84,9 @@ HAN_ACADEMIC = ("arxiv", "论文", "综述", "benchmark 结果", "数据集", "
 
 def han_rules(tools: Vocabulary, topics: Vocabulary) -> RuleSet:
     """The rules for Han texts about the tools and topics of a vocabulary."""
-    return RuleSet(tools=tools, topics=topics, soft=HAN_SOFT, experience=HAN_EXPERIENCE, promo=HAN_PROMO, news=HAN_NEWS, academic=HAN_ACADEMIC, job_headings=HAN_JOB_HEADINGS, listicle_headings=HAN_LISTICLE_HEADINGS, **HAN_PATTERNS)
+    starts = HAN_SELF_PROMO_STARTS.replace("[", "\\[")
+    patterns = HAN_PATTERNS | {"self_promo": f"(?=[\\[【\u4E00-\u9FFF&&[{starts}]])(?:{HAN_PATTERNS['self_promo']})"}
+    return RuleSet(tools=tools, topics=topics, soft=HAN_SOFT, experience=HAN_EXPERIENCE, promo=HAN_PROMO, news=HAN_NEWS, academic=HAN_ACADEMIC, job_headings=HAN_JOB_HEADINGS, listicle_headings=HAN_LISTICLE_HEADINGS, **patterns)
 
 
 def _count(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -99,16 +103,16 @@ def is_job_post(r: RuleSet, title: Column, body: Column) -> Column:
 def score_items(items: DataFrame, r: RuleSet) -> DataFrame:
     """items (title, excerpt, tail, thread, views, comments) with tools, topics, score, verdict, reasons and the gate that closed.
 
-    The gates are tried in order and leave the score at 0; after them the rules add up.
+    The gates are tried in order and leave the score at 0; after them the rules add up, for items that no gate closed to.
     """
     s = lambda c: F.coalesce(F.col(c), F.lit(""))
     df = items.withColumns({"_t": s("title"), "_e": s("excerpt"), "_tail": s("tail")}).withColumns({"_b": F.concat_ws("\n", "_t", "_e"), "_et": F.concat_ws("\n", "_e", "_tail"), "_len": utf16_length(F.col("_e"))})
-    df = df.withColumns({"_tt": r.tools.matches(F.col("_t")), "_tp": r.topics.matches(F.col("_t")), "tools": r.tools.matches(F.col("_b")), "topics": r.topics.matches(F.col("_b"))})
+    df = df.withColumn("_lower", F.lower("_b"))
+    df = df.withColumns({"_tt": r.tools.matches(F.col("_t")), "_tp": r.topics.matches(F.col("_t")), "tools": r.tools.matches_in_lower(F.col("_lower")), "topics": r.topics.matches_in_lower(F.col("_lower"))})
     n = lambda text, needles: F.size(hits(F.col(text), list(needles)))
+    in_body = lambda needles: F.size(hits_in_lower(F.col("_lower"), list(needles)))
     df = df.withColumns({
-        "_th": F.size(r.tools.scoring(F.col("_tt"))) + F.size(r.topics.scoring(F.col("_tp"))), "_ah": F.size(r.tools.scoring(F.col("tools"))) + F.size(r.topics.scoring(F.col("topics"))),
-        "_soft": n("_b", r.soft), "_te": n("_t", r.experience), "_be": n("_e", r.experience), "_p": n("_b", r.promo), "_n": n("_b", r.news), "_a": n("_b", r.academic),
-        "_early": F.concat_ws("\n", "_t", F.substring("_e", 1, 400)).rlike(r.self_promo), "_end": F.when(F.col("_tail") != "", F.col("_tail")).otherwise(F.substring("_e", -400, 400)).rlike(r.self_promo),
+        "_th": F.size(r.tools.scoring(F.col("_tt"))) + F.size(r.topics.scoring(F.col("_tp"))), "_ah": F.size(r.tools.scoring(F.col("tools"))) + F.size(r.topics.scoring(F.col("topics"))), "_soft": in_body(r.soft),
     })
     gate = (
         F.when((r.script_ratio(F.col("_t")) < r.min_script) & (r.script_ratio(F.col("_b")) < r.min_script), "language")
@@ -116,6 +120,13 @@ def score_items(items: DataFrame, r: RuleSet) -> DataFrame:
         .when(F.col("_t").rlike(r.hard_promo), "promo")
         .when((F.col("_ah") + F.col("_soft")) == 0, "no-hit")
     )
+    df = df.withColumn("closed", gate)
+    still = lambda value, other=0: F.when(F.col("closed").isNull(), value).otherwise(F.lit(other))
+    df = df.withColumns({
+        "_te": still(n("_t", r.experience)), "_be": still(n("_e", r.experience)), "_p": still(in_body(r.promo)), "_n": still(in_body(r.news)), "_a": still(in_body(r.academic)),
+        "_early": still(F.concat_ws("\n", "_t", F.substring("_e", 1, 400)).rlike(r.self_promo), False),
+    })
+    df = df.withColumn("_end", still(~F.col("_early") & F.when(F.col("_tail") != "", F.col("_tail")).otherwise(F.substring("_e", -400, 400)).rlike(r.self_promo), False))
     thread = F.coalesce(F.col("thread"), F.lit(False))
     rules: list[tuple[str, Column, Column]] = [
         ("title-hit", F.col("_th") >= 1, 6 + F.least(F.col("_th") - 1, F.lit(2))),
@@ -129,7 +140,7 @@ def score_items(items: DataFrame, r: RuleSet) -> DataFrame:
         ("news-words", F.col("_n") > 0, -2 * F.col("_n")),
         ("academic-words", F.col("_a") > 0, -2 * F.col("_a")),
         ("self-promo", F.col("_early"), F.lit(-6)),
-        ("self-promo-end", ~F.col("_early") & F.col("_end"), F.lit(-3)),
+        ("self-promo-end", F.col("_end"), F.lit(-3)),
         ("coach", F.col("_b").rlike(r.coach_promo), F.lit(-6)),
         ("machine-report", F.col("_b").rlike(r.machine_report) | F.col("_tail").rlike(r.machine_report), F.lit(-6)),
         ("listicle", _count(F.col("_et"), r.listicle_headings) >= 2, F.lit(-8)),
@@ -142,7 +153,6 @@ def score_items(items: DataFrame, r: RuleSet) -> DataFrame:
     for name, when, delta in rules:
         total = total + F.when(when, delta).otherwise(0)
         reasons.append(F.when(when, F.lit(name)))
-    df = df.withColumn("closed", gate)
     df = df.withColumns({"score": F.when(F.col("closed").isNotNull(), 0).otherwise(total).cast("int"), "reasons": F.when(F.col("closed").isNotNull(), F.array("closed")).otherwise(F.array_compact(F.array(*reasons)))})
     df = df.withColumn("verdict", F.when(F.col("closed").isNull() & (F.col("score") >= r.threshold), "shortlist").otherwise("reject"))
     return df.drop(*[c for c in df.columns if c.startswith("_")])

@@ -403,11 +403,11 @@ def han_items(spark, sf_dir) -> DataFrame:
     """Documents whose vowels became Han characters, each with a title and with words of the rules here and there."""
     i = F.col("doc_id")
     pick = lambda words, k: F.when(i % k == 0, F.element_at(F.array(*[F.lit(w) for w in words]), (F.floor(i / k) % len(words) + 1).cast("int"))).otherwise("")
-    own = F.translate(F.coalesce("text", F.lit("")), "aeiou", "一二三四五")
+    own = F.col("own")
     some = [pick(scoring.HAN_EXPERIENCE, 2), pick(scoring.HAN_EXPERIENCE[7:], 3), pick(scoring.HAN_PROMO, 5), pick(scoring.HAN_NEWS, 7), pick(scoring.HAN_ACADEMIC, 11), pick(scoring.HAN_SOFT, 4), pick(("岗位职责 任职要求", "适合谁：你 核心能力：快", "欢迎 Star", "本文未执行", "AI 賦能"), 6), pick(("claudecode", "提示词", "cursor"), 3)]
     excerpt = F.concat_ws(" ", F.substring(own, 1, 500), *some, F.when(i % 4 == 1, F.substring(own, 501, 1500)).otherwise(""))
     title = F.concat_ws(" ", F.element_at(F.array(*[F.lit(t) for t in TITLES]), (i % len(TITLES) + 1).cast("int")), F.when(i % 2 == 0, F.substring(F.regexp_extract(own, "^[^\\n]*", 0), 1, 12)).otherwise(""))
-    return texts(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "aeiou", "一二三四五").alias("own")).select(
         i.alias("id"), title.alias("title"), excerpt.alias("excerpt"), F.when(i % 9 == 0, F.concat(F.substring(own, -100, 100), F.lit(" 欢迎试用"))).otherwise("").alias("tail"), (i % 5 == 0).alias("thread"), (i % 2500).alias("views"), (i % 17).alias("comments"),
     )
 
